@@ -25,5 +25,12 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     return cross_split(btp.union(other), 0.7)
 
 
-QUERIES = {"p1_found": p1_found, "p7_found": p7_found}
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .nearest import most_similar
+
+    near = most_similar(_read(spark, sf, "qwen3_embedding"), 5, 0.94)
+    return near.select(F.least("doc_id", "other_id").alias("doc_id_a"), F.greatest("doc_id", "other_id").alias("doc_id_b")).distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p7_found)}
 SQL: dict[str, str] = {}
