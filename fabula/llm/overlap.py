@@ -36,7 +36,7 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
         texts = batch.column("text").to_pylist()
         ends = np.cumsum([len(t or "") + 1 for t in texts]) // PIECE_CHARS
         cuts = np.flatnonzero(np.diff(ends, prepend=0)) if len(ends) else []
-        at = sorted({0, *map(int, cuts), len(texts)})
+        at = sorted({0, *map(int, cuts), *range(0, len(texts), ws.PIECE_RECORDS), len(texts)})
         for a, b in zip(at, at[1:]):
             yield batch.slice(a, b - a), texts[a:b]
 
@@ -49,8 +49,7 @@ def frequency_states(docs: DataFrame, rows: int) -> np.ndarray:
     def count(batches):
         total = np.zeros(1 << ws.SKETCH_BITS, np.uint32)
         for _, texts in pieces(batches):
-            at, n = np.unique(ws.buckets(ws.words_of(texts)[1]), return_counts=True)
-            total[at] += n.astype(np.uint32)
+            np.add.at(total, ws.buckets(ws.words_of(texts)[1]), 1)
         for r in range(RANGES):
             part = total[r * width : (r + 1) * width]
             at = np.flatnonzero(part)

@@ -64,35 +64,42 @@ def group_sum(values: np.ndarray, group: np.ndarray, n: int) -> np.ndarray:
     return total
 
 
+#: Bits of a word's hash; the others of a 64-bit sort key hold the record's number in its piece.
+HASH_BITS = 52
+PIECE_RECORDS = 1 << (64 - HASH_BITS)
+
+
 def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(record number, word hash), distinct and sorted; null texts have no words. Whole texts, all in NumPy."""
+    """(record number, word hash), distinct and sorted, of at most PIECE_RECORDS texts; null texts have no words."""
     kinds, powers = _tables()
-    joined = "\0".join("" if t is None else t.replace("\0", " ") for t in texts)
+    joined = "\0".join(["" if t is None else t for t in texts])
+    if joined.count("\0") >= len(texts) > 0:
+        joined = "\0".join(["" if t is None else t.replace("\0", " ") for t in texts])
     joined = unicodedata.normalize("NFD", joined.lower())
     chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     kind = kinds[chars]
-    if (mark := kind == 2).any():
-        chars, kind = chars[~mark], kind[~mark]
-    if not len(chars):
-        return np.empty(0, np.int64), np.empty(0, U)
-    inside = kind == 1
-    start = inside.copy()
-    start[1:] &= ~inside[:-1]
-    at = np.flatnonzero(inside)
-    if not len(at):
+    plain = kind != 2
+    if not plain.all():
+        chars, kind = chars[plain], kind[plain]
+    inside = np.empty(len(kind) + 2, bool)
+    inside[0] = inside[-1] = False
+    inside[1:-1] = kind == 1
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    first, length = edge[::2], edge[1::2] - edge[::2]
+    if not len(first):
         return np.empty(0, np.int64), np.empty(0, U)
-    first = np.flatnonzero(start)
-    number = np.cumsum(start)[at] - 1
-    place = at - first[number]
+    total = np.cumsum(length)
+    at = np.flatnonzero(inside[1:-1])
+    place = np.arange(len(at)) - np.repeat(total - length, length)
     with np.errstate(over="ignore"):
-        value = (chars[at].astype(U) * U(0xC2B2AE3D27D4EB4F) + U(0x165667B19E3779F9)) * powers[place & 4095]
-        value += mix((place >> 12).astype(U)) * (place >= 4096)
-        h = mix(np.add.reduceat(value, np.flatnonzero(start[at])))
-    record = np.cumsum(chars == 0)[first].astype(np.int64)
-    order = np.lexsort((h, record))
-    record, h = record[order], h[order]
-    keep = np.r_[True, (record[1:] != record[:-1]) | (h[1:] != h[:-1])]
-    return record[keep], h[keep]
+        value = (chars[at] * U(0xC2B2AE3D27D4EB4F) + U(0x165667B19E3779F9)) * powers[place & 4095]
+        if length.max() > 4096:
+            value += mix((place >> 12).astype(U)) * (place >= 4096)
+        h = mix(np.add.reduceat(value, total - length))
+    record = np.searchsorted(np.flatnonzero(chars == 0), first).astype(U)
+    key = np.sort((record << U(HASH_BITS)) | (h >> U(64 - HASH_BITS)))
+    key = key[np.r_[True, key[1:] != key[:-1]]]
+    return (key >> U(HASH_BITS)).astype(np.int64), key << U(64 - HASH_BITS)
 
 
 def class_of(record: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
