@@ -32,5 +32,20 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return near.select(F.least("doc_id", "other_id").alias("doc_id_a"), F.greatest("doc_id", "other_id").alias("doc_id_b")).distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p7_found)}
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .top_n import top_n
+
+    return top_n(_read(spark, sf, "pt_z_target"), 5).select("run_id", "z_hat", "doc_id")
+
+
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .clusters import clusters
+
+    predictions = _read(spark, sf, "metadata_with_malt_predictions")
+    records, topics = clusters(_read(spark, sf, "qwen3_embedding"), predictions.select("doc_id", "z_hat"))
+    wanted = predictions.select("doc_id").where("doc_id is not null").distinct()
+    return records.join(wanted, "doc_id").join(topics.where("z_cluster is not null"), "cluster").select("doc_id", "z_cluster")
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p7_found)}
 SQL: dict[str, str] = {}
