@@ -18,7 +18,7 @@ from . import wordsets as ws
 from .components import components
 from .overlap import Shard, close, overlaps, tile
 
-BLOCK, SMALL, CHUNK = 512, 40, 1_000_000
+BLOCK, SMALL, CHUNK = 256, 40, 1_000_000
 
 
 def runs(shard: Shard) -> tuple[np.ndarray, np.ndarray]:

@@ -181,19 +181,17 @@ def shards_of(docs: DataFrame, state, unit: float, most: float, parts: int) -> D
     return docs.select("text", "side").mapInArrow(send, "part int, payload binary")
 
 
-def verified(docs: DataFrame, pairs: DataFrame, threshold: float, derive: bool) -> DataFrame:
+def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, threshold: float, derive: bool) -> DataFrame:
     """(a, b, shared, total): the pairs of classes whose word sets overlap by at least the threshold, exactly.
 
-    Only classes that occur in pairs send their words; a bitmap of fixed size (2**SEEN_BITS bits) tells most others apart.
+    Only one record of each class that occurs in pairs sends its words; a bitmap of fixed size (2**SEEN_BITS bits) over
+    doc_id tells most others apart before their texts are split.
     derive: where only groups count, a pair is not computed whose ends are already joined in its task by computed ones.
     """
-    spark = docs.sparkSession
-
     def mark(batches):
         bits = np.zeros(1 << SEEN_BITS, bool)
         for b in batches:
-            for name in ("a", "b"):
-                bits[(np.asarray(b.column(name)).view(U) >> U(64 - SEEN_BITS)).astype(np.int64)] = True
+            bits[seen_at(b)] = True
         for r in range(RANGES):
             at = np.packbits(bits.reshape(RANGES, -1)[r])
             if at.any():
@@ -204,25 +202,29 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float, derive: bool)
         return pa.table({"range": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([at.tobytes()], pa.binary())})
 
     seen = np.zeros((RANGES, (1 << SEEN_BITS) // RANGES // 8), np.uint8)
-    for r in pairs.mapInArrow(mark, "range int, bits binary").groupBy("range").applyInArrow(either, "range int, bits binary").collect():
+    ends = pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct()
+    heads = members.groupBy("class").agg(F.min("doc_id").alias("doc_id")).join(ends, "class", "left_semi").select("doc_id")
+    for r in heads.mapInArrow(mark, "range int, bits binary").groupBy("range").applyInArrow(either, "range int, bits binary").collect():
         seen[r["range"]] = np.frombuffer(r.bits, np.uint8)
-    known = spark.sparkContext.broadcast(seen.ravel())
+    known = docs.sparkSession.sparkContext.broadcast(seen.ravel())
+
+    def marked(batch):
+        at = seen_at(batch)
+        return batch.filter(pa.array(((known.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).astype(bool)))
 
     def words(batches):
-        for _, texts in pieces(batches):
+        for _, texts in pieces(marked(b) for b in batches):
             record, h = ws.words_of(texts)
             cls, size = ws.class_of(record, h, len(texts))
-            at = (cls >> U(64 - SEEN_BITS)).astype(np.int64)
-            use = (known.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1
             first = np.zeros(len(cls), bool)
             first[np.unique(cls, return_index=True)[1]] = True
             ends = np.cumsum(size)
-            h = h.astype(np.uint32)
-            out = [(int(cls[i].view(np.int64)), h[ends[i] - size[i] : ends[i]].tobytes()) for i in np.flatnonzero((use == 1) & first & (size >= MIN_WORDS))]
+            h = (h >> U(64 - ws.HASH_BITS)).astype(np.uint32)
+            out = [(int(cls[i].view(np.int64)), h[ends[i] - size[i] : ends[i]].tobytes()) for i in np.flatnonzero(first & (size >= MIN_WORDS))]
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in out], pa.int64()), pa.array([x for _, x in out], pa.binary())], ["class", "words"])
 
-    sets = docs.select("text").mapInArrow(words, "class long, words binary").groupBy("class").agg(F.first("words").alias("words"))
+    sets = docs.select("doc_id", "text").mapInArrow(words, "class long, words binary").groupBy("class").agg(F.first("words").alias("words"))
     full = pairs.join(sets.select(F.col("class").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("class").alias("b"), F.col("words").alias("wb")), "b")
 
     def compare(batches):
@@ -248,6 +250,10 @@ def verified(docs: DataFrame, pairs: DataFrame, threshold: float, derive: bool)
     return full.mapInArrow(compare, "a long, b long, shared int, total int")
 
 
+def seen_at(batch: pa.RecordBatch) -> np.ndarray:
+    return (ws.mix(np.asarray(batch.column("doc_id")).view(U), 9) >> U(64 - SEEN_BITS)).astype(np.int64)
+
+
 def overlaps(docs: DataFrame, threshold: float, search: Callable, derive: bool = False) -> tuple[DataFrame, DataFrame]:
     """(links, members): links (a, b, shared, total) between different classes, members (class, doc_id, side, slack).
 
@@ -287,7 +293,7 @@ def overlaps(docs: DataFrame, threshold: float, search: Callable, derive: bool =
             yield out()
 
     pairs = cut(shards_of(docs, state, unit, most, parts).repartitionById(parts, F.col("part")).mapInArrow(join, "a long, b long").distinct())
-    return verified(docs, pairs, threshold, derive), members
+    return verified(docs, members, pairs, threshold, derive), members
 
 
 def close(shard: Shard, unit: float, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -296,11 +302,25 @@ def close(shard: Shard, unit: float, i: np.ndarray, j: np.ndarray) -> np.ndarray
     return apart <= (shard.size[i] + shard.size[j]) * unit + 1e-6
 
 
+_held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+
 def tile(shard: Shard, unit: float, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """All (i of a, j of b) that may qualify; a and b of moderate length."""
-    apart = np.bitwise_count(shard.sig[a, 0][:, None] ^ shard.sig[b, 0])
-    for k in range(1, ws.SIGNATURE_WORDS):
-        apart += np.bitwise_count(shard.sig[a, k][:, None] ^ shard.sig[b, k])
-    bound = np.minimum((shard.size[a] * unit)[:, None].astype(np.float32) + (shard.size[b] * unit).astype(np.float32) + np.float32(1e-4), 250).astype(np.uint8)
-    i, j = np.nonzero(apart <= bound)
-    return a[i], b[j]
+    """All (i of a, j of b) that may qualify; a and b of moderate length. Works in arrays that fit the cache."""
+    shape = (len(a), len(b))
+    if shape not in _held:
+        if len(_held) > 200:
+            _held.clear()
+        _held[shape] = np.empty(shape, U), np.empty(shape, np.uint8), np.empty(shape, np.uint8)
+    bits, apart, more = _held[shape]
+    for k in range(ws.SIGNATURE_WORDS):
+        np.bitwise_xor(shard.sig[a, k][:, None], shard.sig[b, k], out=bits)
+        np.bitwise_count(bits, out=more if k else apart)
+        if k:
+            apart += more
+    top = min(250, int((shard.size[a].max() + shard.size[b].max()) * unit + 1e-4))
+    if int(apart.min()) > top:
+        return a[:0], b[:0]
+    i, j = np.nonzero(apart <= top)
+    ok = apart[i, j] <= (shard.size[a[i]] + shard.size[b[j]]) * unit + 1e-6
+    return a[i[ok]], b[j[ok]]
