@@ -47,5 +47,73 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return records.join(wanted, "doc_id").join(topics.where("z_cluster is not null"), "cluster").select("doc_id", "z_cluster")
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p4_found, p5_found, p7_found)}
-SQL: dict[str, str] = {}
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .linked_splits import split_leaks
+
+    return split_leaks(_read(spark, sf, "data_btp"), _read(spark, sf, "accident_links"))
+
+
+def p3_splits(spark: SparkSession, sf: str) -> DataFrame:
+    from .linked_splits import linked_splits
+
+    return linked_splits(_read(spark, sf, "data_btp"), _read(spark, sf, "accident_links"), _read(spark, sf, "split_targets"))
+
+
+def p6_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .balanced_sample import cube_sample
+
+    _, report = cube_sample(_read(spark, sf, "data_btp"), _read(spark, sf, "label_targets"))
+    return report.where("short > 0").select("plan_id", "pred_label")
+
+
+def p6_sample(spark: SparkSession, sf: str) -> DataFrame:
+    from .balanced_sample import cube_sample
+
+    return cube_sample(_read(spark, sf, "data_btp"), _read(spark, sf, "label_targets"))[0]
+
+
+def p8_ids(spark: SparkSession, sf: str) -> DataFrame:
+    from .tokens import encode
+
+    return encode(_read(spark, sf, "documents"))
+
+
+def p9_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"))[1].where("short").select("mix_id", "source")
+
+
+def p9_mix(spark: SparkSession, sf: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"))[0]
+
+
+def p9_report(spark: SparkSession, sf: str) -> DataFrame:
+    from .mixing import mix_sources
+
+    return mix_sources(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"))[1]
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_splits, p4_found, p5_found, p6_found, p6_sample, p7_found, p8_ids, p9_found, p9_mix, p9_report)}
+SQL: dict[str, str] = {
+    "p4_found": """
+        with v as (select run_id, doc_id, z_hat, case when isnan(z_confidence) then null else z_confidence end s, scored_at
+                   from pt_z_target where run_id is not null and doc_id is not null),
+        l as (select *, row_number() over (partition by run_id, doc_id order by scored_at desc nulls last, s desc nulls last, z_hat desc nulls last) r from v),
+        t as (select *, row_number() over (partition by run_id, z_hat order by s desc, doc_id) k from l where r = 1 and s is not null and z_hat is not null)
+        select run_id, z_hat, doc_id from t where k <= 5""",
+    "p3_found": """
+        with recursive k as (select 'ACC-' || regexp_replace(accident_id, '[^0-9]', '', 'g') a, split_name from data_btp where length(regexp_replace(accident_id, '[^0-9]', '', 'g')) = 9),
+        e as (select 'ACC-' || regexp_replace(accident_id_a, '[^0-9]', '', 'g') a, 'ACC-' || regexp_replace(accident_id_b, '[^0-9]', '', 'g') b from accident_links),
+        g as (select a, b from e union select b, a from e),
+        r as (select distinct a, a b from k union select r.a, g.b from r join g on r.b = g.a)
+        select r.a accident_id from r join k on r.b = k.a group by r.a having count(distinct k.split_name) > 1""",
+    "p6_found": """
+        with d as (select doc_id, min(upper(trim(pred_label))) l from data_btp
+                   where lower(trim(pred_ok)) in ('true', '1', 'yes', 't') and doc_id is not null and pred_label is not null group by doc_id),
+        c as (select l, count(*) n from d group by l)
+        select plan_id, pred_label from label_targets left join c on l = upper(pred_label)
+        where coalesce(n, 0) < greatest(min_rows, cast(round(target_share * sample_rows) as bigint))""",
+}
