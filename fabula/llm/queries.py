@@ -96,7 +96,13 @@ def p9_report(spark: SparkSession, sf: str) -> DataFrame:
     return mix_sources(_read(spark, sf, "documents"), _read(spark, sf, "mix_targets"))[1]
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_splits, p4_found, p5_found, p6_found, p6_sample, p7_found, p8_ids, p9_found, p9_mix, p9_report)}
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    from .residue import residue
+
+    return residue(_read(spark, sf, "documents")).where("doc_id is not null").select("doc_id").distinct()
+
+
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_splits, p4_found, p5_found, p6_found, p6_sample, p7_found, p8_ids, p9_found, p9_mix, p9_report, p10_found)}
 SQL: dict[str, str] = {
     "p4_found": """
         with v as (select run_id, doc_id, z_hat, case when isnan(z_confidence) then null else z_confidence end s, scored_at
