@@ -26,6 +26,8 @@ LEAF_ROWS, LEAF_SAMPLE = 256, 8
 LEAF_MOST = 2048
 SIGNATURE_BITS = 192
 POOL = 64
+#: A pair of cosine just min_cosine passes the signatures up to so many standard deviations (3: all but 0.13 %, fewer the more alike).
+DEVIATIONS = 3.0
 SEEN_BITS = 24
 U = np.uint64
 
@@ -140,7 +142,7 @@ def candidates_of(blocks: DataFrame, d: int, forest: list[Tree], min_cosine: flo
     sent_forest = sc.broadcast(forest)  # bounded by the sample
     parts = max(sc.defaultParallelism, rows * (TREES + PROBES) // 400_000)
     share = math.acos(max(-1.0, min(1.0, min_cosine))) / math.pi
-    limit = math.ceil(SIGNATURE_BITS * share + 4.5 * math.sqrt(SIGNATURE_BITS * share * (1 - share)))
+    limit = math.ceil(SIGNATURE_BITS * share + DEVIATIONS * math.sqrt(SIGNATURE_BITS * share * (1 - share)))
 
     def send(batches):
         for ids, v in read_blocks(batches, d):
