@@ -46,11 +46,9 @@ SIGNS_UNSET = ("XX/", "JJ/", "TT.", "DD/", "TBD", "null", "NaN", "None", "____",
 
 # Filler sentences and filler words.
 INVISIBLE = regex.compile(r"[\u200b-\u200f\u2060\ufeff\u00ad]")
-FILLER_SENTENCE = regex.compile(
-    r"texte d'exemple|texte de remplissage|paragraphe type|saisir ici|ne pas publier|à remplacer par|votre texte ici|sample text|placeholder copy|your (?:text|description|content) here|dummy text|replace it with"
-    r"|blindtext|mustertext|platzhaltertext|später der inhalt|texto de (?:muestra|relleno|ejemplo)|aquí irá|su texto aquí|testing[\d\s]*$",
-    regex.I,
-)
+FILLER_PHRASES = """texte d'exemple;texte de remplissage;paragraphe type;saisir ici;ne pas publier;à remplacer par;votre texte ici;sample text;placeholder copy
+your text here;your description here;your content here;dummy text;replace it with;blindtext;mustertext;platzhaltertext;später der inhalt
+texto de muestra;texto de relleno;texto de ejemplo;aquí irá;su texto aquí""".replace("\n", ";").split(";")
 FILLER_WORDS = set(
     """lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim
     veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit
@@ -121,12 +119,17 @@ def has_place(text: str) -> bool:
     return not upper and any(not LIST.search(text[max(0, m.start() - 16) : m.start()]) for m in TODO.finditer(text))
 
 
+def has_phrase(low: str) -> bool:
+    return any(x in low for x in FILLER_PHRASES)
+
+
 def is_filler(text: str) -> bool:
     """Are most words filler? Frame lines don't count."""
     # without any sign of filler the words needn't be counted
-    plain = text.lower().split()
-    bare = {w.strip(".,;:!?") for w in plain}
-    if bare.isdisjoint(SURE_FILLER) and len(bare) > 0.2 * len(plain) and not (len(plain) < 400 and (FILLER_SENTENCE.search(text) or AGAIN.search(text))):
+    low = text.lower()
+    plain = low.split()
+    known = set(plain) if len(plain) > PAGE_WORDS else {w.strip(".,;:!?") for w in plain}
+    if known.isdisjoint(SURE_FILLER) and len(known) > 0.2 * len(plain) and not has_phrase(low) and not (len(plain) <= PAGE_WORDS and AGAIN.search(low)):
         return False
     total = filler = sure = 0
     seen: dict[str, int] = {}
@@ -135,7 +138,7 @@ def is_filler(text: str) -> bool:
             continue
         words = [w.lower() for w in WORD.findall(s)]
         total += len(words)
-        if FILLER_SENTENCE.search(s):
+        if has_phrase(s.lower()):
             filler += len(words)
             sure += len(words)
         else:
@@ -153,7 +156,7 @@ def is_filler(text: str) -> bool:
 
 def is_page(text: str) -> bool:
     """Is the text an error message or a notice, with next to nothing else?"""
-    if len(text.split(None, 2 * PAGE_WORDS)) > 2 * PAGE_WORDS:
+    if len(text.split(None, PAGE_WORDS)) > PAGE_WORDS:
         return False
     rest = message = total = 0
     for s in SENTENCE.split(NAV.sub("\n", text)):
