@@ -98,7 +98,10 @@ def conditional_table(df: DataFrame, node: str, parents: list[str], sample_size:
 
 def chain_marginals(df: DataFrame, chain: list[str], sample_size: float = 5.0) -> DataFrame:
     """G5, G7. (node, p1): P(node = 1) along a chain, by joining each table with the marginal of its parent."""
+    from ..session import cut
+
     spark = df.sparkSession
+    df = cut(df.select(*chain))
     out, p1 = [], None
     for i, node in enumerate(chain):
         rows = conditional_table(df, node, chain[i - 1 : i] if i else [], sample_size).where(F.col(node) == 1).collect()  # at most two rows
@@ -138,9 +141,12 @@ def bic(counts: np.ndarray, total: int, q: int) -> float:
 
 def family_scores(df: DataFrame, families: list[tuple[str, tuple[str, ...]]]) -> DataFrame:
     """G3. (node, parents, bic) of stated families, each from one aggregation."""
+    from ..session import cut
+
     spark, out = df.sparkSession, []
+    held = cut(pattern_counts(df, sorted({c for node, ps in families for c in (node, *ps)})))
     for node, parents in families:
-        rows = family_counts(df, node, list(parents)).collect()  # at most 2 ** (parents + 1) rows
+        rows = held.groupBy(*parents, node).agg(F.sum("n").alias("count")).collect()  # at most 2 ** (parents + 1) rows
         table = np.zeros((2 ** len(parents), 2))
         for r in rows:
             table[sum(int(r[p] == 1) << i for i, p in enumerate(parents)), int(r[node] == 1)] += r["count"]

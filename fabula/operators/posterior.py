@@ -7,7 +7,6 @@ A vector's scores against all prototypes are one array column, so no (vector, pr
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,25 +16,63 @@ LOG_FLOOR = 1e-8
 
 
 def prototypes(vectors: DataFrame, label: str) -> DataFrame:
-    """(id, vec): normalised mean of the unit vectors (array column embedding) of each label."""
-    unit = vectors.where(F.col(label).isNotNull()).select(F.col(label).alias("id"), l2_normalised(F.col("embedding")).alias("u"))
-    long = unit.select("id", F.posexplode("u").alias("pos", "x")).groupBy("id", "pos").agg(F.avg("x").alias("m"))
-    mean = long.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda s: s["m"]).alias("m"))  # D entries a label
-    return mean.select("id", l2_normalised(F.col("m")).alias("vec"))
-
-
-def table_of(protos: DataFrame) -> DataFrame:
-    """One row: ids and vecs, arrays in the order of id."""
-    return protos.groupBy().agg(F.array_sort(F.collect_list(F.struct("id", "vec"))).alias("t")).select(F.transform("t", lambda s: s["id"]).alias("ids"), F.transform("t", lambda s: s["vec"]).alias("vecs"))
+    """(id, vec): normalised mean of the unit vectors (array column embedding) of each label; one partial sum a task and label."""
+    import pyarrow as pa
+
+    rows = vectors.where(F.col(label).isNotNull() & F.col("embedding").isNotNull()).select(F.col(label).alias("id"), "embedding")
+    kind = dict(rows.dtypes)["id"]
+
+    def part(batches):
+        total: dict = {}
+        for b in batches:
+            if not b.num_rows:
+                continue
+            x = np.asarray(b.column("embedding").flatten(), np.float64).reshape(b.num_rows, -1)
+            x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), EPS)
+            names = b.column("id").dictionary_encode()
+            code = np.asarray(names.indices)
+            for k, name in enumerate(names.dictionary.to_pylist()):
+                mine = x[code == k]
+                n, s = total.get(name, (0, 0.0))
+                total[name] = (n + len(mine), s + mine.sum(0))
+        ids = list(total)
+        of = pa.string() if kind == "string" else pa.int32() if kind == "int" else pa.int64()
+        yield pa.RecordBatch.from_arrays([pa.array(ids, of), pa.array([total[i][0] for i in ids], pa.int64()), pa.array([total[i][1].tobytes() for i in ids], pa.binary())], ["id", "n", "s"])
+
+    def whole(key, t):
+        m = np.sum([np.frombuffer(x) for x in t.column("s").to_pylist()], axis=0) / sum(t.column("n").to_pylist())
+        return pa.table({"id": t.column("id").slice(0, 1), "vec": pa.array([(m / max(float(np.linalg.norm(m)), EPS)).tolist()], pa.list_(pa.float64()))})
+
+    return rows.mapInArrow(part, f"id {kind}, n long, s binary").groupBy("id").applyInArrow(whole, f"id {kind}, vec array<double>")
 
 
 def scored(vectors: DataFrame, protos: DataFrame, temperature: float, name: str = "p") -> DataFrame:
-    """M2, M8. vectors with `name`: softmax over prototypes of cosine / temperature, in the order of id; name_ids: the ids."""
-    t = table_of(protos)
-    unit = vectors.withColumn("_u", l2_normalised(F.col("embedding")))
-    out = unit.crossJoin(F.broadcast(t))  # a single row
-    cos = F.transform("vecs", lambda v: dot(F.col("_u"), v) / temperature)
-    return out.withColumn(name, softmax(cos)).withColumnRenamed("ids", f"{name}_ids").drop("vecs", "_u")
+    """M2, M8. vectors with `name`: softmax over prototypes of cosine / temperature, in the order of id; name_ids: the ids.
+
+    The prototypes, a row a label or topic, go to the tasks; a batch of vectors is one matrix product. Rows without vector are left out.
+    """
+    import pyarrow as pa
+    from pyspark.sql.types import ArrayType, DoubleType, StructType
+
+    table = protos.select("id", "vec").orderBy("id").collect()
+    p = np.array([r["vec"] for r in table], np.float64).reshape(len(table), -1)
+    p = (p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), EPS)).T
+    k = len(table)
+
+    def run(batches):
+        for b in batches:
+            x = np.asarray(b.column("embedding").flatten(), np.float64).reshape(b.num_rows, -1)
+            s = np.zeros((b.num_rows, 0))
+            if k and b.num_rows:
+                s = x @ p / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), EPS) / temperature
+                s = np.exp(s - s.max(1, keepdims=True))
+                s /= s.sum(1, keepdims=True)
+            ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * k)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, pa.array(s.ravel()))], [*b.schema.names, name])
+
+    schema = StructType([*vectors.schema.fields]).add(name, ArrayType(DoubleType()))
+    out = vectors.where(F.col("embedding").isNotNull()).mapInArrow(run, schema)
+    return out.withColumn(f"{name}_ids", F.array(*[F.lit(r["id"]) for r in table]))
 
 
 def topic_labels(topics: DataFrame, labels: DataFrame, temperature: float = 1.0) -> DataFrame:
@@ -105,30 +142,32 @@ def sinkhorn(scores: DataFrame, sharpness: float = 25.0, tolerance: float = 0.1,
     Only the k column factors are held between steps; each step is one pass that sums k numbers a task, and a row's own factor is
     derived from them, so that no (row, topic) table is shuffled or kept.
     """
+    import pyarrow as pa
+
     from ..session import cut
 
-    rows = cut(scores.select("doc_id", "s"))
+    rows = cut(scores.where(F.size("s") > 0).select("doc_id", "s"))
     n = rows.count()
     if n == 0:
         return scores.sparkSession.createDataFrame([], "doc_id long, z_hat int")
     k = rows.select(F.size("s")).first()[0]
     factors = np.full(k, 1.0)
 
-    def kernel(s: np.ndarray) -> np.ndarray:
+    def kernel(b) -> np.ndarray:
+        s = np.asarray(b.column("s").flatten(), np.float64).reshape(b.num_rows, k)
         return np.maximum(np.maximum(s / s.max(1, keepdims=True), 1e-300) ** sharpness, 1e-300)
 
     for step in range(1, most + 1):
         c = factors
 
-        def sums(frames, c=c):
+        def sums(batches, c=c):
             mass = np.zeros(k)
-            for f in frames:
-                p = kernel(np.stack(f["s"].to_numpy()))
-                r = (1.0 / n) / (p @ c)
-                mass += r @ p
-            yield pd.DataFrame({"m": [mass.tolist()]})
+            for b in batches:
+                p = kernel(b)
+                mass += (1.0 / n) / (p @ c) @ p
+            yield pa.RecordBatch.from_arrays([pa.array([mass.tobytes()], pa.binary())], ["m"])
 
-        mass = np.sum([r.m for r in rows.mapInPandas(sums, "m array<double>").collect()], axis=0)  # k numbers a task
+        mass = np.sum([np.frombuffer(r.m) for r in rows.select("s").mapInArrow(sums, "m binary").collect()], axis=0)  # k numbers a task
         fresh = (1.0 / k) / mass
         fresh /= fresh.sum()
         moved = np.abs(fresh / (c / c.sum()) - 1).sum()
@@ -137,11 +176,11 @@ def sinkhorn(scores: DataFrame, sharpness: float = 25.0, tolerance: float = 0.1,
             break
     final = factors
 
-    def pick(frames):
-        for f in frames:
-            yield pd.DataFrame({"doc_id": f["doc_id"], "z_hat": (kernel(np.stack(f["s"].to_numpy())) * final).argmax(1).astype(np.int32)})
+    def pick(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array((kernel(b) * final).argmax(1).astype(np.int32))], ["doc_id", "z_hat"])
 
-    return rows.mapInPandas(pick, "doc_id long, z_hat int")
+    return rows.mapInArrow(pick, "doc_id long, z_hat int")
 
 
 def initial_topics(df: DataFrame, k: int, mode: str = "p0_block", classes: int = len(MACROS)) -> DataFrame:

@@ -128,7 +128,9 @@ def _chain(spark: SparkSession, sf: str) -> DataFrame:
     for c in CHAIN:
         if c not in m.columns:
             m = m.withColumn(c, F.lit(0))
-    return m.select("accident_id", *CHAIN)
+    from ..session import cut
+
+    return cut(m.select("accident_id", *CHAIN))
 
 
 CPD = """cp as (select 'M_A0' node, '' given, s.s, ((select count(*) from mx where "M_A0" = s.s) + 2.5) / ((select count(*) from mx) + 5) p from (select unnest([0, 1]) s) s
