@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import wordsets as ws
 from .near_duplicates import BLOCK, HIGH, LOW, skip
-from .overlap import Shard, close, overlaps, tile
+from .overlap import HOT, Shard, close, overlaps, piece_pairs, tile
 
 TRAIN, EVALUATION = 1, 2
 CHUNK = 1_000_000
@@ -70,7 +70,7 @@ class FullTextIndex:
         return np.searchsorted(self.key, code * (self.n + 1) + lo) + at, np.searchsorted(self.key, code * (self.n + 1) + hi) + at
 
 
-def cross_pairs(shard: Shard, unit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def cross_pairs(shard: Shard, unit: float, hot: int) -> Iterator[tuple[np.ndarray, np.ndarray] | bytes]:
     """(training, evaluation) classes of a shard that may qualify."""
     word = shard.sym.astype(np.int64) * (len(ws.LEVELS) + 1) + shard.level + 1
     known, code = np.unique(word, return_inverse=True)
@@ -111,6 +111,9 @@ def cross_pairs(shard: Shard, unit: float) -> Iterator[tuple[np.ndarray, np.ndar
         wide[order[a:b]] = True
         lv = int(level[k])
         left, right = doc[order[a:b]], names[index.owner[lo[k] : hi[k]]]
+        if len(left) > hot or len(right) > hot:
+            yield from piece_pairs(shard, lv - 1, left, right, hot)
+            continue
         left, right = (x[np.argsort(shard.slack[x], kind="stable")] for x in (left, right))
         lefts, rights = ([x[q : q + BLOCK] for q in range(0, len(x), BLOCK)] for x in (left, right))
         spans = [(shard.slack[x[0]], shard.slack[x[-1]]) for x in rights]
@@ -136,7 +139,7 @@ def cross_pairs(shard: Shard, unit: float) -> Iterator[tuple[np.ndarray, np.ndar
             p = q
 
 
-def cross_split(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+def cross_split(docs: DataFrame, threshold: float = 0.8, hot: int = HOT) -> DataFrame:
     """(doc_id_a, doc_id_b), a < b: pairs of a training and an evaluation record whose word sets overlap by the threshold or more.
 
     docs: doc_id long, text string, side int (1 training, 2 evaluation; other values take no part). Rows delivered again
@@ -144,7 +147,7 @@ def cross_split(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     partner; an empty table gives an empty result. Copies are held as one class until the result is written.
     """
     docs = docs.select("doc_id", "text", F.col("side").cast("int").alias("side")).where("doc_id is not null and text is not null and side in (1, 2)")
-    links, members = overlaps(docs, threshold, cross_pairs)
+    links, members = overlaps(docs, threshold, cross_pairs, hot=hot)
     train = members.where(F.col("side") == TRAIN).select(F.col("class").alias("a"), F.col("doc_id").alias("x"))
     evaluation = members.where(F.col("side") == EVALUATION).select(F.col("class").alias("b"), F.col("doc_id").alias("y"))
     same = members.where(F.col("side") == EVALUATION).select(F.col("class").alias("a"), F.col("class").alias("b")).distinct()

@@ -14,9 +14,10 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import cut
 from . import wordsets as ws
 from .components import components
-from .overlap import Shard, close, overlaps, tile
+from .overlap import HOT, Shard, close, overlaps, piece_pairs, tile
 
 BLOCK, SMALL, CHUNK = 256, 40, 1_000_000
 
@@ -30,7 +31,7 @@ def runs(shard: Shard) -> tuple[np.ndarray, np.ndarray]:
     return first, np.r_[first[1:], len(shard.sym)]
 
 
-def self_pairs(shard: Shard, unit: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def self_pairs(shard: Shard, unit: float, hot: int) -> Iterator[tuple[np.ndarray, np.ndarray] | bytes]:
     first, end = runs(shard)
     length = end - first
     # short lists: all their pairs at once, in chunks
@@ -58,6 +59,9 @@ def self_pairs(shard: Shard, unit: float) -> Iterator[tuple[np.ndarray, np.ndarr
     for f, e in zip(first[length > SMALL], end[length > SMALL]):
         level = int(shard.level[f])
         members = shard.doc[f:e]
+        if len(members) > hot:
+            yield from piece_pairs(shard, level, members, None, hot)
+            continue
         members = members[np.argsort(shard.slack[members], kind="stable")]
         blocks = [members[k : k + BLOCK] for k in range(0, len(members), BLOCK)]
         spans = [(shard.slack[b[0]], shard.slack[b[-1]]) for b in blocks]
@@ -83,7 +87,7 @@ def skip(one: tuple[float, float], other: tuple[float, float], level: int) -> bo
     return one[1] + other[1] < LOW[level + 1] or one[0] + other[0] >= HIGH[level + 1]
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, hot: int = HOT) -> DataFrame:
     """(doc_id, group_doc_id, links): every record of a group of two or more, with the group's smallest doc_id and the
     number of links of its class to other texts that were computed.
 
@@ -92,9 +96,7 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
     an empty result.
     """
     docs = docs.select("doc_id", F.col("text"), F.lit(1).alias("side")).where("doc_id is not null and text is not null")
-    from ..session import cut
-
-    links, members = overlaps(docs, threshold, self_pairs, derive=True)
+    links, members = overlaps(docs, threshold, self_pairs, derive=True, hot=hot)
     links = cut(links)
     comp = components(links)
     ends = links.select(F.col("a").alias("class")).union(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("links"))

@@ -27,6 +27,8 @@ RANGES = 64
 #: A word in more than this share of the rows (and more than RARE_LEAST rows) is frequent. Any value gives the same result.
 RARE_SHARE, RARE_LEAST = 0.0025, 64
 MIN_WORDS = 5
+#: A symbol's list with more classes than this is cut into pieces of as many; pairs of pieces become tasks of their own.
+HOT = 40_000
 SEEN_BITS = 24
 U = np.uint64
 
@@ -254,11 +256,60 @@ def seen_at(batch: pa.RecordBatch) -> np.ndarray:
     return (ws.mix(np.asarray(batch.column("doc_id")).view(U), 9) >> U(64 - SEEN_BITS)).astype(np.int64)
 
 
-def overlaps(docs: DataFrame, threshold: float, search: Callable, derive: bool = False) -> tuple[DataFrame, DataFrame]:
+def piece_pairs(shard: Shard, level: int, a: np.ndarray, b: np.ndarray | None, hot: int) -> Iterator[bytes]:
+    """The work of a hot list, in pairs of pieces: classes a against b, or all pairs of a. Pieces follow the slack, so that
+    pairs of pieces which the level rules out are left out."""
+    from .near_duplicates import skip
+
+    cuts = lambda x: [y for k in range(0, len(x), hot) if len(y := x[k : k + hot])]
+    a = a[np.argsort(shard.slack[a], kind="stable")]
+    lefts = cuts(a)
+    rights = lefts if b is None else cuts(b[np.argsort(shard.slack[b], kind="stable")])
+    for p, x in enumerate(lefts):
+        for q in range(p if b is None else 0, len(rights)):
+            y = rights[q]
+            if level >= 0 and skip((shard.slack[x[0]], shard.slack[x[-1]]), (shard.slack[y[0]], shard.slack[y[-1]]), level):
+                continue
+            at = np.concatenate([x, y])
+            head = np.array([len(x), len(y), level, b is None and p == q], np.int64).tobytes()
+            yield head + Shard.pack(shard.cls[at], shard.sig[at], shard.size[at], shard.slack[at], shard.side[at], np.empty(0), np.empty(0), np.empty(0))
+
+
+class Pieces:
+    """The classes of two pieces, in place of a shard."""
+
+    def __init__(self, blob: bytes) -> None:
+        n, m, self.level, same = np.frombuffer(blob, np.int64, 4)
+        self.same = bool(same)
+        at = 32 + 16
+        for k, t, w in Shard.FIELDS:
+            x = np.frombuffer(blob, t, int(n + m) * w, at)
+            setattr(self, k, x.reshape(-1, w) if w > 1 else x)
+            at += x.nbytes
+        self.a, self.b = np.arange(n), np.arange(n, n + m)
+
+    def pairs(self, unit: float, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        from .near_duplicates import HIGH, LOW, skip
+
+        level = int(self.level)
+        for p in range(0, len(self.a), block):
+            x = self.a[p : p + block]
+            for q in range(p if self.same else 0, len(self.b), block):
+                y = self.b[q : q + block]
+                if level >= 0 and skip((self.slack[x[0]], self.slack[x[-1]]), (self.slack[y[0]], self.slack[y[-1]]), level):
+                    continue
+                i, j = tile(self, unit, x, y)
+                sums = self.slack[i] + self.slack[j]
+                ok = (self.cls[i] != self.cls[j]) & (sums >= LOW[level + 1]) & (sums < HIGH[level + 1])
+                yield i[ok], j[ok]
+
+
+def overlaps(docs: DataFrame, threshold: float, search: Callable, derive: bool = False, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
     """(links, members): links (a, b, shared, total) between different classes, members (class, doc_id, side, slack).
 
     docs: doc_id long, text string, side int (1, 2: which side of the search; all 1 for a self-join).
-    search(shard, unit): yields (i, j) arrays of positions of the classes of a shard that may qualify.
+    search(shard, unit, hot): yields (i, j) arrays of positions of the classes of a shard that may qualify, and the work of
+    lists longer than hot as bytes (`piece_pairs`), which is spread over all tasks afterwards.
     """
     spark = docs.sparkSession
     unit = (1 - threshold) / (1 + threshold)
@@ -274,26 +325,44 @@ def overlaps(docs: DataFrame, threshold: float, search: Callable, derive: bool =
             return
         shard = Shard(blobs)
         del blobs
+        yield from collected(shard.cls, search(shard, unit, hot))
+
+    def collected(cls, found):
         held, n = [], 0
 
         def out():
             i, j = (np.concatenate(x) for x in zip(*held))
-            key = np.unique(i * len(shard.cls) + j)
-            i, j = key // len(shard.cls), key % len(shard.cls)
-            return pa.RecordBatch.from_arrays([pa.array(shard.cls[i].view(np.int64)), pa.array(shard.cls[j].view(np.int64))], ["a", "b"])
-
-        for i, j in search(shard, unit):
-            if len(i):
-                held.append((i.astype(np.int64), j.astype(np.int64)))
-                n += len(i)
+            key = np.unique(i * len(cls) + j)
+            a, b = cls[key // len(cls)].view(np.int64), cls[key % len(cls)].view(np.int64)
+            if derive:  # pairs without direction
+                a, b = np.minimum(a, b), np.maximum(a, b)
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.binary())], ["a", "b", "work"])
+
+        for x in found:
+            if isinstance(x, bytes):
+                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([x], pa.binary())], ["a", "b", "work"])
+            elif len(x[0]):
+                held.append((x[0].astype(np.int64), x[1].astype(np.int64)))
+                n += len(x[0])
                 if n > 2_000_000:
                     yield out()
                     held, n = [], 0
         if held:
             yield out()
 
-    pairs = cut(shards_of(docs, state, unit, most, parts).repartitionById(parts, F.col("part")).mapInArrow(join, "a long, b long").distinct())
-    return verified(docs, members, pairs, threshold, derive), members
+    def work(batches):
+        for b in batches:
+            for blob in b.column("work").to_pylist():
+                pieces = Pieces(blob)
+                yield from collected(pieces.cls, pieces.pairs(unit))
+
+    schema = "a long, b long, work binary"
+    first = cut(shards_of(docs, state, unit, most, parts).repartitionById(parts, F.col("part")).mapInArrow(join, schema))
+    pairs = first.where("work is null").select("a", "b")
+    if jobs := first.where("work is not null").count():
+        spread = first.where("work is not null").select("work").repartition(min(jobs, 8 * parts))
+        pairs = pairs.union(spread.mapInArrow(work, schema).select("a", "b"))
+    return verified(docs, members, cut(pairs.distinct()), threshold, derive), members
 
 
 def close(shard: Shard, unit: float, i: np.ndarray, j: np.ndarray) -> np.ndarray:
