@@ -92,12 +92,18 @@ def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 1, path: str =
 
     def plan(pdf: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf[pdf.tokens > 0].sort_values("tokens")
-        size, count, out = pdf.tokens.to_numpy(np.int64), pdf.n.to_numpy(np.int64), []
+        size, count = pdf.tokens.to_numpy(np.int64), pdf.n.to_numpy(np.int64)
+        out = {k: [np.empty(0, np.int64)] for k in ("mix_id", "tokens", "uses", "extra")}
+        source: list[str] = []
         for w in wanted.itertuples(index=False):
             uses, extra = fill(float(w.goal), size, count, int(w.max_uses), seed + int(w.mix_id))
             keep = (uses > 0) | (extra > 0)
-            out.append(pd.DataFrame({"mix_id": w.mix_id, "source": w.source, "tokens": size[keep], "uses": uses, "extra": extra[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"mix_id": [], "source": [], "tokens": [], "uses": [], "extra": []})
+            n = int(keep.sum())
+            source += [str(w.source)] * n
+            for k, v in (("mix_id", np.full(n, w.mix_id)), ("tokens", size[keep]), ("uses", np.full(n, uses)), ("extra", extra[keep])):
+                out[k].append(v.astype(np.int64))
+        done = {k: np.concatenate(v) for k, v in out.items()}
+        return pd.DataFrame({"mix_id": done["mix_id"].astype(np.int32), "source": np.array(source, object), "tokens": done["tokens"], "uses": done["uses"].astype(np.int32), "extra": done["extra"]}).astype({"source": object})
 
     plans = cut(lengths.groupBy("source").cogroup(goals.groupBy("source")).applyInPandas(plan, "mix_id int, source string, tokens long, uses int, extra long"))
     # place of a document among those of its source and length, by hash: cells first, so that no group is sorted in one task

@@ -102,7 +102,51 @@ def p10_found(spark: SparkSession, sf: str) -> DataFrame:
     return residue(_read(spark, sf, "documents")).where("doc_id is not null").select("doc_id").distinct()
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p3_found, p3_splits, p4_found, p5_found, p6_found, p6_sample, p7_found, p8_ids, p9_found, p9_mix, p9_report, p10_found)}
+def p1_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Per corpus, split and source: evaluation records, and how many of them overlap training records."""
+    found = p1_found(spark, sf)
+    hit = found.select(F.col("doc_id_a").alias("doc_id")).union(found.select(F.col("doc_id_b").alias("doc_id"))).distinct().withColumn("hit", F.lit(1))
+    btp = _read(spark, sf, "data_btp").where(F.col("split_name").isin("validation", "test")).select("doc_id", F.lit("btp").alias("corpus"), "split_name", "source")
+    other = _read(spark, sf, "data_metallurgie").select("doc_id", F.lit("metallurgie").alias("corpus"), F.lit("test").alias("split_name"), "source")
+    rows = btp.union(other).where("doc_id is not null").groupBy("doc_id", "corpus", "split_name").agg(F.min("source").alias("source"))
+    return rows.join(hit, "doc_id", "left").groupBy("corpus", "split_name", "source").agg(F.count("*").alias("records"), F.count("hit").alias("overlapping"))
+
+
+def p4_top_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    """Fresh lists for the older theme export: the sentences of the best records of every topic, joined by ||."""
+    from .top_n import top_n
+
+    top = top_n(_read(spark, sf, "pt_z_target"), 5)
+    text = _read(spark, sf, "data_metallurgie").where("doc_id is not null and sentence is not null").groupBy("doc_id").agg(F.min("sentence").alias("sentence"))
+    rows = top.join(text, "doc_id").groupBy("run_id", F.col("z_hat").alias("z_id")).agg(F.array_sort(F.collect_list(F.struct("place", "sentence"))).alias("s"))  # five a group
+    return rows.select("run_id", "z_id", F.concat_ws(" || ", F.transform("s", lambda x: x["sentence"])).alias("top_sentences"))
+
+
+def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """Each group with size, prevailing topic and its five most typical members."""
+    from .clusters import clusters, typical
+
+    records, topics = clusters(_read(spark, sf, "qwen3_embedding"), _read(spark, sf, "metadata_with_malt_predictions").select("doc_id", "z_hat"))
+    best = typical(records).groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "doc_id"))), lambda s: s["doc_id"]).alias("typical"))  # five a group
+    return topics.join(best, "cluster")
+
+
+def p6_report(spark: SparkSession, sf: str) -> DataFrame:
+    from .balanced_sample import cube_sample
+
+    return cube_sample(_read(spark, sf, "data_btp"), _read(spark, sf, "label_targets"))[1]
+
+
+def p10_clean(spark: SparkSession, sf: str) -> DataFrame:
+    from .residue import clean
+
+    return clean(_read(spark, sf, "documents")).select("doc_id", "source")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (p1_found, p1_report, p2_found, p3_found, p3_splits, p4_found, p4_top_sentences, p5_found, p5_groups, p6_found, p6_sample, p6_report, p7_found, p8_ids, p9_found, p9_mix, p9_report, p10_found, p10_clean)
+}
 SQL: dict[str, str] = {
     "p4_found": """
         with v as (select run_id, doc_id, z_hat, case when isnan(z_confidence) then null else z_confidence end s, scored_at

@@ -85,6 +85,9 @@ NAV = regex.compile(
 )
 #: Words that a page may hold besides its message, at least and as a share; share of filler words that makes a text filler.
 PAGE_REST, PAGE_SHARE, FILLER_SHARE = 6, 0.12, 0.5
+QUOTED = regex.compile(r"«[^»\n]*»|\"[^\"\n]*\"|“[^”\n]*”")
+#: A sentence of more words is no message.
+MESSAGE_WORDS = 40
 #: Pages are short; a text of more words is never one.
 PAGE_WORDS = 160
 
@@ -164,7 +167,8 @@ def is_page(text: str) -> bool:
         total += words
         if rest > max(PAGE_REST, PAGE_SHARE * PAGE_WORDS):
             return False
-        if ERROR.search(s) or NOTICE.search(s):
+        said = s if s.lstrip().startswith("{") else QUOTED.sub(" ", s)  # what is only quoted is no message
+        if words <= MESSAGE_WORDS and (ERROR.search(said) or NOTICE.search(said)):
             message += 1
         elif not FRAME.search(s):
             rest += words
