@@ -119,9 +119,10 @@ def cube_sample(records: DataFrame, targets: DataFrame, seed: int = 1) -> tuple[
 
     from ..session import cut
 
-    first = cut(eligible(records).mapInArrow(fly, schema))
+    # the flight costs more than its bytes tell: tasks by the number of records
+    parts = max(spark.sparkContext.defaultParallelism, sum({r.label: r.eligible for r in plans}.values()) // 50_000)
+    first = cut(eligible(records.select("doc_id", "pred_label", "pred_ok").repartition(parts, "doc_id")).mapInArrow(fly, schema))
     taken, open_rows = [first.where(F.col("p") >= 1 - EPS)], first.where(F.col("p") < 1 - EPS)
-    parts = max(1, first.rdd.getNumPartitions())
     while True:
         parts = max(1, parts // MERGE)
         moved = cut(open_rows.repartition(parts).mapInArrow(again, schema))
