@@ -219,7 +219,7 @@ def prototype_em(vectors: DataFrame, start: DataFrame, steps: int = 5, temperatu
 def kmeans_topics(vectors: DataFrame, by: str, k: int, seed: int = 42) -> DataFrame:
     """M12, M13. (doc_id, by, cluster, distance): k-means within each label, by label in turn (there are few)."""
     from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.functions import array_to_vector
 
     out = None
     for (m,) in vectors.select(by).where(F.col(by).isNotNull()).distinct().orderBy(by).collect():  # a row a label

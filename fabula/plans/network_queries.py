@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import l2_normalised
 from ..operators import chunking, contrastive, network, splits
-from ..sources import readers
 from .registry import query
 from .tables import PREDICTIONS, UNIT_VECTORS, UNITS, VECTORS, embedded, labelled, predictions, rounded, table, units
 

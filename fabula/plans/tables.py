@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import MACROS
 from ..sources import readers
 
 DIMS = [f"dim_{i}" for i in range(1, 65)]

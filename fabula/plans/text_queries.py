@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import agreement, quality, topics
 from ..sources import readers
 from .registry import query
-from .tables import PREDICTIONS, UNITS, VECTORS, first_delivery, labelled, predictions, rounded, table, units, vectors
+from .tables import PREDICTIONS, UNITS, VECTORS, labelled, predictions, rounded, table, units, vectors
 
 
 @query(f"with {UNITS} select doc_id, accident_id, fact_id, sentence, pred_label, macro_id::int macro_id, pred_subtype, company_code from units")

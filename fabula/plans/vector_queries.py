@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import MACROS, argmax, entropy, l2_normalised
+from ..functions.scalars import MACROS, argmax, entropy
 from ..operators import geometry, posterior
 from .registry import query
-from .tables import DIMS, LIST, PREDICTIONS, UNIT_VECTORS, UNITS, VECTORS, embedded, labelled, predictions, rounded, table, units, vectors
+from .tables import PREDICTIONS, UNIT_VECTORS, UNITS, VECTORS, embedded, labelled, predictions, rounded, vectors
 
 # long form of labelled vectors and their sums, for the checks
 LONG = f"{UNITS}, {VECTORS}, lv as (select doc_id, pred_label c, v from units join vectors using (doc_id)), l as (select doc_id, c, unnest(v) x, generate_subscripts(v, 1) i from lv)"
@@ -191,8 +191,6 @@ def scgm_losses(spark: SparkSession, sf: str) -> DataFrame:
     select round(em_z, 5) em_z, round(em_yz, 5) em_yz, round(em_z + em_yz, 5) em, round((select sum(w * x) / sum(w) from m), 5) macro, round((select avg(-ln(greatest(x, 1e-12))) - ln(count(*)) from g), 5) balance from a"""
 )
 def malt_losses(spark: SparkSession, sf: str) -> DataFrame:
-    from ..functions.scalars import one_hot  # noqa: F401
-
     yz = _yz(spark, sf)
     t = yz.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "q"))), lambda s: s["q"]).alias("qs"))
     rows = posterior.with_mixture(posterior.scored(_zx(spark, sf), _labels(spark, sf), 0.1, "p0"), yz).crossJoin(F.broadcast(t))  # a single row
