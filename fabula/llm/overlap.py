@@ -382,7 +382,8 @@ def tile(shard: Shard, unit: float, a: np.ndarray, b: np.ndarray) -> tuple[np.nd
             _held.clear()
         _held[shape] = np.empty(shape, U), np.empty(shape, np.uint8), np.empty(shape, np.uint8)
     bits, apart, more = _held[shape]
-    for k in range(ws.SIGNATURE_WORDS):
+    # all but the last word for every pair, the last for those that are left
+    for k in range(ws.SIGNATURE_WORDS - 1):
         np.bitwise_xor(shard.sig[a, k][:, None], shard.sig[b, k], out=bits)
         np.bitwise_count(bits, out=more if k else apart)
         if k:
@@ -390,6 +391,8 @@ def tile(shard: Shard, unit: float, a: np.ndarray, b: np.ndarray) -> tuple[np.nd
     top = min(250, int((shard.size[a].max() + shard.size[b].max()) * unit + 1e-4))
     if int(apart.min()) > top:
         return a[:0], b[:0]
-    i, j = np.nonzero(apart <= top)
-    ok = apart[i, j] <= (shard.size[a[i]] + shard.size[b[j]]) * unit + 1e-6
-    return a[i[ok]], b[j[ok]]
+    i, j = np.divmod(np.flatnonzero(apart <= top), len(b))
+    left, right = a[i], b[j]
+    last = np.bitwise_count(shard.sig[left, -1] ^ shard.sig[right, -1])
+    ok = apart[i, j].astype(np.int32) + last <= (shard.size[left] + shard.size[right]) * unit + 1e-6
+    return left[ok], right[ok]
