@@ -167,3 +167,13 @@ SQL: dict[str, str] = {
         select plan_id, pred_label from label_targets left join c on l = upper(pred_label)
         where coalesce(n, 0) < greatest(min_rows, cast(round(target_share * sample_rows) as bigint))""",
 }
+SQL["p4_top_sentences"] = (
+    SQL["p4_found"].rsplit("select run_id, z_hat, doc_id from t where k <= 5", 1)[0]
+    + """select run_id, z_hat z_id, string_agg(sentence, ' || ' order by k) top_sentences from t
+        join (select doc_id, min(sentence) sentence from data_metallurgie where doc_id is not null and sentence is not null group by 1) using (doc_id) where k <= 5 group by 1, 2"""
+)
+SQL["p6_report"] = (
+    SQL["p6_found"].rsplit("select plan_id, pred_label from label_targets", 1)[0]
+    + """, w as (select plan_id, pred_label, greatest(min_rows, cast(round(target_share * sample_rows) as bigint)) wanted, coalesce(n, 0) eligible from label_targets left join c on l = upper(pred_label))
+        select plan_id, pred_label, wanted, eligible, least(wanted, eligible) drawn, greatest(wanted - eligible, 0) short, 0 residual from w"""
+)
