@@ -3,7 +3,10 @@
 The forest is fitted on a bounded sample (SAMPLE vectors of smallest hash); every vector is indexed in one leaf of every
 tree. A vector also searches: besides its own leaves it visits the PROBES leaves behind the splits it missed by the
 smallest margin over all trees (one priority queue shared by the trees). In a leaf, signatures of random projections
-rule out pairs that are surely below min_cosine; what is left is reranked by exact cosines.
+rule out pairs that are surely below min_cosine; what is left, however many, is reranked by exact cosines.
+
+Equal vectors are one class (named by a 64-bit hash of its values) until results are written: a class is indexed once, and
+its k + 1 least doc_ids stand for it among the neighbours, as no record needs more of them.
 """
 
 from __future__ import annotations
@@ -25,7 +28,6 @@ LEAF_ROWS, LEAF_SAMPLE = 256, 8
 #: A leaf of more rows is split on, by bits of the signatures.
 LEAF_MOST = 2048
 SIGNATURE_BITS = 192
-POOL = 64
 #: A pair of cosine just min_cosine passes the signatures up to so many standard deviations (3: all but 0.13 %, fewer the more alike).
 DEVIATIONS = 3.0
 SEEN_BITS = 24
@@ -63,7 +65,7 @@ class Tree:
         for _ in range(4):
             a, b = x[rng.integers(len(x), size=2)]
             w = a - b
-            if (n := float(np.linalg.norm(w))) < 1e-6:
+            if (n := float(np.linalg.norm(w))) == 0:
                 continue
             part = float((x @ (w / n) > 0).mean())
             if min(part, 1 - part) > best:
@@ -88,6 +90,15 @@ class Tree:
         return (-1 - at, passed) if note else -1 - at
 
 
+def class_hashes(x: np.ndarray) -> np.ndarray:
+    """The same number for equal vectors."""
+    words = np.ascontiguousarray(x + np.float32(0), np.float32).view(np.uint32)  # -0 is 0
+    h = np.zeros(len(x), U)
+    for k in range(words.shape[1]):
+        h += mix(words[:, k], 1000 + k)
+    return h.view(np.int64)
+
+
 def signatures(x: np.ndarray) -> np.ndarray:
     rng = np.random.default_rng(20_011)
     planes = rng.standard_normal((x.shape[1], SIGNATURE_BITS)).astype(np.float32)
@@ -137,7 +148,7 @@ def cells(sig: np.ndarray, seed: int) -> np.ndarray:
 
 
 def candidates_of(blocks: DataFrame, d: int, forest: list[Tree], min_cosine: float, rows: int) -> DataFrame:
-    """(a, b): pairs that met in a leaf and may reach min_cosine; of each searching vector at most POOL per leaf, the likeliest."""
+    """(a, b): all pairs of classes that met in a leaf and may reach min_cosine."""
     sc = blocks.sparkSession.sparkContext
     sent_forest = sc.broadcast(forest)  # bounded by the sample
     parts = max(sc.defaultParallelism, rows * (TREES + PROBES) // 400_000)
@@ -145,7 +156,9 @@ def candidates_of(blocks: DataFrame, d: int, forest: list[Tree], min_cosine: flo
     limit = math.ceil(SIGNATURE_BITS * share + DEVIATIONS * math.sqrt(SIGNATURE_BITS * share * (1 - share)))
 
     def send(batches):
-        for ids, v in read_blocks(batches, d):
+        for _, v in read_blocks(batches, d):
+            ids, first = np.unique(class_hashes(v), return_index=True)
+            v = v[first]
             row, tree, leaf, own = visits(sent_forest.value, v)
             sig = signatures(v)
             key = tree.astype(np.int64) << 32 | leaf
@@ -174,8 +187,11 @@ def candidates_of(blocks: DataFrame, d: int, forest: list[Tree], min_cosine: flo
         if not ids:
             return
         ids, sigs, keys, local, own = map(np.concatenate, (ids, sigs, keys, local, own))
-        order = np.lexsort((1 - own, keys))
+        order = np.lexsort((1 - own, ids[local], keys))
         keys, local, own = keys[order], local[order], own[order]
+        # a class that came from several blocks counts once in a leaf
+        fresh = np.r_[True, (keys[1:] != keys[:-1]) | (ids[local[1:]] != ids[local[:-1]])]
+        keys, local, own = keys[fresh], local[fresh], own[fresh]
         bounds = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1], True])
         out, n = [], 0
         for a, b in zip(bounds[:-1], bounds[1:]):
@@ -194,20 +210,13 @@ def candidates_of(blocks: DataFrame, d: int, forest: list[Tree], min_cosine: flo
                         for w in range(1, width):
                             apart += np.bitwise_count(sigs[ask, w][:, None] ^ sigs[some, w])
                         i, j = np.nonzero(apart <= min(limit, 255))
-                        if len(i) > POOL:
-                            # of one vector's many candidates the likeliest stay
-                            o = np.lexsort((apart[i, j], i))
-                            i, j = i[o], j[o]
-                            f = np.flatnonzero(np.r_[True, i[1:] != i[:-1]])
-                            keep = np.arange(len(i)) - np.repeat(f, np.diff(np.r_[f, len(i)])) < POOL
-                            i, j = i[keep], j[keep]
                         i, j = ids[ask[i]], ids[some[j]]
                         ok = i != j
                         out.append((np.minimum(i[ok], j[ok]), np.maximum(i[ok], j[ok])))
                         n += int(ok.sum())
-            if n > 1_000_000:
-                yield pairs(out)
-                out, n = [], 0
+                        if n > 1_000_000:
+                            yield pairs(out)
+                            out, n = [], 0
         if n:
             yield pairs(out)
 
@@ -223,7 +232,7 @@ def candidates_of(blocks: DataFrame, d: int, forest: list[Tree], min_cosine: flo
 
 
 def exact(blocks: DataFrame, d: int, pairs: DataFrame) -> DataFrame:
-    """(a, b, cosine) of the pairs; only vectors that occur in pairs are sent, told apart by a bitmap of fixed size."""
+    """(a, b, cosine) of the pairs of classes; only vectors that occur in pairs are sent, told apart by a bitmap of fixed size."""
 
     def mark(batches):
         bits = np.zeros(1 << SEEN_BITS, bool)
@@ -240,12 +249,14 @@ def exact(blocks: DataFrame, d: int, pairs: DataFrame) -> DataFrame:
     known = pairs.sparkSession.sparkContext.broadcast(np.frombuffer(got[0].bits, np.uint8) if got else np.zeros(1 << (SEEN_BITS - 3), np.uint8))
 
     def rows(batches):
-        for ids, v in read_blocks(batches, d):
+        for _, v in read_blocks(batches, d):
+            ids, first = np.unique(class_hashes(v), return_index=True)
+            v = v[first]
             at = (hash_ids(ids) >> U(64 - SEEN_BITS)).astype(np.int64)
             use = np.flatnonzero((known.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1)
             yield pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array([v[i].tobytes() for i in use], pa.binary())], ["id", "v"])
 
-    vecs = blocks.select("ids", "vecs").mapInArrow(rows, "id long, v binary")
+    vecs = blocks.select("ids", "vecs").mapInArrow(rows, "id long, v binary").groupBy("id").agg(F.first("v").alias("v"))
     both = pairs.join(vecs.select(F.col("id").alias("a"), F.col("v").alias("va")), "a").join(vecs.select(F.col("id").alias("b"), F.col("v").alias("vb")), "b")
 
     def cosine(batches):
@@ -269,8 +280,45 @@ def most_similar(wide: DataFrame, k: int = 5, min_cosine: float = 0.5) -> DataFr
     rows = blocks.agg(F.sum("n")).first()[0] or 0
     _, x = sample_of(blocks, d, SAMPLE)
     leaf = max(LEAF_SAMPLE, LEAF_ROWS * len(x) // max(1, rows))
+    x = x[np.sort(np.unique(class_hashes(x), return_index=True)[1])]
     forest = [Tree(x, leaf, 7 + t) for t in range(TREES)] if len(x) else []
     scored = exact(blocks, d, candidates_of(blocks, d, forest, min_cosine, rows)).where(F.col("cosine") >= min_cosine)
-    ways = scored.select(F.col("a").alias("doc_id"), F.col("b").alias("other_id"), "cosine").union(scored.select(F.col("b").alias("doc_id"), F.col("a").alias("other_id"), "cosine"))
-    w = Window.partitionBy("doc_id").orderBy(F.desc("cosine"), "other_id")
-    return ways.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    ways = scored.select(F.explode(F.array(F.struct(F.col("a").alias("c"), F.col("b").alias("other")), F.struct(F.col("b").alias("c"), F.col("a").alias("other")))).alias("w"), "cosine").select("w.*", "cosine")
+    return expand(ways, *classes_of(blocks, d, k), k, min_cosine)
+
+
+def classes_of(blocks: DataFrame, d: int, k: int) -> tuple[DataFrame, DataFrame]:
+    """(c, doc_id) of all records, and (c, n, least): of every class its size and its k + 1 least doc_ids in order."""
+
+    def docs(batches):
+        for ids, v in read_blocks(batches, d):
+            yield pa.RecordBatch.from_arrays([pa.array(class_hashes(v)), pa.array(ids)], ["c", "doc_id"])
+
+    def least(batches):
+        for ids, v in read_blocks(batches, d):
+            c = class_hashes(v)
+            order = np.lexsort((ids, c))
+            c, ids = c[order], ids[order]
+            first = np.flatnonzero(np.r_[True, c[1:] != c[:-1]])
+            size = np.diff(np.r_[first, len(c)])
+            # a block sends at most k + 1 doc_ids of a class, and its size with the first of them
+            place = np.arange(len(c)) - np.repeat(first, size)
+            at = place <= k
+            yield pa.RecordBatch.from_arrays([pa.array(c[at]), pa.array(np.where(place == 0, np.repeat(size, size), 0)[at]), pa.array(ids[at])], ["c", "n", "doc_id"])
+
+    packed = blocks.select("ids", "vecs")
+    sizes = packed.mapInArrow(least, "c long, n long, doc_id long").groupBy("c").agg(F.sum("n").alias("n"), F.slice(F.array_sort(F.collect_list("doc_id")), 1, k + 1).alias("least"))  # k + 1 a block
+    return packed.mapInArrow(docs, "c long, doc_id long"), sizes
+
+
+def expand(ways: DataFrame, docs: DataFrame, sizes: DataFrame, k: int, min_cosine: float) -> DataFrame:
+    """The neighbours of records from those of classes: ways has (c, other, cosine)."""
+    own = sizes.where(f"n > 1 and {min_cosine} <= 1").select("c", F.lit(1.0).alias("cosine"), "least")
+    w = Window.partitionBy("c").orderBy(F.desc("cosine"), F.col("least")[0])
+    near = ways.join(sizes.select(F.col("c").alias("other"), "least"), "other").select("c", "cosine", "least").union(own)
+    near = near.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k + 1)
+    # a record's neighbours are the first k of its class's first k + 1 besides itself
+    each = F.transform("least", lambda i: F.struct((-F.col("cosine")).alias("minus"), i.alias("other_id")))
+    lists = near.groupBy("c").agg(F.slice(F.array_sort(F.flatten(F.collect_list(each))), 1, k + 1).alias("near"))  # (k + 1) * (k + 1) at most
+    got = docs.join(lists, "c").select("doc_id", F.posexplode(F.slice(F.filter("near", lambda x: x["other_id"] != F.col("doc_id")), 1, k)).alias("at", "x"))
+    return got.select("doc_id", F.col("x.other_id").alias("other_id"), (-F.col("x.minus")).alias("cosine"), (F.col("at") + 1).alias("place"))

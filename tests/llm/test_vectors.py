@@ -1,3 +1,5 @@
+from collections import defaultdict
+
 import numpy as np
 
 from fabula.llm import nearest
@@ -48,6 +50,30 @@ def test_hot_group_and_empty(spark):
     assert nearest.Tree(np.ones((50, 4), np.float32), 5, 1).leaves == 1
 
 
+def test_equal_vectors_of_a_hot_group(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(4000, 8)).astype(np.float32)
+    x[rng.permutation(4000)[:1500]] = x[0]  # in any order among the others
+    x[3990:3993] = x[3989]
+    ids = rng.permutation(4000) + 7
+    got = {(r.doc_id, r.place): r.other_id for r in most_similar(wide(spark, x, ids), 5, 0.9999999).collect()}
+    equal = defaultdict(list)
+    for i, v in zip(ids.tolist(), x):
+        equal[v.tobytes()].append(i)
+    want = {(i, n + 1): o for g in equal.values() for i in g for n, o in enumerate([o for o in sorted(g)[:6] if o != i][:5])}
+    assert got == want and len(want) > 7500
+
+
+def test_more_close_neighbours_than_any_pool(spark):
+    rng = np.random.default_rng(4)
+    x = (np.ones((200, 8)) + 0.05 * rng.normal(size=(200, 8))).astype(np.float32)
+    got = {(r.doc_id, r.other_id) for r in most_similar(wide(spark, x), 5, 0.9).collect()}
+    u = x.astype(float) / np.linalg.norm(x, axis=1, keepdims=True)
+    c = u @ u.T
+    np.fill_diagonal(c, -2)
+    assert got == {(i, int(j)) for i in range(200) for j in np.argsort(-c[i])[:5]}
+
+
 def test_clusters_of_unequal_size_with_strays(spark):
     rng = np.random.default_rng(2)
     centres = np.linalg.qr(rng.normal(size=(64, 64)))[0][:6]
