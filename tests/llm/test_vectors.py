@@ -92,3 +92,16 @@ def test_clusters_of_unequal_size_with_strays(spark):
     assert typical(records, 3).count() == 18
     empty, none = clusters(wide(spark, x[:0]), topics.limit(0))
     assert empty.count() == 0 and none.count() == 0
+
+
+def test_tight_clusters_are_told_from_copies_by_number(spark):
+    rng = np.random.default_rng(5)
+    centres = np.linalg.qr(rng.normal(size=(64, 64)))[0][:4]
+    spread, sizes = [0.045, 0.005, 0.09, 0.01], [600, 1500, 900, 12]  # members of cosine 0.94, 1.0 and 0.8 to their mean; copies of one record
+    x = np.concatenate([c + s * rng.normal(size=(n, 64)) for c, s, n in zip(centres, spread, sizes)] + [rng.normal(size=(150, 64))]).astype(np.float32)
+    truth = np.repeat(np.arange(5), [*sizes, 150])
+    order = rng.permutation(len(x))
+    topics = spark.createDataFrame([(i, int(truth[j])) for i, j in enumerate(order)], "doc_id long, z_hat int")
+    records, table = clusters(wide(spark, x[order]), topics)
+    assert sorted((r.z_cluster, r.size) for r in table.collect()) == [(0, 600), (1, 1500), (2, 900)]
+    assert {r.doc_id for r in records.collect()} == set(np.flatnonzero(truth[order] < 3).tolist())
