@@ -10,6 +10,7 @@ discounted, a quoted word is, and marks around an actual value (a code, a place,
 
 from __future__ import annotations
 
+import json
 import unicodedata
 from collections.abc import Iterator
 
@@ -74,9 +75,19 @@ NOTICE = regex.compile(rf"\b{WHAT}\b.{{0,90}}{ALLOW}|{ALLOW}.{{0,60}}\b{WHAT}\b"
 FRAME = regex.compile(
     r"^\W*(?:accueil|menu|home|inicio|start|portail|intranet)\b.{0,60}$|^(?:récit d'accident|incident narrative|unfallbericht|relato del suceso)\b.{0,14}$|identifiant de requête|request id|anfrage-id|\bid\. de solicitud|de solicitud:|retour à l'accueil|back to home|zurück zur startseite|volver al inicio"
     r"|contact(?:ez|e con|er)? (?:l'administrateur|le support|the administrator|support|el administrador)|wenden sie sich|si le problème persiste|if the problem persists|vérifiez (?:l'adresse|le lien)|check the address|réessay|try again|\bretry\b|erneut versuchen|inténtelo|reconnect|neu anmelden|vuelva a|merci de patienter|please wait|may take a few seconds|recharge|reload"
-    r"|^(?:référence|reference|referencia|zeichen|site|standort|centro)\s*:.{0,24}$|^(?:rédigé le jour|written on day|erstellt am tag|redactado el día)\b.{0,10}$|^\W*(?:oups|oops|sorry|désolé|attention|hinweis|lo sentimos|id)\W*$|^\s*(?:at|file) \S+[(,\"].*$|^\W*$|slow down",
+    r"|^(?:référence|reference|referencia|zeichen|site|standort|centro)\s*:.{0,24}$|^(?:rédigé le jour|written on day|erstellt am tag|redactado el día)\b.{0,10}$|^\W*(?:oups|oops|sorry|désolé|attention|hinweis|lo sentimos|id)\W*$|^\s*(?:at|file) \S+[(,\"].*$|^\W*$|slow down"
+    r"|^\s*at .{1,300}:\d+\)?\s*$|^\s*(?:suppressed|caused by): \S+$|^\s*\.{3} \d+ (?:more|common frames omitted)\s*$",
     regex.I,
 )
+#: After a frame of this kind comes its line of code.
+CODE_AFTER = regex.compile(r'^\s*file "[^"]*", line \d+', regex.I)
+CLAUSE = regex.compile(r"(?<=[,;|])\s+")
+# Fields of an error body, and values that say there is no error.
+ERROR_FIELD = regex.compile(r"errors?|exception|stack_?trace|traceback|trace|fault", regex.I)
+NO_ERROR = (None, False, 0, "", [], {}, "none", "ok", "no")
+FIELD_WORDS = 8
+NO_SEPARATOR = bytes(c for c in range(256) if chr(c).isascii() and chr(c).isalnum() or 0x80 <= c < 0xC0)
+SEGMENT = 150
 SENTENCE = regex.compile(r"(?<=[.!?])\s+|\n+")
 WORD = regex.compile(r"[\p{L}\p{N}']+")
 NAV = regex.compile(
@@ -86,9 +97,9 @@ NAV = regex.compile(
 #: Words that a page may hold besides its message, at least and as a share; share of filler words that makes a text filler.
 PAGE_REST, PAGE_SHARE, FILLER_SHARE = 6, 0.12, 0.5
 QUOTED = regex.compile(r"«[^»\n]*»|\"[^\"\n]*\"|“[^”\n]*”")
-#: A sentence of more words is no message.
+#: So many words at most belong to each error or notice that a sentence holds; a longer sentence is looked at by clauses.
 MESSAGE_WORDS = 40
-#: Pages are short; a text of more words is never one.
+#: The filler prefilter looks more closely at texts of at most so many words.
 PAGE_WORDS = 160
 
 
@@ -157,22 +168,63 @@ def is_filler(text: str) -> bool:
     return sure > 0 and filler >= FILLER_SHARE * total
 
 
-def is_page(text: str) -> bool:
-    """Is the text an error message or a notice, with next to nothing else?"""
-    if len(text.split(None, PAGE_WORDS)) > PAGE_WORDS:
+def is_error_body(text: str) -> bool:
+    """Is the text one JSON object with an error, and next to nothing besides it and short fields?"""
+    try:
+        body = json.loads(text)
+    except (ValueError, RecursionError):
         return False
-    rest = message = total = 0
-    for s in SENTENCE.split(NAV.sub("\n", text)):
-        words = len(WORD.findall(s))
-        total += words
-        if rest > max(PAGE_REST, PAGE_SHARE * PAGE_WORDS):
+    if not isinstance(body, dict):
+        return False
+    wrong = [k for k, v in body.items() if ERROR_FIELD.fullmatch(k) and v not in NO_ERROR or k.lower() == "status" and regex.match(r"[45]\d\d|error|fail", str(v), regex.I)]
+    if not wrong:
+        return False
+    words = {k: len(WORD.findall(json.dumps(v, ensure_ascii=False))) for k, v in body.items()}
+    # the message of an error is its own
+    rest = sum(n for k, n in words.items() if n > FIELD_WORDS and k not in wrong and not (k.lower() in ("message", "detail", "details") and ERROR.search(str(body[k]))))
+    return rest <= max(PAGE_REST, PAGE_SHARE * sum(words.values()))
+
+
+def segments(text: str) -> Iterator[str]:
+    """The text in parts of SEGMENT characters or more that end with a sentence or line."""
+    at = 0
+    while len(text) - at > 2 * SEGMENT and (m := SENTENCE.search(text, at + SEGMENT)):
+        yield text[at : m.start()]
+        at = m.end()
+    yield text[at:]
+
+
+def pieces(text: str) -> Iterator[str]:
+    """The sentences and lines of a text without navigation, sentences of many words by clauses."""
+    for s in (s for x in segments(text) for s in SENTENCE.split(NAV.sub("\n", x))):
+        if len(s) > 2 * MESSAGE_WORDS and not s.lstrip().startswith("{") and len(WORD.findall(s)) > MESSAGE_WORDS:
+            yield from CLAUSE.split(s)
+        else:
+            yield s
+
+
+def is_page(text: str) -> bool:
+    """Is the text, of any length, an error message or a notice, with next to nothing else?"""
+    if text.startswith("{") and text.rstrip().endswith("}") and is_error_body(text):
+        return True
+    # words are parted by what is no letter or digit, so there can't be more; what lies beyond ASCII counts as such here
+    most = 1 + len(text.encode("utf-8", "replace").translate(None, NO_SEPARATOR))
+    message = rest = left = 0
+    after = False
+    for s in pieces(text):
+        if rest > max(PAGE_REST, PAGE_SHARE * most):
             return False
+        words = len(WORD.findall(s))
+        left += words
+        code, after = after, CODE_AFTER.search(s) is not None
         said = s if s.lstrip().startswith("{") else QUOTED.sub(" ", s)  # what is only quoted is no message
-        if words <= MESSAGE_WORDS and (ERROR.search(said) or NOTICE.search(said)):
+        if ERROR.search(said) or NOTICE.search(said):
             message += 1
-        elif not FRAME.search(s):
+            if words > MESSAGE_WORDS:
+                rest += max(0, words - MESSAGE_WORDS * (len(ERROR.findall(said)) + len(NOTICE.findall(said))))
+        elif not (code or FRAME.search(s)):
             rest += words
-    return message > 0 and total <= PAGE_WORDS and rest <= max(PAGE_REST, PAGE_SHARE * total)
+    return message > 0 and rest <= max(PAGE_REST, PAGE_SHARE * left)
 
 
 def kind_of(text: str | None) -> str | None:

@@ -107,3 +107,24 @@ def test_residue(spark):
     got = {r.doc_id for r in residue(df).where("doc_id is not null").collect()}
     assert got == {i for i, (_, k) in enumerate(CASES) if k} | {901}
     assert residue(df.limit(0)).count() == 0 and clean(df).where(F.col("doc_id") == 901).count() == 0 and clean(df).where(F.col("doc_id") == 900).count() == 1
+
+
+FRAMES = "\n".join(f"\tat org.site.app.Fiche{k}.ouvrir(Fiche{k}.java:{k})" for k in range(60))
+BODY = '{"timestamp": "2024-01-05", "error": {"code": 500, "message": "The request could not be handled", "causes": [' + ", ".join(f'"step {k} of the job did not answer in time"' for k in range(30)) + ']}, "path": "/fiche"}'
+NARRATIVE = " ".join(f"Le grutier {k} a levé la charge {k * 7}, puis la passerelle n{k} a vibré." for k in range(60))
+LONG = [
+    ("java.lang.NullPointerException: fiche\n" + FRAMES, "page"),
+    ("java.lang.IllegalStateException: x\n" + FRAMES + "\nCaused by: java.io.IOException: y\n" + FRAMES + "\n\t... 23 more", "page"),
+    ("Traceback (most recent call last):\n" + "\n".join(f'  File "/app/m{k}.py", line {k}, in f{k}\n    return g{k}(self, x, y)' for k in range(40)) + "\nKeyError: 'lieu'", "page"),
+    (BODY, "page"),
+    ("\n".join(f"Erreur 503 : le service fiche{k} est indisponible." for k in range(80)), "page"),
+    (NARRATIVE, None),
+    (NARRATIVE + "\nErreur 503 : le service est indisponible.\n" + FRAMES, None),
+    (NARRATIVE.replace(".", ",") + " et une erreur 503 est apparue", None),
+    ('{"error": "timed out", "recit": "' + NARRATIVE + '"}', None),
+]
+
+
+@pytest.mark.parametrize(("text", "kind"), LONG)
+def test_pages_of_any_length(text, kind):
+    assert kind_of(text) == kind
