@@ -3,7 +3,8 @@
 The forest is fitted on a bounded sample (SAMPLE vectors of smallest hash); every vector is indexed in one leaf of every
 tree. A vector also searches: besides its own leaves it visits the PROBES leaves behind the splits it missed by the
 smallest margin over all trees (one priority queue shared by the trees). In a leaf, signatures of random projections
-rule out pairs that are surely below min_cosine; what is left, however many, is reranked by exact cosines.
+rule out pairs that are likely below min_cosine (a pair just at it is lost with probability 0.0013, in all trees alike, as a
+signature is the same in each; see DEVIATIONS); what is left, however many, is reranked by exact cosines.
 
 Equal vectors are one class (named by a 64-bit hash of its values) until results are written: a class is indexed once, and
 its k + 1 least doc_ids stand for it among the neighbours, as no record needs more of them.
