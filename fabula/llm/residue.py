@@ -58,6 +58,7 @@ FILLER_WORDS = set(
 )
 SURE_FILLER = FILLER_WORDS - set("sit sed do et ut in ex ea non qui id est eu test esse in bar".split())
 
+NO_WORD = str.maketrans(dict.fromkeys(".,;:!?()[]{}<>«»\"“”|/\\*#_-–—…'’+=&%@~`^$", " "))
 AGAIN = regex.compile(r"\b(\w+)(?:\W+\1\b){2,}", regex.I)
 
 # What error messages, notices and the frames of web pages say.
@@ -99,8 +100,6 @@ PAGE_REST, PAGE_SHARE, FILLER_SHARE = 6, 0.12, 0.5
 QUOTED = regex.compile(r"«[^»\n]*»|\"[^\"\n]*\"|“[^”\n]*”")
 #: So many words at most belong to each error or notice that a sentence holds; a longer sentence is looked at by clauses.
 MESSAGE_WORDS = 40
-#: The filler prefilter looks more closely at texts of at most so many words.
-PAGE_WORDS = 160
 
 
 def is_field(name: str) -> bool:
@@ -141,9 +140,9 @@ def is_filler(text: str) -> bool:
     """Are most words filler? Frame lines don't count."""
     # without any sign of filler the words needn't be counted
     low = text.lower()
-    plain = low.split()
-    known = set(plain) if len(plain) > PAGE_WORDS else {w.strip(".,;:!?") for w in plain}
-    if known.isdisjoint(SURE_FILLER) and len(known) > 0.2 * len(plain) and not has_phrase(low) and not (len(plain) <= PAGE_WORDS and AGAIN.search(low)):
+    plain = low.translate(NO_WORD).split()
+    known = set(plain)
+    if known.isdisjoint(SURE_FILLER) and len(known) > 0.2 * len(plain) and not has_phrase(low) and not any(a == b == c for a, b, c in zip(plain, plain[1:], plain[2:])):
         return False
     total = filler = sure = 0
     seen: dict[str, int] = {}

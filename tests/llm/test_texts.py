@@ -128,3 +128,12 @@ LONG = [
 @pytest.mark.parametrize(("text", "kind"), LONG)
 def test_pages_of_any_length(text, kind):
     assert kind_of(text) == kind
+
+
+@pytest.mark.parametrize("n", [69, 160, 161, 250, 345, 5000])
+@pytest.mark.parametrize("sep", [", ", ",", " - ", ". "])
+def test_filler_of_any_length(n, sep):
+    from fabula.llm.residue import FILLER_WORDS
+
+    words = sorted(FILLER_WORDS)[:69]
+    assert kind_of(sep.join(words[k % 69] for k in range(n)) + ".") == "filler"
