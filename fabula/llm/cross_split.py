@@ -1,10 +1,11 @@
 """Same or near-same records across splits (p1): a compressed full-text index of evaluation shards.
 
-A record's text is the string of its symbols (rare words and block hashes, see `wordsets`) that fall into a shard. The
-evaluation side of a shard is indexed as an FM index: the Burrows-Wheeler column of all its strings as narrow codes plus,
-for each symbol, the sorted rows where it stands, so that a backward step is one binary search. Training strings stream
-through backward search; an occurrence is reported once for a maximal match (it is left out where the match goes on to
-the right), and matches are merged to (training class, evaluation class) with the number of spans.
+A record's text is the string of its symbols that fall into a shard: its rare words as the text has them, then its block
+symbols (see `wordsets`); symbols that only one side of a shard holds match nothing and are left out. The evaluation side
+of a shard is an FM index: the Burrows-Wheeler column of all its strings as a wavelet matrix, a bit a level with
+a sampled rank for every 128 of them, and the strings of the rows. Training strings stream through it backward.
+An occurrence is found where it can't go on to the right; of those that signatures let pass, backward steps to
+the left go on to the whole maximal match. Matches are merged by pair, with the number of spans and of matched symbols.
 """
 
 from __future__ import annotations
@@ -15,141 +16,172 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import wordsets as ws
-from .near_duplicates import BLOCK, HIGH, LOW, skip
-from .overlap import HOT, Shard, close, overlaps, piece_pairs, tile
+from .overlap import Shard, candidates, close, merged, verified
 
 TRAIN, EVALUATION = 1, 2
 CHUNK = 1_000_000
-#: Intervals whose pairs are looked at block by block instead of one by one.
-WIDE = 4096
+U = np.uint64
+
+
+class WaveletMatrix:
+    """A column of codes below 2**levels: levels x 1.25 bits a code."""
+
+    def __init__(self, codes: np.ndarray, levels: int) -> None:
+        self.n, self.levels, self.words, self.ranks, self.zeros = len(codes), levels, [], [], []
+        for k in reversed(range(levels)):
+            bit = (codes >> k & 1).astype(np.uint8)
+            packed = np.packbits(np.r_[bit, np.zeros(-len(bit) % 128 + 128, np.uint8)], bitorder="little").view(U)
+            self.words.append(packed)
+            self.ranks.append(np.r_[0, np.cumsum(np.bitwise_count(packed).reshape(-1, 2).sum(1))[:-1]].astype(np.uint32))
+            self.zeros.append(self.n - int(bit.sum()))
+            codes = np.concatenate([codes[bit == 0], codes[bit == 1]])
+
+    def ones(self, k: int, i: np.ndarray) -> np.ndarray:
+        """Set bits of level k before each place i."""
+        words, part, at = self.words[k], (i & 63).astype(U), i >> 6
+        inside = np.bitwise_count(words[at] & ((U(1) << part) - U(1))).astype(np.int64)
+        return self.ranks[k][at >> 1] + inside + np.where(at & 1, np.bitwise_count(words[at & ~1]), 0)
+
+    def rank(self, code: np.ndarray, i: np.ndarray) -> np.ndarray:
+        """Place of i in the order of the last level: a code's start there plus its number before i."""
+        i = i.astype(np.int64)
+        for k in range(self.levels):
+            one = self.ones(k, i)
+            i = np.where(code >> (self.levels - 1 - k) & 1, self.zeros[k] + one, i - one)
+        return i
+
+    def take(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The codes at i, and `rank` of each."""
+        i, code = i.astype(np.int64), np.zeros(len(i), np.int64)
+        for k in range(self.levels):
+            bit = (self.words[k][i >> 6] >> (i & 63).astype(U) & U(1)).astype(np.int64)
+            one = self.ones(k, i)
+            i = np.where(bit, self.zeros[k] + one, i - one)
+            code = code << 1 | bit
+        return code, i
 
 
 class FullTextIndex:
-    """FM index of many short strings of codes 1..; every string ends with code 0."""
+    """FM index of many short strings of codes 1..codes; every string ends with code 0."""
 
     def __init__(self, string: np.ndarray, code: np.ndarray, codes: int) -> None:
-        """string: number of the string of each symbol, ascending; code: its symbol."""
+        """string: number of the string of each symbol, ascending without gaps; code: its symbol."""
         n_strings = int(string[-1]) + 1 if len(string) else 0
-        last = np.r_[string[1:] != string[:-1], True] if len(string) else np.empty(0, bool)
-        place = np.arange(len(string)) + np.r_[0, np.cumsum(last)[:-1]] if len(string) else np.empty(0, np.int64)
         n = len(string) + n_strings
-        text = np.zeros(n, np.int64)
-        text[place] = code
-        owner = np.zeros(n, np.int64)
-        owner[place] = string
+        place = np.arange(len(string)) + string
+        text, owner = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        text[place], owner[place] = code, string
         ends = np.flatnonzero(text == 0)
         owner[ends] = np.arange(n_strings)
         # suffix order by prefix doubling; an end mark is followed by nothing
         rank = text.copy()
-        rank[ends] = -np.arange(n_strings)[::-1] - 1 if n_strings else 0
-        step = 1
+        rank[ends] = -np.arange(n_strings)[::-1] - 1
         left = ends[np.searchsorted(ends, np.arange(n))] - np.arange(n) if n else np.empty(0, np.int64)
+        order, step = np.argsort(rank, kind="stable"), 1
         while n and step <= left.max():
             after = np.where(left >= step, rank[np.minimum(np.arange(n) + step, n - 1)], -n - 1)
             order = np.lexsort((after, rank))
             r, a = rank[order], after[order]
             new = np.zeros(n, np.int64)
             new[order] = np.cumsum(np.r_[0, (r[1:] != r[:-1]) | (a[1:] != a[:-1])])
+            if new[order[-1]] == n - 1:
+                break
             rank, step = new, step * 2
-        order = np.argsort(rank, kind="stable")
-        before = np.where((order > 0) & (text[np.maximum(order - 1, 0)] > 0), text[np.maximum(order - 1, 0)], 0)
-        self.n, self.codes = n, codes
+        before = np.where(order > 0, text[np.maximum(order - 1, 0)], 0)
         self.owner = owner[order].astype(np.uint32)
-        self.starts = np.searchsorted(text[order], np.arange(codes + 2))
-        self.rows = np.argsort(before, kind="stable").astype(np.uint32)  # rows of each code, ascending
-        self.first = np.searchsorted(before[self.rows], np.arange(codes + 2))
-        self.key = before[self.rows] * (n + 1) + self.rows
+        self.starts = np.searchsorted(text[order], np.arange(codes + 2)).astype(np.int32)
+        self.column = WaveletMatrix(before, max(1, int(codes).bit_length()))
+        self.shift = (self.starts[:-1] - self.column.rank(np.arange(codes + 1), np.zeros(codes + 1, np.int64))).astype(np.int32)
+
+    def bytes(self) -> int:
+        return sum(x.nbytes for x in (self.owner, self.starts, self.shift, *self.column.words, *self.column.ranks))
 
     def interval(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return self.starts[code], self.starts[code + 1]
 
     def back(self, code: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The interval of code followed by the match of [lo, hi)."""
-        at = self.starts[code] - self.first[code]
-        return np.searchsorted(self.key, code * (self.n + 1) + lo) + at, np.searchsorted(self.key, code * (self.n + 1) + hi) + at
-
-
-def cross_pairs(shard: Shard, unit: float, hot: int) -> Iterator[tuple[np.ndarray, np.ndarray] | bytes]:
-    """(training, evaluation) classes of a shard that may qualify."""
-    word = shard.sym.astype(np.int64) * (len(ws.LEVELS) + 1) + shard.level + 1
-    known, code = np.unique(word, return_inverse=True)
-    level_of = (known % (len(ws.LEVELS) + 1)).astype(np.int64)
-    code += 1
-    ev = (shard.side[shard.doc] & EVALUATION) > 0
-    tr = (shard.side[shard.doc] & TRAIN) > 0
-    if not ev.any() or not tr.any():
+        return self.column.rank(code, lo) + self.shift[code], self.column.rank(code, hi) + self.shift[code]
+
+    def before(self, row: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol before each row's suffix (0: none), and the row of the suffix that starts there."""
+        code, at = self.column.take(row)
+        return code, at + self.shift[code]
+
+    def matched(self, text: np.ndarray, first: np.ndarray, at: np.ndarray, row: np.ndarray) -> np.ndarray:
+        """Length of the match that ends with symbol text[at] at each row, extended backward as far as it goes; first: first
+        place of the string in text."""
+        length = np.ones(len(at), np.int64)
+        live = np.flatnonzero(at > first)
+        row, place = row.astype(np.int64), at - 1
+        while len(live):
+            code, up = self.before(row[live])
+            on = code == text[place[live]]
+            live = live[on]
+            length[live] += 1
+            row[live] = up[on]
+            place[live] -= 1
+            live = live[place[live] >= first[live]]
+        return length
+
+
+def cross_pairs(shard: Shard, unit: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(training, evaluation, matched symbols) of the maximal matches of classes of a shard that may qualify."""
+    ev, tr = ((shard.side[shard.doc] & side) > 0 for side in (EVALUATION, TRAIN))
+    known = np.intersect1d(shard.sym[ev], shard.sym[tr])
+    if not len(known):
         return
-    by_doc = np.lexsort((code, shard.doc))
-    e = by_doc[ev[by_doc]]
-    names, string = np.unique(shard.doc[e], return_inverse=True)
-    index = FullTextIndex(string, code[e], len(known))
-    t = by_doc[tr[by_doc]]
-    doc, sym = shard.doc[t], code[t]
-    lo, hi = index.interval(sym)
-    # where the match with the next symbol goes on, its occurrences were reported from there
-    more = np.r_[doc[1:] == doc[:-1], False] if len(doc) else np.empty(0, bool)
+    code = np.searchsorted(known, shard.sym)
+    both = known[np.minimum(code, len(known) - 1)] == shard.sym
+    code += 1
+    names, string = np.unique(shard.doc[ev & both], return_inverse=True)
+    index = FullTextIndex(string, code[ev & both], len(known))
+    doc, text = shard.doc[tr & both], code[tr & both]
+    new = np.r_[True, doc[1:] != doc[:-1]]
+    first = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
+    lo, hi = index.interval(text)
+    # where the match goes on with the next symbol, its occurrences belong to a longer match
     inner_lo, inner_hi = lo.copy(), lo.copy()
-    at = np.flatnonzero(more)
-    inner_lo[at], inner_hi[at] = index.back(sym[at], lo[at + 1], hi[at + 1])
-    level = level_of[sym - 1]
-
-    def fits(i, j, lv):
-        sums = shard.slack[i] + shard.slack[j]
-        ok = (i != j) & (sums >= LOW[lv]) & (sums < HIGH[lv])
-        i, j = i[ok], j[ok]
-        ok = close(shard, unit, i, j)
-        return i[ok], j[ok]
-
-    order = np.argsort(sym, kind="stable")
-    bounds = np.flatnonzero(np.r_[True, sym[order][1:] != sym[order][:-1], True]) if len(sym) else np.array([0])
-    wide = np.zeros(len(sym), bool)
-    for a, b in zip(bounds[:-1], bounds[1:]):
-        k = order[a]
-        if (b - a) * (hi[k] - lo[k]) < WIDE:
-            continue
-        wide[order[a:b]] = True
-        lv = int(level[k])
-        left, right = doc[order[a:b]], names[index.owner[lo[k] : hi[k]]]
-        if len(left) > hot or len(right) > hot:
-            yield from piece_pairs(shard, lv - 1, left, right, hot)
-            continue
-        left, right = (x[np.argsort(shard.slack[x], kind="stable")] for x in (left, right))
-        lefts, rights = ([x[q : q + BLOCK] for q in range(0, len(x), BLOCK)] for x in (left, right))
-        spans = [(shard.slack[x[0]], shard.slack[x[-1]]) for x in rights]
-        for x in lefts:
-            own = (shard.slack[x[0]], shard.slack[x[-1]])
-            for y, span in zip(rights, spans):
-                if lv and skip(own, span, lv - 1):
-                    continue
-                i, j = tile(shard, unit, x, y)
-                sums = shard.slack[i] + shard.slack[j]
-                ok = (i != j) & (sums >= LOW[lv]) & (sums < HIGH[lv])
-                yield i[ok], j[ok]
-    for a, b in ((lo, inner_lo), (inner_hi, hi)):
-        use = np.flatnonzero(~wide & (b > a))
+    at = np.flatnonzero(~np.r_[new[1:], True])
+    inner_lo[at], inner_hi[at] = index.back(text[at], lo[at + 1], hi[at + 1])
+    for a, b in ((lo, np.where(inner_hi > inner_lo, inner_lo, hi)), (inner_hi, np.where(inner_hi > inner_lo, hi, inner_hi))):
+        use = np.flatnonzero(b > a)
         total = np.cumsum(b[use] - a[use])
-        p = 0
-        while p < len(use):
-            q = max(p + 1, int(np.searchsorted(total, (total[p - 1] if p else 0) + CHUNK)))
-            u = use[p:q]
-            n = b[u] - a[u]
-            row = np.repeat(a[u], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            yield fits(np.repeat(doc[u], n), names[index.owner[row]], np.repeat(level[u], n))
-            p = q
-
-
-def cross_split(docs: DataFrame, threshold: float = 0.8, hot: int = HOT) -> DataFrame:
-    """(doc_id_a, doc_id_b), a < b: pairs of a training and an evaluation record whose word sets overlap by the threshold or more.
+        p = done = 0
+        while done < (total[-1] if len(use) else 0):
+            # a chunk of occurrences, also of part of one interval
+            stop = min(done + CHUNK, int(total[-1]))
+            q = int(np.searchsorted(total, stop))
+            u = use[p : q + 1]
+            start = a[u].copy()
+            n = (b[u] - a[u]).astype(np.int64)
+            before = int(total[p - 1]) if p else 0
+            start[0] += done - before
+            n[0] -= done - before
+            n[-1] -= int(total[q]) - stop
+            row = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+            where = np.repeat(u, n)
+            i, j = doc[where], names[index.owner[row]]
+            ok = np.flatnonzero(i != j)
+            ok = ok[close(shard, unit, i[ok], j[ok])]
+            yield i[ok], j[ok], index.matched(text, first[where[ok]], where[ok], row[ok])
+            done, p = stop, q if int(total[q]) > stop else q + 1
+
+
+def cross_split(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """(doc_id_a, doc_id_b, overlap, spans), a < b: pairs of a training and an evaluation record whose word sets overlap by
+    the threshold or more; spans: maximal matches of their symbol strings, 0 for records of the same word set.
 
     docs: doc_id long, text string, side int (1 training, 2 evaluation; other values take no part). Rows delivered again
     count once and further columns are ignored; null, empty and blank texts and texts with under 5 distinct words have no
     partner; an empty table gives an empty result. Copies are held as one class until the result is written.
     """
     docs = docs.select("doc_id", "text", F.col("side").cast("int").alias("side")).where("doc_id is not null and text is not null and side in (1, 2)")
-    links, members = overlaps(docs, threshold, cross_pairs, hot=hot)
+    found, members = candidates(docs, threshold, cross_pairs)
+    links = verified(docs, members, merged(found), threshold).select("a", "b", (F.col("shared") / F.col("total")).alias("overlap"), "spans")
     train = members.where(F.col("side") == TRAIN).select(F.col("class").alias("a"), F.col("doc_id").alias("x"))
     evaluation = members.where(F.col("side") == EVALUATION).select(F.col("class").alias("b"), F.col("doc_id").alias("y"))
-    same = members.where(F.col("side") == EVALUATION).select(F.col("class").alias("a"), F.col("class").alias("b")).distinct()
-    pairs = links.select("a", "b").union(same).join(train, "a").join(evaluation, "b").where("x <> y")
-    return pairs.select(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).distinct()
+    same = members.where(F.col("side") == EVALUATION).select(F.col("class").alias("a"), F.col("class").alias("b"), F.lit(1.0).alias("overlap"), F.lit(0).cast("long").alias("spans")).distinct()
+    pairs = links.union(same).join(train, "a").join(evaluation, "b").where("x <> y")
+    # a record delivered with two texts or on both sides may come by several ways
+    return pairs.groupBy(F.least("x", "y").alias("doc_id_a"), F.greatest("x", "y").alias("doc_id_b")).agg(F.max("overlap").alias("overlap"), F.max("spans").alias("spans"))

@@ -1,9 +1,13 @@
 """Near-duplicate records with small edits (p7): set-relation skipping.
 
-A shard's index keeps a list of classes for every symbol, ordered by slack and cut into blocks. Two blocks of one list
-are skipped unseen when their slack ranges rule out that list's kind of pair (`skip`); signatures then rule out most
-pairs of the rest. Answers are also derived: a pair whose ends computed links already join is not computed
-(`overlap.verified`, derive), as the answer of a set follows from that of the similar one.
+A shard's index keeps a list of classes for every symbol, cut into blocks by set size. Two blocks of one list are skipped
+unseen when their sizes rule out every pair (an overlap of t needs sizes within a factor of t); signatures then
+rule out most pairs of the rest.
+
+Lists of classes that are nearly all alike aren't worked off pair by pair. The answers of a set are derived from those of a
+similar one: each class of such a list is compared with a leader only (a class that no earlier leader may be
+similar to is the next one). Computed answers join the classes to groups; what they leave open, pairs of different
+groups, is compared in a second round, so no link between groups is lost.
 """
 
 from __future__ import annotations
@@ -11,34 +15,37 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
 from . import wordsets as ws
 from .components import components
-from .overlap import HOT, Shard, close, overlaps, piece_pairs, tile
+from .overlap import Shard, candidates, close, merged, tile, verified
 
 BLOCK, SMALL, CHUNK = 256, 40, 1_000_000
+#: A list with more candidate pairs than so many a class is worked off by leaders.
+DENSE = 32
 
 
-def runs(shard: Shard) -> tuple[np.ndarray, np.ndarray]:
-    """First and end of each symbol's list."""
-    if not len(shard.sym):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    new = np.r_[True, (shard.sym[1:] != shard.sym[:-1]) | (shard.level[1:] != shard.level[:-1])]
-    first = np.flatnonzero(new)
-    return first, np.r_[first[1:], len(shard.sym)]
+def lists_of(shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Classes by symbol, first and end of each symbol's list."""
+    order = np.argsort(shard.sym, kind="stable")
+    sym = shard.sym[order]
+    first = np.flatnonzero(np.r_[True, sym[1:] != sym[:-1]]) if len(sym) else np.empty(0, np.int64)
+    return shard.doc[order], first, np.r_[first[1:], len(sym)] if len(first) else first
 
 
-def self_pairs(shard: Shard, unit: float, hot: int) -> Iterator[tuple[np.ndarray, np.ndarray] | bytes]:
-    first, end = runs(shard)
+def self_pairs(shard: Shard, unit: float, dense: int = DENSE) -> Iterator[tuple[np.ndarray, np.ndarray] | bytes]:
+    """Pairs of classes that may qualify, and dense lists as bytes; of lists with the same classes only one."""
+    doc, first, end = lists_of(shard)
     length = end - first
     # short lists: all their pairs at once, in chunks
     short = (length > 1) & (length <= SMALL)
-    at = np.repeat(end[short], length[short])
-    place = np.concatenate([np.arange(a, b) for a, b in zip(first[short], end[short])]) if short.any() else np.empty(0, np.int64)
-    todo = at - place - 1
+    n = length[short]
+    place = np.repeat(first[short], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    todo = np.repeat(end[short], n) - place - 1
     total = np.cumsum(todo)
     lo = 0
     while lo < len(place):
@@ -46,60 +53,114 @@ def self_pairs(shard: Shard, unit: float, hot: int) -> Iterator[tuple[np.ndarray
         n = todo[lo:hi]
         left = np.repeat(place[lo:hi], n)
         right = left + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-        i, j = shard.doc[left], shard.doc[right]
-        level = shard.level[left]
-        if (level >= 0).any():
-            sums = shard.slack[i] + shard.slack[j]
-            ok = (level < 0) | ((sums >= LOW[level + 1]) & (sums < HIGH[level + 1]))
-            i, j = i[ok], j[ok]
+        i, j = doc[left], doc[right]
         ok = close(shard, unit, i, j)
-        i, j = i[ok], j[ok]
-        yield np.minimum(i, j), np.maximum(i, j)
+        yield np.minimum(i[ok], j[ok]), np.maximum(i[ok], j[ok])
         lo = hi
+    done = set()
     for f, e in zip(first[length > SMALL], end[length > SMALL]):
-        level = int(shard.level[f])
-        members = shard.doc[f:e]
-        if len(members) > hot:
-            yield from piece_pairs(shard, level, members, None, hot)
+        members = np.sort(doc[f:e])
+        if (name := members.tobytes() if len(members) < 64 else int(ws.mix(members.astype(ws.U) + ws.mix(np.arange(len(members)))).sum())) in done:
             continue
-        members = members[np.argsort(shard.slack[members], kind="stable")]
-        blocks = [members[k : k + BLOCK] for k in range(0, len(members), BLOCK)]
-        spans = [(shard.slack[b[0]], shard.slack[b[-1]]) for b in blocks]
-        for p, a in enumerate(blocks):
-            for q in range(p, len(blocks)):
-                if level >= 0 and skip(spans[p], spans[q], level):
-                    continue
-                i, j = tile(shard, unit, a, blocks[q])
-                if level >= 0:
-                    sums = shard.slack[i] + shard.slack[j]
-                    ok = (sums >= LOW[level + 1]) & (sums < HIGH[level + 1])
-                    i, j = i[ok], j[ok]
-                ok = i != j
-                yield np.minimum(i[ok], j[ok]), np.maximum(i[ok], j[ok])
-
-
-#: Sums of slacks that a level serves; at 0 any, for the lists of words.
-LOW = np.array([-1e9, 0, *ws.LEVELS[:-1]], np.float64) - 1e-3
-HIGH = np.array([1e9, *ws.LEVELS[:-1], 1e9], np.float64) + 1e-3
-
-
-def skip(one: tuple[float, float], other: tuple[float, float], level: int) -> bool:
-    return one[1] + other[1] < LOW[level + 1] or one[0] + other[0] >= HIGH[level + 1]
-
-
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, hot: int = HOT) -> DataFrame:
-    """(doc_id, group_doc_id, links): every record of a group of two or more, with the group's smallest doc_id and the
-    number of links of its class to other texts that were computed.
+        done.add(name)
+        found, n = [], 0
+        for i, j in by_size(shard, unit, members):
+            found.append((np.minimum(i, j), np.maximum(i, j)))
+            n += len(i)
+            if n > dense * len(members):
+                break
+        else:
+            yield from found
+            continue
+        yield from by_leaders(shard, unit, members)
+        yield Shard.pack(shard.cls[members], shard.sig[members], shard.size[members], shard.side[members])
+
+
+def by_size(shard, unit: float, members: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The pairs of a list, block by block; blocks whose sizes are too far apart are skipped."""
+    members = members[np.argsort(shard.size[members], kind="stable")]
+    size = shard.size[members]
+    for p in range(0, len(members), BLOCK):
+        a = members[p : p + BLOCK]
+        # |r| - |s| is unshared at least
+        most = int(np.searchsorted(size * (1 - unit), size[min(p + BLOCK, len(size)) - 1] * (1 + unit) + 1e-6, "right"))
+        for q in range(p, most, BLOCK):
+            i, j = tile(shard, unit, a, members[q : q + BLOCK])
+            if q == p:
+                ok = i < j
+                i, j = i[ok], j[ok]
+            yield i, j
+
+
+def by_leaders(shard, unit: float, members: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    left = members
+    while len(left) > 1:
+        lead, left = left[:1], left[1:]
+        ok = close(shard, unit, np.repeat(lead, len(left)), left)
+        yield np.repeat(lead, ok.sum()), left[ok]
+        left = left[~ok]
+
+
+class Listed:
+    """The classes of one dense list, in place of a shard."""
+
+    def __init__(self, sig: np.ndarray, size: np.ndarray) -> None:
+        self.sig, self.size = sig, size
+
+
+def across(shard: Listed, unit: float, component: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a list that may qualify and whose ends computed answers haven't joined."""
+    order = np.argsort(component, kind="stable")
+    starts = np.arange(0, len(order), BLOCK)
+    low, high = component[order[starts]], component[order[np.minimum(starts + BLOCK, len(order)) - 1]]
+    for p, s in enumerate(starts):
+        a = order[s : s + BLOCK]
+        for q in np.flatnonzero((low[p:] != low[p]) | (high[p:] != low[p]) | (high[p] != low[p])) + p:
+            b = order[starts[q] : starts[q] + BLOCK]
+            i, j = tile(shard, unit, a, b)
+            ok = component[i] < component[j] if p == q else component[i] != component[j]
+            yield i[ok], j[ok]
+
+
+def open_pairs(dense: DataFrame, comp: DataFrame, unit: float) -> DataFrame:
+    """(a, b): what the computed answers leave open in the dense lists (work)."""
+
+    def rows(batches):
+        for batch in batches:
+            for name, blob in zip(batch.column("list").to_pylist(), batch.column("work").to_pylist()):
+                s = Shard([blob])
+                n = len(s.cls)
+                cols = [pa.array(np.full(n, name)), pa.array(s.cls.view(np.int64)), pa.array([x.tobytes() for x in s.sig], pa.binary()), pa.array(s.size.astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, ["list", "class", "sig", "size"])
+
+    def compare(key, table):
+        cls = np.asarray(table.column("class").combine_chunks())
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), ws.U).reshape(-1, ws.SIGNATURE_WORDS)
+        shard = Listed(sig, np.asarray(table.column("size").combine_chunks()))
+        got = [(cls[i], cls[j]) for i, j in across(shard, unit, np.asarray(table.column("component").combine_chunks())) if len(i)]
+        a, b = (np.concatenate(x) for x in zip(*got)) if got else (np.empty(0, np.int64),) * 2
+        return pa.table({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    lists = dense.select(F.xxhash64("work").alias("list"), "work").dropDuplicates(["list"]).mapInArrow(rows, "list long, class long, sig binary, size int")
+    full = lists.join(comp.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class"))
+    return full.select("list", "class", "sig", "size", "component").groupBy("list").applyInArrow(compare, "a long, b long").distinct()
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, dense: int = DENSE) -> DataFrame:
+    """(doc_id, group_doc_id): every record of a group of two or more, with the group's smallest doc_id.
 
     docs: doc_id long, text string; rows delivered again count once, further columns are ignored. Null, empty and blank
     texts and texts with under 5 distinct words are in no group; exact copies are in one group; an empty table gives
     an empty result.
     """
     docs = docs.select("doc_id", F.col("text"), F.lit(1).alias("side")).where("doc_id is not null and text is not null")
-    links, members = overlaps(docs, threshold, self_pairs, derive=True, hot=hot)
-    links = cut(links)
+    found, members = candidates(docs, threshold, lambda shard, unit: self_pairs(shard, unit, dense))
+    links = cut(verified(docs, members, merged(found), threshold).select("a", "b"))
     comp = components(links)
-    ends = links.select(F.col("a").alias("class")).union(links.select(F.col("b").alias("class"))).groupBy("class").agg(F.count("*").alias("links"))
-    rows = members.select("class", "doc_id").join(comp.withColumnRenamed("node", "class"), "class", "left").select("doc_id", "class", F.coalesce("component", "class").alias("component"))
+    lists = found.where("work is not null")
+    if not lists.isEmpty():
+        more = cut(open_pairs(lists, comp, (1 - threshold) / (1 + threshold)).withColumns({"spans": F.lit(1).cast("long"), "matched": F.lit(1).cast("long")}))
+        comp = components(links.union(verified(docs, members, more, threshold).select("a", "b")))
+    rows = members.select("class", "doc_id").join(comp.withColumnRenamed("node", "class"), "class", "left").select("doc_id", F.coalesce("component", "class").alias("component"))
     heads = rows.groupBy("component").agg(F.min("doc_id").alias("group_doc_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    return rows.join(heads, "component").join(ends, "class", "left").select("doc_id", "group_doc_id", F.coalesce("links", F.lit(0)).alias("links"))
+    return rows.join(heads, "component").select("doc_id", "group_doc_id")

@@ -24,13 +24,13 @@ from . import wordsets as ws
 #: Texts are worked off in pieces of about so many characters (one longer text is one piece).
 PIECE_CHARS = 1_500_000
 RANGES = 64
-#: A word in more than this share of the rows (and more than RARE_LEAST rows) is frequent. Any value gives the same result.
-RARE_SHARE, RARE_LEAST = 0.0025, 64
+#: A word in more than this share of the rows, within these bounds of rows, is frequent. Any value gives the same result.
+RARE_SHARE, RARE_LEAST, RARE_MOST = 0.0025, 64, 16_384
 MIN_WORDS = 5
-#: A symbol's list with more classes than this is cut into pieces of as many; pairs of pieces become tasks of their own.
-HOT = 40_000
 SEEN_BITS = 24
+PLACES = 65_000
 U = np.uint64
+PAIRS = "a long, b long, spans int, matched int, work binary"
 
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
@@ -44,8 +44,9 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 
 
 def frequency_states(docs: DataFrame, rows: int) -> np.ndarray:
-    """For each of 2**SKETCH_BITS counters of words: 0 seen at most once, 1 rare, 2 frequent. Counts cover all rows."""
-    limit = max(RARE_LEAST, int(RARE_SHARE * rows))
+    """For each of 2**SKETCH_BITS counters of words: 0 seen at most once, 1 rare, else frequent: 2 and the place by entropy
+    (modulo PLACES). Counts cover all rows; only counters of frequent words reach the driver, RARE_SHARE bounds their number."""
+    limit = min(max(RARE_LEAST, int(RARE_SHARE * rows)), RARE_MOST)
     width = (1 << ws.SKETCH_BITS) // RANGES
 
     def count(batches):
@@ -63,24 +64,31 @@ def frequency_states(docs: DataFrame, rows: int) -> np.ndarray:
         for blob in table.column("counts").to_pylist():
             x = np.frombuffer(blob, np.uint32).reshape(2, -1)
             total[x[0]] += x[1]
-        packed = np.packbits(np.stack([total > 1, total > limit]), axis=None)
-        return pa.table({"range": pa.array([key[0].as_py()], pa.int32()), "bits": pa.array([packed.tobytes()], pa.binary())})
+        often = np.flatnonzero(total > limit)
+        cols = [pa.array([key[0].as_py()], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in (np.packbits(total > 1), often, total[often]))]
+        return pa.Table.from_arrays(cols, ["range", "bits", "often", "n"])
 
-    found = docs.select("text").mapInArrow(count, "range int, counts binary").groupBy("range").applyInArrow(states, "range int, bits binary").collect()
-    state = np.zeros(1 << ws.SKETCH_BITS, np.uint8)
+    found = docs.select("text").mapInArrow(count, "range int, counts binary").groupBy("range").applyInArrow(states, "range int, bits binary, often binary, n binary").collect()
+    state = np.zeros(1 << ws.SKETCH_BITS, np.uint16)
+    at, n = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
     for r in found:
-        more, often = np.unpackbits(np.frombuffer(r.bits, np.uint8)).reshape(2, width)
-        state[r["range"] * width : (r["range"] + 1) * width] = more + often
+        state[r["range"] * width : (r["range"] + 1) * width] = np.unpackbits(np.frombuffer(r.bits, np.uint8))
+        at.append(np.frombuffer(r.often, np.int64) + r["range"] * width)
+        n.append(np.frombuffer(r.n, np.int64))
+    at, n = np.concatenate(at), np.concatenate(n)
+    share = np.clip(n / max(1, rows), 1e-9, 1 - 1e-9)
+    entropy = share * np.log(share) + (1 - share) * np.log1p(-share)
+    state[at[np.lexsort((at, entropy))]] = 2 + np.arange(len(at)) % PLACES
     return state
 
 
-def _facts(texts: list, state: np.ndarray, unit: float):
-    """(record, word), class, size, slack of each text of a piece."""
-    record, h = ws.words_of(texts)
+def _facts(texts: list, state: np.ndarray, unit: float, spoken: list | None = None):
+    """(record, word), class, (size, words that aren't frequent, slack) of each text of a piece."""
+    record, h = ws.words_of(texts, spoken)
     n = len(texts)
     cls, size = ws.class_of(record, h, n)
-    rare = np.bincount(record[state[ws.buckets(h)] != 2], minlength=n)
-    return record, h, cls, size, size * unit - rare
+    x = np.bincount(record[state[ws.buckets(h)] < 2], minlength=n)
+    return record, h, cls, (size, x, size * unit - x)
 
 
 def members_of(docs: DataFrame, state, unit: float) -> DataFrame:
@@ -88,7 +96,7 @@ def members_of(docs: DataFrame, state, unit: float) -> DataFrame:
 
     def rows(batches):
         for batch, texts in pieces(batches):
-            _, _, cls, size, slack = _facts(texts, state.value, unit)
+            _, _, cls, (size, _, slack) = _facts(texts, state.value, unit)
             ok = pa.array(size >= MIN_WORDS)
             out = [pa.array(cls.view(np.int64)), batch.column("doc_id"), batch.column("side"), pa.array(slack.astype(np.float32))]
             yield pa.RecordBatch.from_arrays(out, ["class", "doc_id", "side", "slack"]).filter(ok)
@@ -97,47 +105,46 @@ def members_of(docs: DataFrame, state, unit: float) -> DataFrame:
 
 
 class Shard:
-    """What a shard holds: classes with size, slack, side and signature, and the symbols they sent."""
+    """What a shard holds: classes with size, side and signature, and the symbols they sent, by class in the order sent."""
 
-    FIELDS = (("cls", U, 1), ("sig", U, ws.SIGNATURE_WORDS), ("size", np.int32, 1), ("slack", np.float32, 1), ("side", np.uint8, 1))
+    FIELDS = (("cls", U, 1), ("sig", U, ws.SIGNATURE_WORDS), ("size", np.int32, 1), ("side", np.uint8, 1))
 
     @staticmethod
-    def pack(cls, sig, size, slack, side, doc, sym, level) -> bytes:
+    def pack(cls, sig, size, side, doc=(), sym=()) -> bytes:
         head = np.array([len(cls), len(sym)], np.int64).tobytes()
-        parts = [np.ascontiguousarray(x, t).tobytes() for x, (_, t, _) in zip((cls, sig, size, slack, side), Shard.FIELDS)]
-        return b"".join([head, *parts, doc.astype(np.uint32).tobytes(), sym.astype(np.uint32).tobytes(), level.astype(np.int8).tobytes()])
+        parts = [np.ascontiguousarray(x, t).tobytes() for x, (_, t, _) in zip((cls, sig, size, side), Shard.FIELDS)]
+        return b"".join([head, *parts, np.asarray(doc, np.uint32).tobytes(), np.asarray(sym, np.uint32).tobytes()])
 
     def __init__(self, blobs: list[bytes]) -> None:
-        got, doc, sym, level, base = {k: [] for k, _, _ in self.FIELDS}, [], [], [], 0
+        got, doc, sym, base = {k: [] for k, _, _ in self.FIELDS}, [], [], 0
         for b in blobs:
             (nd, ne), at = np.frombuffer(b, np.int64, 2), 16
             for k, t, w in self.FIELDS:
-                got[k].append(np.frombuffer(b, t, nd * w, at).reshape(nd, w) if w > 1 else np.frombuffer(b, t, nd, at))
-                at += nd * w * np.dtype(t).itemsize
+                x = np.frombuffer(b, t, nd * w, at)
+                got[k].append(x.reshape(nd, w) if w > 1 else x)
+                at += x.nbytes
             doc.append(np.frombuffer(b, np.uint32, ne, at).astype(np.int64) + base)
             sym.append(np.frombuffer(b, np.uint32, ne, at + 4 * ne))
-            level.append(np.frombuffer(b, np.int8, ne, at + 8 * ne))
             base += int(nd)
-        cls = np.concatenate(got["cls"])
-        self.cls, first, inverse = np.unique(cls, return_index=True, return_inverse=True)
-        self.sig, self.size, self.slack = (np.concatenate(got[k])[first] for k in ("sig", "size", "slack"))
+        self.cls, first, inverse = np.unique(np.concatenate(got["cls"]), return_index=True, return_inverse=True)
+        self.sig, self.size = (np.concatenate(got[k])[first] for k in ("sig", "size"))
         self.side = np.zeros(len(self.cls), np.uint8)
         np.bitwise_or.at(self.side, inverse, np.concatenate(got["side"]))
-        doc, sym, level = inverse[np.concatenate(doc)], np.concatenate(sym), np.concatenate(level)
-        order = np.lexsort((self.slack[doc], doc, sym, level))
-        doc, sym, level = doc[order], sym[order], level[order]
-        keep = np.r_[True, (doc[1:] != doc[:-1]) | (sym[1:] != sym[:-1]) | (level[1:] != level[:-1])]
-        self.doc, self.sym, self.level = doc[keep], sym[keep], level[keep]
+        doc, sym = inverse[np.concatenate(doc)], np.concatenate(sym)
+        # of a class that several tasks sent, the first entry of a symbol
+        keep = np.sort(np.unique((doc.astype(U) << U(32)) | sym, return_index=True)[1])
+        keep = keep[np.argsort(doc[keep], kind="stable")]
+        self.doc, self.sym = doc[keep], sym[keep]
 
 
-def shards_of(docs: DataFrame, state, unit: float, most: float, parts: int) -> DataFrame:
+def shards_of(docs: DataFrame, state, unit: float, most: float, least: float, parts: int) -> DataFrame:
     """Rows (part, payload): the symbols of all classes, packed by shard."""
 
     def flush(held):
-        cls, sig, size, slack, side = (np.concatenate(x) for x in zip(*(h[:5] for h in held)))
+        cls, sig, size, side = (np.concatenate(x) for x in zip(*(h[:4] for h in held)))
         base = np.cumsum([0, *(len(h[0]) for h in held[:-1])])
-        doc = np.concatenate([h[5] + b for h, b in zip(held, base)])
-        sym, level = np.concatenate([h[6] for h in held]), np.concatenate([h[7] for h in held])
+        doc = np.concatenate([h[4] + b for h, b in zip(held, base)])
+        sym = np.concatenate([h[5] for h in held])
         part = ((sym >> U(32)) % U(parts)).astype(np.int64)
         order = np.argsort(part, kind="stable")
         ends = np.searchsorted(part[order], np.arange(parts + 1))
@@ -145,34 +152,34 @@ def shards_of(docs: DataFrame, state, unit: float, most: float, parts: int) -> D
             at = order[ends[p] : ends[p + 1]]
             if len(at):
                 who, local = np.unique(doc[at], return_inverse=True)
-                blob = Shard.pack(cls[who], sig[who], size[who], slack[who], side[who], local, sym[at] & U(0xFFFFFFFF), level[at])
+                blob = Shard.pack(cls[who], sig[who], size[who], side[who], local, sym[at] & U(0xFFFFFFFF))
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([blob], pa.binary())], ["part", "payload"])
 
     def send(batches):
         held, rows = [], 0
         for batch, texts in pieces(batches):
-            record, h, cls, size, slack = _facts(texts, state.value, unit)
+            spoken: list = []
+            record, h, cls, (size, x, slack) = _facts(texts, state.value, unit, spoken)
             side = np.asarray(batch.column("side")).astype(np.uint8)
             n = len(texts)
             # copies of one class in this piece become one; null and short texts send nothing
             uniq, first, inverse = np.unique(cls, return_index=True, return_inverse=True)
             sides = np.zeros(len(uniq), np.uint8)
             np.bitwise_or.at(sides, inverse, side)
-            new = np.full(n, -1)
-            new[first] = np.arange(len(uniq))
-            new[size < MIN_WORDS] = -1
-            use = new[record] >= 0
             kept = np.flatnonzero(size[first] >= MIN_WORDS)
             if not len(kept):
                 continue
-            renumber = np.full(len(uniq), -1)
-            renumber[kept] = np.arange(len(kept))
-            record, h = renumber[new[record[use]]], h[use]
-            order = np.argsort(record, kind="stable")
-            record, h = record[order], h[order]
             at = first[kept]
-            who, sym, level = ws.symbols(record, h, len(kept), state.value, slack[at], most)
-            held.append((cls[at], ws.signature(record, h, len(kept)), size[at], slack[at], sides[kept], who, sym, level))
+            new = np.full(n, -1)
+            new[at] = np.arange(len(kept))
+            # records keep their order among the kept ones
+            by = np.argsort(at, kind="stable")
+            at, kept = at[by], kept[by]
+            new[at] = np.arange(len(kept))
+            use, said = new[record] >= 0, new[spoken[0]] >= 0
+            record, h = new[record[use]], h[use]
+            who, sym = ws.symbols(record, h, len(kept), state.value, (size[at], x[at], slack[at]), most, least, unit, (new[spoken[0][said]], spoken[1][said]))
+            held.append((cls[at], ws.signature(record, h, len(kept)), size[at], sides[kept], who, sym))
             rows += len(kept)
             if rows > 30_000:
                 yield from flush(held)
@@ -183,13 +190,13 @@ def shards_of(docs: DataFrame, state, unit: float, most: float, parts: int) -> D
     return docs.select("text", "side").mapInArrow(send, "part int, payload binary")
 
 
-def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, threshold: float, derive: bool) -> DataFrame:
-    """(a, b, shared, total): the pairs of classes whose word sets overlap by at least the threshold, exactly.
+def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, threshold: float) -> DataFrame:
+    """(a, b, spans, matched, shared, total): the pairs of classes whose word sets overlap by at least the threshold, exactly.
 
     Only one record of each class that occurs in pairs sends its words; a bitmap of fixed size (2**SEEN_BITS bits) over
     doc_id tells most others apart before their texts are split.
-    derive: where only groups count, a pair is not computed whose ends are already joined in its task by computed ones.
     """
+
     def mark(batches):
         bits = np.zeros(1 << SEEN_BITS, bool)
         for b in batches:
@@ -230,93 +237,61 @@ def verified(docs: DataFrame, members: DataFrame, pairs: DataFrame, threshold: f
     full = pairs.join(sets.select(F.col("class").alias("a"), F.col("words").alias("wa")), "a").join(sets.select(F.col("class").alias("b"), F.col("words").alias("wb")), "b")
 
     def compare(batches):
-        from .components import Joined
-
-        joined = Joined()
         for batch in batches:
-            a, b, wa, wb = (batch.column(c).to_pylist() for c in ("a", "b", "wa", "wb"))
-            out = []
-            for x, y, p, q in zip(a, b, wa, wb):
-                if derive and joined.same(x, y):
-                    continue
+            shared, total = [], []
+            for p, q in zip(batch.column("wa").to_pylist(), batch.column("wb").to_pylist()):
                 p, q = np.frombuffer(p, np.uint32), np.frombuffer(q, np.uint32)
                 both = len(p) + len(q) - len(np.unique(np.concatenate([p, q])))
-                either = len(p) + len(q) - both
-                if both >= threshold * either - 1e-9:
-                    out.append((x, y, both, either))
-                    if derive:
-                        joined.join(x, y)
-            cols = list(zip(*out)) or [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], ["a", "b", "shared", "total"])
+                shared.append(both)
+                total.append(len(p) + len(q) - both)
+            shared, total = np.array(shared, np.int32), np.array(total, np.int32)
+            out = pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "spans", "matched")), pa.array(shared), pa.array(total)], ["a", "b", "spans", "matched", "shared", "total"])
+            yield out.filter(pa.array(shared >= threshold * total - 1e-9))
 
-    return full.mapInArrow(compare, "a long, b long, shared int, total int")
+    return full.select("a", "b", "spans", "matched", "wa", "wb").mapInArrow(compare, "a long, b long, spans long, matched long, shared int, total int")
 
 
 def seen_at(batch: pa.RecordBatch) -> np.ndarray:
     return (ws.mix(np.asarray(batch.column("doc_id")).view(U), 9) >> U(64 - SEEN_BITS)).astype(np.int64)
 
 
-def piece_pairs(shard: Shard, level: int, a: np.ndarray, b: np.ndarray | None, hot: int) -> Iterator[bytes]:
-    """The work of a hot list, in pairs of pieces: classes a against b, or all pairs of a. Pieces follow the slack, so that
-    pairs of pieces which the level rules out are left out."""
-    from .near_duplicates import skip
+def collected(cls: np.ndarray, found) -> Iterator[pa.RecordBatch]:
+    """Rows (a, b, spans, matched, work) of what a search yields: (i, j[, matched]) arrays, merged by pair, and work as bytes."""
+    held, n = [], 0
 
-    cuts = lambda x: [y for k in range(0, len(x), hot) if len(y := x[k : k + hot])]
-    a = a[np.argsort(shard.slack[a], kind="stable")]
-    lefts = cuts(a)
-    rights = lefts if b is None else cuts(b[np.argsort(shard.slack[b], kind="stable")])
-    for p, x in enumerate(lefts):
-        for q in range(p if b is None else 0, len(rights)):
-            y = rights[q]
-            if level >= 0 and skip((shard.slack[x[0]], shard.slack[x[-1]]), (shard.slack[y[0]], shard.slack[y[-1]]), level):
-                continue
-            at = np.concatenate([x, y])
-            head = np.array([len(x), len(y), level, b is None and p == q], np.int64).tobytes()
-            yield head + Shard.pack(shard.cls[at], shard.sig[at], shard.size[at], shard.slack[at], shard.side[at], np.empty(0), np.empty(0), np.empty(0))
-
-
-class Pieces:
-    """The classes of two pieces, in place of a shard."""
-
-    def __init__(self, blob: bytes) -> None:
-        n, m, self.level, same = np.frombuffer(blob, np.int64, 4)
-        self.same = bool(same)
-        at = 32 + 16
-        for k, t, w in Shard.FIELDS:
-            x = np.frombuffer(blob, t, int(n + m) * w, at)
-            setattr(self, k, x.reshape(-1, w) if w > 1 else x)
-            at += x.nbytes
-        self.a, self.b = np.arange(n), np.arange(n, n + m)
-
-    def pairs(self, unit: float, block: int = 256) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        from .near_duplicates import HIGH, LOW, skip
-
-        level = int(self.level)
-        for p in range(0, len(self.a), block):
-            x = self.a[p : p + block]
-            for q in range(p if self.same else 0, len(self.b), block):
-                y = self.b[q : q + block]
-                if level >= 0 and skip((self.slack[x[0]], self.slack[x[-1]]), (self.slack[y[0]], self.slack[y[-1]]), level):
-                    continue
-                i, j = tile(self, unit, x, y)
-                sums = self.slack[i] + self.slack[j]
-                ok = (self.cls[i] != self.cls[j]) & (sums >= LOW[level + 1]) & (sums < HIGH[level + 1])
-                yield i[ok], j[ok]
-
-
-def overlaps(docs: DataFrame, threshold: float, search: Callable, derive: bool = False, hot: int = HOT) -> tuple[DataFrame, DataFrame]:
-    """(links, members): links (a, b, shared, total) between different classes, members (class, doc_id, side, slack).
+    def out():
+        i, j, m = (np.concatenate(x) for x in zip(*held))
+        key, first, inverse = np.unique(i * len(cls) + j, return_index=True, return_inverse=True)
+        spans, matched = np.bincount(inverse), np.bincount(inverse, m).astype(np.int32)
+        a, b = cls[key // len(cls)].view(np.int64), cls[key % len(cls)].view(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(spans.astype(np.int32)), pa.array(matched), pa.nulls(len(a), pa.binary())], ["a", "b", "spans", "matched", "work"])
+
+    for x in found:
+        if isinstance(x, bytes):
+            yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int32()), pa.nulls(1, pa.int32()), pa.array([x], pa.binary())], ["a", "b", "spans", "matched", "work"])
+        elif len(x[0]):
+            held.append((x[0].astype(np.int64), x[1].astype(np.int64), x[2] if len(x) > 2 else np.ones(len(x[0]), np.int64)))
+            n += len(x[0])
+            if n > 2_000_000:
+                yield out()
+                held, n = [], 0
+    if held:
+        yield out()
+
+
+def candidates(docs: DataFrame, threshold: float, search: Callable) -> tuple[DataFrame, DataFrame]:
+    """(found, members): found as `collected` gives it, members (class, doc_id, side, slack).
 
     docs: doc_id long, text string, side int (1, 2: which side of the search; all 1 for a self-join).
-    search(shard, unit, hot): yields (i, j) arrays of positions of the classes of a shard that may qualify, and the work of
-    lists longer than hot as bytes (`piece_pairs`), which is spread over all tasks afterwards.
+    search(shard, unit): yields what `collected` takes, for the positions of the classes of a shard that may qualify.
     """
     spark = docs.sparkSession
     unit = (1 - threshold) / (1 + threshold)
     rows = docs.count()
     state = spark.sparkContext.broadcast(frequency_states(docs, rows))
     members = cut(members_of(docs, state, unit))
-    most = float(members.agg(F.max("slack")).first()[0] or 0) + 1e-4
+    ends = members.agg(F.max("slack"), F.min("slack")).first()
+    most, least = float(ends[0] or 0) + 1e-4, float(ends[1] or 0) - 1e-4
     parts = max(spark.sparkContext.defaultParallelism, rows // 60_000)
 
     def join(batches):
@@ -325,56 +300,27 @@ def overlaps(docs: DataFrame, threshold: float, search: Callable, derive: bool =
             return
         shard = Shard(blobs)
         del blobs
-        yield from collected(shard.cls, search(shard, unit, hot))
-
-    def collected(cls, found):
-        held, n = [], 0
-
-        def out():
-            i, j = (np.concatenate(x) for x in zip(*held))
-            key = np.unique(i * len(cls) + j)
-            a, b = cls[key // len(cls)].view(np.int64), cls[key % len(cls)].view(np.int64)
-            if derive:  # pairs without direction
-                a, b = np.minimum(a, b), np.maximum(a, b)
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.nulls(len(a), pa.binary())], ["a", "b", "work"])
-
-        for x in found:
-            if isinstance(x, bytes):
-                yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([x], pa.binary())], ["a", "b", "work"])
-            elif len(x[0]):
-                held.append((x[0].astype(np.int64), x[1].astype(np.int64)))
-                n += len(x[0])
-                if n > 2_000_000:
-                    yield out()
-                    held, n = [], 0
-        if held:
-            yield out()
+        yield from collected(shard.cls, search(shard, unit))
+
+    return cut(shards_of(docs, state, unit, most, least, parts).repartitionById(parts, F.col("part")).mapInArrow(join, PAIRS)), members
 
-    def work(batches):
-        for b in batches:
-            for blob in b.column("work").to_pylist():
-                pieces = Pieces(blob)
-                yield from collected(pieces.cls, pieces.pairs(unit))
 
-    schema = "a long, b long, work binary"
-    first = cut(shards_of(docs, state, unit, most, parts).repartitionById(parts, F.col("part")).mapInArrow(join, schema))
-    pairs = first.where("work is null").select("a", "b")
-    if jobs := first.where("work is not null").count():
-        spread = first.where("work is not null").select("work").repartition(min(jobs, 8 * parts))
-        pairs = pairs.union(spread.mapInArrow(work, schema).select("a", "b"))
-    return verified(docs, members, cut(pairs.distinct()), threshold, derive), members
+def merged(found: DataFrame) -> DataFrame:
+    """(a, b, spans, matched): pairs once, with the matches of all shards."""
+    return found.where("work is null").groupBy("a", "b").agg(F.sum("spans").alias("spans"), F.sum("matched").alias("matched"))
 
 
-def close(shard: Shard, unit: float, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+def close(shard, unit: float, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which pairs may qualify, by size and by the words that the signatures prove unshared."""
     apart = np.bitwise_count(shard.sig[i] ^ shard.sig[j]).sum(1, dtype=np.int32)
-    return apart <= (shard.size[i] + shard.size[j]) * unit + 1e-6
+    a, b = shard.size[i], shard.size[j]
+    return np.maximum(apart, abs(a - b)) <= (a + b) * unit + 1e-6
 
 
 _held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
 
 
-def tile(shard: Shard, unit: float, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def tile(shard, unit: float, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All (i of a, j of b) that may qualify; a and b of moderate length. Works in arrays that fit the cache."""
     shape = (len(a), len(b))
     if shape not in _held:

@@ -22,7 +22,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
     btp = _read(spark, sf, "data_btp").select("doc_id", F.col("sentence").alias("text"), F.when(F.col("split_name") == "train", 1).when(F.col("split_name").isin("validation", "test"), 2).alias("side"))
     other = _read(spark, sf, "data_metallurgie").select("doc_id", F.col("sentence").alias("text"), F.lit(2).alias("side"))
-    return cross_split(btp.union(other), 0.7)
+    return cross_split(btp.union(other), 0.7).select("doc_id_a", "doc_id_b")
 
 
 def p2_found(spark: SparkSession, sf: str) -> DataFrame:

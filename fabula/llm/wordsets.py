@@ -6,10 +6,15 @@ a set as the sum of its words' mixed hashes (the *class* of all records with tha
 Two sets r, s with Jaccard >= t have at most D = (1-t)/(1+t) (|r|+|s|) words that are in one of them only.
 Words in few records are *rare*, the others *frequent*. With x rare words in a set let its slack be
 e = |r| (1-t)/(1+t) - x. Either r and s share a rare word, or all their rare words are unshared and at most
-e_r + e_s frequent words are. In the second case, when the frequent words are spread by hash over more than
-e_r + e_s blocks, one block is equal in both. So rare words and block hashes are symbols of which every
-qualifying pair shares at least one: no pair is lost, whatever the threshold between rare and frequent is.
-Pairs with a larger sum of slacks use more blocks (`LEVELS`).
+d = e_r + e_s frequent words are. In the second case the frequent words, dealt to m blocks, are equal in m - d blocks at
+least. With m = d + 3 blocks in two groups, one group has two equal blocks: so the pairs of blocks within a group are
+symbols of which every such pair shares one (for large d: single blocks, m = d + 1). The words are dealt in order
+of their entropy, so that no block says much less than the others, and a symbol holds a sixth of a set's words or more.
+So rare words and block symbols bring every qualifying pair together, whatever the threshold between rare and frequent is.
+
+A symbol of nothing but empty blocks is left out wherever a set is *safe*: to break every group, fewer than two of its
+blocks or none of its filled blocks must be equal, and that takes more unshared words than the set can have with any partner.
+Then a symbol with words is shared too.
 """
 
 from __future__ import annotations
@@ -21,8 +26,10 @@ import numpy as np
 
 #: log2 of the number of counters that tell rare from frequent words: 4 M counters, 1 MB when sent to executors.
 SKETCH_BITS = 22
-#: Numbers of blocks; level i serves pairs whose slacks sum to LEVELS[i-1] .. LEVELS[i].
-LEVELS = (10, 14, 20, 28, 40, 56, 80, 112, 160, 224, 320, 450, 640, 900)
+#: Upper bounds of the sums of slacks that a level of blocks serves; they go on by STEP as far as a corpus needs.
+FIRST_LEVELS, STEP = (10, 14, 20), 1.4
+#: Levels of at most so many unshared words use pairs of blocks, the others single blocks.
+PAIRED = 14
 SIGNATURE_WORDS = 3
 U = np.uint64
 
@@ -69,8 +76,9 @@ HASH_BITS = 52
 PIECE_RECORDS = 1 << (64 - HASH_BITS)
 
 
-def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """(record number, word hash), distinct and sorted, of at most PIECE_RECORDS texts; null texts have no words."""
+def words_of(texts: list[str | None], spoken: list | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(record number, word hash), distinct and sorted, of at most PIECE_RECORDS texts; null texts have no words.
+    spoken: gets the same in the order of the texts, with repetitions."""
     kinds, powers = _tables()
     joined = "\0".join(["" if t is None else t for t in texts])
     if joined.count("\0") >= len(texts) > 0:
@@ -87,6 +95,8 @@ def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     first, length = edge[::2], edge[1::2] - edge[::2]
     if not len(first):
+        if spoken is not None:
+            spoken += [np.empty(0, np.int64), np.empty(0, U)]
         return np.empty(0, np.int64), np.empty(0, U)
     total = np.cumsum(length)
     at = np.flatnonzero(inside[1:-1])
@@ -97,7 +107,10 @@ def words_of(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
             value += mix((place >> 12).astype(U)) * (place >= 4096)
         h = mix(np.add.reduceat(value, total - length))
     record = np.searchsorted(np.flatnonzero(chars == 0), first).astype(U)
-    key = np.sort((record << U(HASH_BITS)) | (h >> U(64 - HASH_BITS)))
+    key = (record << U(HASH_BITS)) | (h >> U(64 - HASH_BITS))
+    if spoken is not None:
+        spoken += [record.astype(np.int64), key << U(64 - HASH_BITS)]
+    key = np.sort(key)
     key = key[np.r_[True, key[1:] != key[:-1]]]
     return (key >> U(HASH_BITS)).astype(np.int64), key << U(64 - HASH_BITS)
 
@@ -109,38 +122,92 @@ def class_of(record: np.ndarray, h: np.ndarray, n: int) -> tuple[np.ndarray, np.
 
 
 def signature(record: np.ndarray, h: np.ndarray, n: int) -> np.ndarray:
-    """n rows of SIGNATURE_WORDS 64-bit words; every word of the set has one bit."""
+    """n rows of SIGNATURE_WORDS 64-bit words: the parity of the set's words at each of their bits. Every word that one of
+    two sets holds alone flips one bit, so as many differ at most."""
     bit = (mix(h, 2) % U(64 * SIGNATURE_WORDS)).astype(np.int64)
-    bits = np.zeros((n, 64 * SIGNATURE_WORDS), bool)
-    bits[record, bit] = True
-    return np.packbits(bits, axis=1, bitorder="little").view(U)
+    odd = np.bincount(record * (64 * SIGNATURE_WORDS) + bit, minlength=n * 64 * SIGNATURE_WORDS).astype(np.uint8) & 1
+    return np.packbits(odd.reshape(n, -1), axis=1, bitorder="little").view(U)
 
 
 def buckets(h: np.ndarray) -> np.ndarray:
     return (h >> U(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def symbols(record: np.ndarray, h: np.ndarray, n: int, state: np.ndarray, slack: np.ndarray, most: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(record, symbol, level) of each symbol; level -1 for words. state: of each bucket 0 for at most one record,
-    1 rare, 2 frequent. most: the largest slack of any record."""
-    kind = state[buckets(h)]
-    rare = kind == 1
-    who, what, level = [record[rare]], [mix(h[rare], 3)], [np.full(rare.sum(), -1, np.int8)]
-    often = kind == 2
-    r, w = record[often], h[often]
-    low = 0
-    for i, m in enumerate(LEVELS):
+def levels(most: float) -> list[tuple[float, float, int]]:
+    """(low, high, d) of each level: it serves sums of slacks from low up to high, of at most d unshared frequent words."""
+    out, low = [], -np.inf
+    for high in FIRST_LEVELS:
         if low > 2 * most:
-            break
-        takes = slack >= low - most
+            return out
+        out.append((low, high, high - 1))
+        low = high
+    while low <= 2 * most:
+        high = int(low * STEP) + 1
+        out.append((low, high, high - 1))
+        low = high
+    return out
+
+
+def groups(d: int) -> tuple[list[np.ndarray], int]:
+    """The blocks of each group, and how many of them make a symbol."""
+    if d > PAIRED:
+        return [np.arange(d + 1)], 1
+    m = d + 3
+    return [np.arange(0, (m + 1) // 2), np.arange((m + 1) // 2, m)], 2
+
+
+def symbols(record, h, n: int, state, facts, most: float, least: float, unit: float, spoken=None) -> tuple[np.ndarray, np.ndarray]:
+    """(record, symbol) of each symbol of n sets, by record; first the rare words (in the order of the text, if spoken is
+    given), then the block symbols.
+
+    state: of each bucket 0 for at most one record, 1 rare, 2 + place by entropy for frequent words. facts: size, number of
+    words that aren't frequent, and slack of each set; most, least: bounds of the slacks of all sets.
+    """
+    size, x, slack = facts
+    kind = state[buckets(h)]
+    r, w = (record, h) if spoken is None else spoken
+    rare = np.flatnonzero((kind if spoken is None else state[buckets(w)]) == 1)
+    r, w = r[rare], w[rare]
+    if spoken is not None and len(r):
+        first = np.sort(np.unique(mix(w, 13) ^ mix(r.astype(U), 14), return_index=True)[1])
+        r, w = r[first], w[first]
+    who, what, order = [r], [mix(w, 3)], [np.arange(len(r))]
+    often = kind >= 2
+    r, w, place = record[often], h[often], kind[often].astype(np.int64) - 2
+    # no partner has more words of its own than that (sizes of similar sets are similar)
+    bound = np.minimum(size * (2 * unit / (1 - unit)) - x, slack + most) + 1e-4
+    count = len(order[0])
+    for low, high, d in levels(most):
+        takes = (bound >= low) & (bound >= 0) & (slack + least < high + 1e-4)
+        if not takes.any():
+            continue
+        split, k = groups(d)
+        m = d + 3 if k == 2 else d + 1
+        number = np.cumsum(takes) - 1
+        rows = int(takes.sum())
         use = takes[r]
-        rr = r[use]
-        cell = rr * m + (mix(w[use], 4) % U(m)).astype(np.int64)
-        order = np.argsort(cell, kind="stable")
-        total = group_sum(mix(w[use], 5)[order], cell[order], n * m).reshape(n, m)[takes]
+        lap, block = np.divmod(place[use], m)
+        block = np.where(lap & 1, m - 1 - block, block)
+        cell = number[r[use]] * m + block
+        by = np.argsort(cell, kind="stable")
+        total = group_sum(mix(w[use], 5)[by], cell[by], rows * m).reshape(rows, m)
+        filled = total != 0
+        spare = np.minimum(np.floor(bound[takes]), d)
+        safe = sum(np.minimum(len(g) - k + 1, filled[:, g].sum(1)) for g in split) > spare
+        with np.errstate(over="ignore"):
+            named = mix(total + mix(np.arange(m, dtype=U) + U(1000 * d)), 6)
+        left = np.concatenate([np.repeat(g, len(g)) for g in split]) if k == 2 else split[0]
+        right = np.concatenate([np.tile(g, len(g)) for g in split]) if k == 2 else split[0]
+        if k == 2:
+            left, right = left[left < right], right[left < right]
         with np.errstate(over="ignore"):
-            what.append(mix(total + mix(np.arange(m, dtype=U) + U(1000 * m)), 6).ravel())
-        who.append(np.repeat(np.flatnonzero(takes), m))
-        level.append(np.full(total.size, i, np.int8))
-        low = m
-    return np.concatenate(who), np.concatenate(what), np.concatenate(level)
+            symbol = mix(named[:, left] * U(3) + named[:, right], 7) if k == 2 else named
+        keep = filled[:, left] | filled[:, right] | ~safe[:, None]
+        at, col = np.nonzero(keep)
+        who.append(np.flatnonzero(takes)[at])
+        what.append(symbol[at, col])
+        order.append(count + col)
+        count += len(left)
+    who, what, order = np.concatenate(who), np.concatenate(what), np.concatenate(order)
+    by = np.lexsort((order, who))
+    return who[by], what[by]
