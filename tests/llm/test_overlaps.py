@@ -151,7 +151,9 @@ def test_group_of_many_variants(spark):
 def test_components(spark):
     rng = random.Random(7)
     links = [(rng.randrange(300), rng.randrange(300)) for _ in range(200)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5), (None, 3), (4, None)]
-    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    links += [(2000, k) for k in range(2001, 2100)]
+    got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long"), small=5).collect()}
+    assert len({r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}) == len(set(got.values()))
     j = Joined()
     for a, b in links:
         if a is not None and b is not None and a != b:
