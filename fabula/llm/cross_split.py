@@ -125,10 +125,16 @@ class FullTextIndex:
         return length
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    x = np.sort(x)
+    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
+
+
 def cross_pairs(shard: Shard, unit: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(training, evaluation, matched symbols) of the maximal matches of classes of a shard that may qualify."""
     ev, tr = ((shard.side[shard.doc] & side) > 0 for side in (EVALUATION, TRAIN))
-    known = np.intersect1d(shard.sym[ev], shard.sym[tr])
+    known = distinct(shard.sym[ev])
+    known = known[np.isin(known, distinct(shard.sym[tr]), assume_unique=True, kind="sort")]
     if not len(known):
         return
     code = np.searchsorted(known, shard.sym)
@@ -139,6 +145,8 @@ def cross_pairs(shard: Shard, unit: float) -> Iterator[tuple[np.ndarray, np.ndar
     doc, text = shard.doc[tr & both], code[tr & both]
     new = np.r_[True, doc[1:] != doc[:-1]]
     first = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
+    room = (shard.size * unit + 1e-4).astype(np.float32)
+    sign, spare = shard.sig[names, 0][index.owner], room[names][index.owner]
     lo, hi = index.interval(text)
     # where the match goes on with the next symbol, its occurrences belong to a longer match
     inner_lo, inner_hi = lo.copy(), lo.copy()
@@ -159,8 +167,12 @@ def cross_pairs(shard: Shard, unit: float) -> Iterator[tuple[np.ndarray, np.ndar
             start[0] += done - before
             n[0] -= done - before
             n[-1] -= int(total[q]) - stop
-            row = np.repeat(start, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            where = np.repeat(u, n)
+            sums = np.cumsum(n)
+            row = np.arange(sums[-1]) + np.repeat(start - sums + n, n)
+            # one word of the signatures first, for the evaluation side in the order of the rows
+            apart = np.bitwise_count(np.repeat(shard.sig[doc[u], 0], n) ^ sign[row])
+            at = np.flatnonzero(apart <= np.repeat(room[doc[u]], n) + spare[row])
+            row, where = row[at], u[np.searchsorted(sums, at, "right")]
             i, j = doc[where], names[index.owner[row]]
             ok = np.flatnonzero(i != j)
             ok = ok[close(shard, unit, i[ok], j[ok])]

@@ -111,9 +111,11 @@ class Shard:
 
     @staticmethod
     def pack(cls, sig, size, side, doc=(), sym=()) -> bytes:
+        """doc: the class of each symbol, ascending; sent as a count for each class."""
+        count = np.bincount(np.asarray(doc, np.int64), minlength=len(cls))
         head = np.array([len(cls), len(sym)], np.int64).tobytes()
         parts = [np.ascontiguousarray(x, t).tobytes() for x, (_, t, _) in zip((cls, sig, size, side), Shard.FIELDS)]
-        return b"".join([head, *parts, np.asarray(doc, np.uint32).tobytes(), np.asarray(sym, np.uint32).tobytes()])
+        return b"".join([head, *parts, count.astype(np.uint32).tobytes(), np.asarray(sym, np.uint32).tobytes()])
 
     def __init__(self, blobs: list[bytes]) -> None:
         got, doc, sym, base = {k: [] for k, _, _ in self.FIELDS}, [], [], 0
@@ -123,8 +125,8 @@ class Shard:
                 x = np.frombuffer(b, t, nd * w, at)
                 got[k].append(x.reshape(nd, w) if w > 1 else x)
                 at += x.nbytes
-            doc.append(np.frombuffer(b, np.uint32, ne, at).astype(np.int64) + base)
-            sym.append(np.frombuffer(b, np.uint32, ne, at + 4 * ne))
+            doc.append(np.repeat(np.arange(nd) + base, np.frombuffer(b, np.uint32, nd, at)))
+            sym.append(np.frombuffer(b, np.uint32, ne, at + 4 * nd))
             base += int(nd)
         self.cls, first, inverse = np.unique(np.concatenate(got["cls"]), return_index=True, return_inverse=True)
         self.sig, self.size = (np.concatenate(got[k])[first] for k in ("sig", "size"))
