@@ -1,8 +1,8 @@
 """Most similar vectors for every vector (p2): a forest of random-projection trees.
 
-The forest is fitted on a bounded sample (SAMPLE vectors of smallest hash); every vector is indexed in one leaf of every
-tree. A vector also searches: besides its own leaves it visits the PROBES leaves behind the splits it missed by the
-smallest margin over all trees (one priority queue shared by the trees). In a leaf, signatures of random projections
+The forest is fitted on a bounded sample (SAMPLE to SAMPLE_MOST vectors of smallest hash); every vector is indexed in one leaf
+of every tree. A vector also searches: besides its own leaves it visits PROBES more from one priority queue that the trees
+share (`visits`). Rows of a leaf of any size are all compared; signatures of random projections
 rule out pairs that are likely below min_cosine (a pair just at it is lost with probability 0.0013, in all trees alike, as a
 signature is the same in each; see DEVIATIONS); what is left, however many, is reranked by exact cosines.
 
@@ -23,11 +23,11 @@ from ..session import cut
 from .vectors import dims_of, hash_ids, read_blocks, sample_of, unit_blocks
 from .wordsets import mix
 
-SAMPLE = 32_768
+#: Vectors that the forest is fitted on, at least and at most; in between one of so many rows.
+SAMPLE, SAMPLE_MOST, SAMPLE_OF = 32_768, 131_072, 256
 TREES, PROBES = 8, 4
+#: Rows that a leaf is meant to hold; a leaf holds LEAF_SAMPLE sampled rows or more, so leaves grow with the data in the end.
 LEAF_ROWS, LEAF_SAMPLE = 256, 8
-#: A leaf of more rows is split on, by bits of the signatures.
-LEAF_MOST = 2048
 SIGNATURE_BITS = 192
 #: A pair of cosine just min_cosine passes the signatures up to so many standard deviations (3: all but 0.13 %, fewer the more alike).
 DEVIATIONS = 3.0
@@ -107,47 +107,44 @@ def signatures(x: np.ndarray) -> np.ndarray:
 
 
 def visits(forest: list[Tree], x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, tree, leaf, indexed) of every leaf that a row is indexed in or searches."""
-    rows, trees, leaves, own, queue = [], [], [], [], []
+    """(row, tree, leaf, indexed) of every leaf that a row is indexed in or searches.
+
+    All trees share one priority queue a row: it holds the far side of every split passed, by the largest margin on the way
+    there. Each of PROBES times the nearest far side is taken and gone down from, and the splits passed then are queued too.
+    """
     everyone = np.arange(len(x))
+    rows, trees, leaves, own = [], [], [], []
+    margins, nodes, owners = [], [], []
+
+    def queue(who, node, tree, margin):
+        m, n, t = np.full(len(x), np.inf, np.float32), np.zeros(len(x), np.int32), np.zeros(len(x), np.uint8)
+        m[who], n[who], t[who] = margin, node, tree
+        margins.append(m), nodes.append(n), owners.append(t)
+
     for t, tree in enumerate(forest):
         leaf, passed = tree.down(x, note=True)
         rows.append(everyone), trees.append(np.full(len(x), t)), leaves.append(leaf), own.append(np.ones(len(x), bool))
-        queue += [(r, np.full(len(r), t), other, m) for r, other, m in passed]
-    if queue and PROBES:
-        r, t, other, m = (np.concatenate(c) for c in zip(*queue))
-        order = np.lexsort((m, r))
-        r, t, other = r[order], t[order], other[order]
-        first = np.flatnonzero(np.r_[True, r[1:] != r[:-1]])
-        place = np.arange(len(r)) - np.repeat(first, np.diff(np.r_[first, len(r)]))
-        take = place < PROBES
-        r, t, other = r[take], t[take], other[take]
-        for k, tree in enumerate(forest):
-            at = t == k
-            rows.append(r[at]), trees.append(t[at]), leaves.append(tree.down(x[r[at]], other[at])), own.append(np.zeros(at.sum(), bool))
+        for who, far, m in passed:
+            queue(who, far, t, m)
+    for _ in range(PROBES if margins else 0):
+        table = np.stack(margins)
+        best = table.argmin(0)
+        margin = table[best, everyone]
+        live = np.flatnonzero(np.isfinite(margin))
+        if not len(live):
+            break
+        node, owner = (np.stack(c)[best[live], live] for c in (nodes, owners))
+        for k in np.unique(best[live]):
+            margins[k][live[best[live] == k]] = np.inf
+        for t, tree in enumerate(forest):
+            at = np.flatnonzero(owner == t)
+            leaf, passed = tree.down(x[live[at]], node[at].astype(np.int64), note=True)
+            rows.append(live[at]), trees.append(np.full(len(at), t)), leaves.append(leaf), own.append(np.zeros(len(at), bool))
+            for who, far, m in passed:
+                queue(live[at[who]], far, t, np.maximum(m, margin[live[at[who]]]))
     return tuple(np.concatenate(c) for c in (rows, trees, leaves, own))
 
 
-def cells(sig: np.ndarray, seed: int) -> np.ndarray:
-    """Splits an oversized leaf on by random signature bits; rows that the bits tell little apart stay together."""
-    rng = np.random.default_rng(seed)
-    out, number, stack = np.zeros(len(sig), np.int64), 0, [np.arange(len(sig))]
-    bits = np.unpackbits(sig.view(np.uint8), axis=1, bitorder="little")
-    while stack:
-        rows = stack.pop()
-        if len(rows) > LEAF_MOST:
-            tries = rng.integers(SIGNATURE_BITS, size=8)
-            part = bits[rows][:, tries].mean(0)
-            k = int(np.argmin(np.abs(part - 0.5)))
-            if min(part[k], 1 - part[k]) > 0.05:
-                one = bits[rows, tries[k]] == 1
-                stack += [rows[one], rows[~one]]
-                continue
-        out[rows] = number
-        number += 1
-    return out
-
-
 def candidates_of(blocks: DataFrame, d: int, forest: list[Tree], min_cosine: float, rows: int) -> DataFrame:
     """(a, b): all pairs of classes that met in a leaf and may reach min_cosine."""
     sc = blocks.sparkSession.sparkContext
@@ -198,26 +195,22 @@ def candidates_of(blocks: DataFrame, d: int, forest: list[Tree], min_cosine: flo
         for a, b in zip(bounds[:-1], bounds[1:]):
             rows = local[a:b]
             mine = own[a:b] == 1
-            split = cells(sigs[rows], int(keys[a])) if b - a > LEAF_MOST else np.zeros(b - a, np.int64)
-            for c in range(split.max() + 1):
-                at = split == c
-                there = rows[at & mine]
-                for lo in range(0, len(there), 1024):
-                    some = there[lo : lo + 1024]
-                    asks = rows[at]
-                    for q in range(0, len(asks), 1024):
-                        ask = asks[q : q + 1024]
-                        apart = np.bitwise_count(sigs[ask, 0][:, None] ^ sigs[some, 0])
-                        for w in range(1, width):
-                            apart += np.bitwise_count(sigs[ask, w][:, None] ^ sigs[some, w])
-                        i, j = np.nonzero(apart <= min(limit, 255))
-                        i, j = ids[ask[i]], ids[some[j]]
-                        ok = i != j
-                        out.append((np.minimum(i[ok], j[ok]), np.maximum(i[ok], j[ok])))
-                        n += int(ok.sum())
-                        if n > 1_000_000:
-                            yield pairs(out)
-                            out, n = [], 0
+            there = rows[mine]
+            for lo in range(0, len(there), 1024):
+                some = there[lo : lo + 1024]
+                for q in range(0, len(rows), 1024):
+                    ask = rows[q : q + 1024]
+                    apart = np.bitwise_count(sigs[ask, 0][:, None] ^ sigs[some, 0])
+                    for w in range(1, width):
+                        apart += np.bitwise_count(sigs[ask, w][:, None] ^ sigs[some, w])
+                    i, j = np.nonzero(apart <= min(limit, 255))
+                    i, j = ids[ask[i]], ids[some[j]]
+                    ok = i != j
+                    out.append((np.minimum(i[ok], j[ok]), np.maximum(i[ok], j[ok])))
+                    n += int(ok.sum())
+                    if n > 1_000_000:
+                        yield pairs(out)
+                        out, n = [], 0
         if n:
             yield pairs(out)
 
@@ -269,17 +262,18 @@ def exact(blocks: DataFrame, d: int, pairs: DataFrame) -> DataFrame:
     return both.select("a", "b", "va", "vb").mapInArrow(cosine, "a long, b long, cosine double")
 
 
-def most_similar(wide: DataFrame, k: int = 5, min_cosine: float = 0.5) -> DataFrame:
+def most_similar(wide: DataFrame, k: int = 5, min_cosine: float = 0.5, sample: int | None = None) -> DataFrame:
     """(doc_id, other_id, cosine, place): for every usable vector its k most similar others of cosine min_cosine or more,
     by cosine descending, then other_id ascending; place from 1.
 
     Vectors with a null, NaN or infinite dimension or of length zero take no part; rows delivered again count once; equal
-    vectors of several records are neighbours of cosine one; an empty table gives an empty result.
+    vectors of several records are neighbours of cosine one; an empty table gives an empty result. sample: vectors that the
+    forest is fitted on.
     """
     d = len(dims_of(wide))
     blocks = unit_blocks(wide)
     rows = blocks.agg(F.sum("n")).first()[0] or 0
-    _, x = sample_of(blocks, d, SAMPLE)
+    _, x = sample_of(blocks, d, sample or min(max(SAMPLE, rows // SAMPLE_OF), SAMPLE_MOST))
     leaf = max(LEAF_SAMPLE, LEAF_ROWS * len(x) // max(1, rows))
     x = x[np.sort(np.unique(class_hashes(x), return_index=True)[1])]
     forest = [Tree(x, leaf, 7 + t) for t in range(TREES)] if len(x) else []

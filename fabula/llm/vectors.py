@@ -82,41 +82,27 @@ def read_blocks(batches, d: int):
             yield np.frombuffer(i, np.int64), np.frombuffer(v, np.float32).reshape(-1, d)
 
 
-def sample_of(blocks: DataFrame, d: int, most: int, keep=None, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """At most `most` (ids, vectors): those of smallest hash, whatever the partitioning. keep(vectors) -> mask narrows it."""
+def sample_of(blocks: DataFrame, d: int, most: int, salt: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """At most `most` (ids, vectors): those of smallest hash, whatever the partitioning. The count of all rows sets a threshold
+    on the hash first, so about 1.3 x most rows are sent; in the rare case of fewer than most, a higher one is used."""
     from .wordsets import mix
 
     total = blocks.agg(F.sum("n")).first()[0] or 0
-    # a first threshold on the hash keeps what reaches the driver near the bound
-    share = min(1.0, 1.3 * most / max(1, total)) if keep is None else 1.0
-
-    def pick(batches):
-        hashes, ids, vecs = [], [], []
-        for i, v in read_blocks(batches, d):
-            h = mix(i.view(np.uint64), 100 + salt)
-            at = h < np.uint64(min(2**64 - 1, int(share * 2**64)))
-            if keep is not None:
-                at &= keep(v)
-            hashes.append(h[at]), ids.append(i[at]), vecs.append(v[at])
-            if sum(map(len, ids)) > 2 * most:
-                hashes, ids, vecs = shrink(hashes, ids, vecs)
-        if ids:
-            hashes, ids, vecs = shrink(hashes, ids, vecs)
-            yield pa.RecordBatch.from_arrays([pa.array([hashes[0].tobytes()], pa.binary()), pa.array([ids[0].tobytes()], pa.binary()), pa.array([vecs[0].tobytes()], pa.binary())], ["hashes", "ids", "vecs"])
-
-    def shrink(hashes, ids, vecs):
-        h, i, v = np.concatenate(hashes), np.concatenate(ids), np.concatenate(vecs)
-        at = np.argsort(h, kind="stable")[:most]
-        return [h[at]], [i[at]], [v[at]]
-
-    def merge(batches):
-        rows = [r for b in batches for r in b.to_pylist()]
-        if rows:
-            h, i, v = shrink(*([np.frombuffer(r[k], t) if w == 1 else np.frombuffer(r[k], t).reshape(-1, w) for r in rows] for k, t, w in (("hashes", np.uint64, 1), ("ids", np.int64, 1), ("vecs", np.float32, d))))
-            yield pa.RecordBatch.from_arrays([pa.array([h[0].tobytes()], pa.binary()), pa.array([i[0].tobytes()], pa.binary()), pa.array([v[0].tobytes()], pa.binary())], ["hashes", "ids", "vecs"])
-
-    schema = "hashes binary, ids binary, vecs binary"
-    got = blocks.select("ids", "vecs").mapInArrow(pick, schema).repartition(1).mapInArrow(merge, schema).collect()
-    if not got:
-        return np.empty(0, np.int64), np.empty((0, d), np.float32)
-    return np.frombuffer(got[0].ids, np.int64), np.frombuffer(got[0].vecs, np.float32).reshape(-1, d)
+    share = 1.3 * most / max(1, total)
+    while True:
+        limit = np.uint64(min(2**64 - 1, int(share * 2**64)))
+
+        def pick(batches, limit=limit):
+            for i, v in read_blocks(batches, d):
+                at = mix(i.view(np.uint64), 100 + salt) < limit
+                if at.any():
+                    yield pa.RecordBatch.from_arrays([pa.array([i[at].tobytes()], pa.binary()), pa.array([v[at].tobytes()], pa.binary())], ["ids", "vecs"])
+
+        got = blocks.select("ids", "vecs").mapInArrow(pick, "ids binary, vecs binary").collect()  # bounded by the threshold
+        ids = np.frombuffer(b"".join(r.ids for r in got), np.int64)
+        if len(ids) >= min(most, total) or share >= 1:
+            break
+        share *= 2
+    vecs = np.frombuffer(b"".join(r.vecs for r in got), np.float32).reshape(-1, d)
+    order = np.lexsort((ids, mix(ids.view(np.uint64), 100 + salt)))[:most]
+    return ids[order], vecs[order]

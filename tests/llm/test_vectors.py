@@ -40,6 +40,51 @@ def test_recall_against_brute_force(spark):
     assert all(c[i, j] >= 0.9399 for i, j in got) and max(map(max, got)) < 90_000
 
 
+def test_recall_with_large_leaves(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(20_000, 16)).astype(np.float32)
+    x[10_000:] = x[:10_000] + 0.12 * rng.normal(size=(10_000, 16))
+    forest = [nearest.Tree(x[:40], 10, 7 + t) for t in range(nearest.TREES)]
+    assert max(np.bincount(forest[0].down(x))) > 3000
+    got = {(r.doc_id, r.other_id) for r in most_similar(wide(spark, x), 5, 0.94, sample=40).where("doc_id % 50 = 0").collect()}
+    u = x.astype(float) / np.linalg.norm(x, axis=1, keepdims=True)
+    want = set()
+    for i in range(0, len(x), 50):
+        c = u @ u[i]
+        c[i] = -2
+        want |= {(i, int(j)) for j in np.argsort(-c)[:5] if c[j] >= 0.9401}
+    assert len(want) > 300 and len(want & got) >= 0.95 * len(want)
+
+
+def test_queue_is_shared_by_the_trees():
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(300, 6)).astype(np.float32)
+    forest = [nearest.Tree(x, 20, t) for t in range(3)]
+    row, tree, leaf, own = nearest.visits(forest, x)
+    for i in range(0, 300, 17):
+        heap, want = [], []
+        for t, f in enumerate(forest):
+            heap.append((0.0, t, 0))
+            for _ in range(1):
+                want.append((t, walk(f, x[i], t, 0, 0.0, heap)))
+                heap = [h for h in heap if h != (0.0, t, 0)]
+        for _ in range(nearest.PROBES):
+            m, t, node = min(heap)
+            heap.remove((m, t, node))
+            want.append((t, walk(forest[t], x[i], t, node, m, heap)))
+        mine = row == i
+        assert sorted(zip(tree[mine].tolist(), leaf[mine].tolist())) == sorted(want) and own[mine].sum() == 3
+
+
+def walk(f, v, t, node, margin, heap):
+    """Down a tree, far sides onto the heap; the plain version of what `visits` does for all rows at once."""
+    while node >= 0:
+        m = float(np.einsum("j,j->", v, f.planes[node]))
+        heap.append((max(margin, abs(m)), t, int(f.child[node, 0 if m > 0 else 1])))
+        node = int(f.child[node, 1 if m > 0 else 0])
+    return -1 - node
+
+
 def test_hot_group_and_empty(spark):
     rng = np.random.default_rng(1)
     x = np.concatenate([np.ones((2500, 8)) + 0.01 * rng.normal(size=(2500, 8)), rng.normal(size=(300, 8))]).astype(np.float32)
