@@ -44,27 +44,26 @@ def plan_table(records: DataFrame, targets: DataFrame) -> list:
     return rows.join(counts, "label", "left").select("plan_id", "pred_label", "label", "wanted", F.coalesce("count", F.lit(0)).alias("eligible")).orderBy("plan_id", "pred_label").collect()
 
 
-def flight(p: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, int]:
-    """Flight on one label: the probabilities after it, and the undecided record (-1: none). u: a random number each."""
+def flight(p: np.ndarray, draw) -> tuple[np.ndarray, int]:
+    """Flight on one label: the probabilities after it, and the undecided record (-1: none). draw(places, turn): random numbers.
+
+    Undecided records move in pairs, all pairs at once: along (+1, -1), the null space of the label's indicator, up by
+    min(1 - a, b) or down by min(a, 1 - b), so that the sum stays and the mean too. Each pair leaves one undecided at most.
+    """
     p = p.copy()
-    i = -1
-    for j in range(len(p)):
-        if p[j] <= EPS or p[j] >= 1 - EPS:
-            p[j] = round(p[j])
-            continue
-        if i < 0:
-            i = j
-            continue
+    open_at, turn = np.flatnonzero((p > EPS) & (p < 1 - EPS)), 0
+    while len(open_at) > 1:
+        i, j = open_at[: len(open_at) // 2 * 2].reshape(-1, 2).T
         a, b = p[i], p[j]
-        # along (+1, -1) of the null space: up by min(1 - a, b) or down by min(a, 1 - b), so that the mean stays
-        up, down = min(1 - a, b), min(a, 1 - b)
-        step = up if u[j] * (up + down) < down else -down
+        up, down = np.minimum(1 - a, b), np.minimum(a, 1 - b)
+        step = np.where(draw(j, turn) * (up + down) < down, up, -down)
         p[i], p[j] = a + step, b - step
-        for k in (i, j):
-            if p[k] < EPS or p[k] > 1 - EPS:
-                p[k] = round(p[k])
-        i = i if EPS < p[i] < 1 - EPS else j if EPS < p[j] < 1 - EPS else -1
-    return p, i
+        near = (p[open_at] < EPS) | (p[open_at] > 1 - EPS)
+        p[open_at[near]] = np.round(p[open_at[near]])
+        open_at, turn = open_at[~near], turn + 1
+    near = (p <= EPS) | (p >= 1 - EPS)
+    p[near] = np.round(p[near])
+    return p, int(open_at[0]) if len(open_at) else -1
 
 
 def cube_sample(records: DataFrame, targets: DataFrame, seed: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -72,7 +71,7 @@ def cube_sample(records: DataFrame, targets: DataFrame, seed: int = 1) -> tuple[
 
     records: doc_id, pred_label, pred_ok; targets: plan_id, pred_label, target_share, min_rows, sample_rows. wanted is the
     larger of min_rows and target_share x sample_rows rounded to a whole number (half up); null parts count as zero. A
-    label with fewer eligible records gives all of them and is reported with short > 0. residual is drawn minus the
+    label with fewer eligible records gives all of them; short is what the draw lacks of wanted. residual is drawn minus the
     number that could be wanted. A doc_id counts once; null labels and ids never do; empty tables give empty results or a
     report of nothing drawn. The draw depends on the seed and doc_id only through their hash and the partitioning.
     """
@@ -88,8 +87,8 @@ def cube_sample(records: DataFrame, targets: DataFrame, seed: int = 1) -> tuple[
         n = len(ids)
         return pa.RecordBatch.from_arrays([pa.array(np.full(n, plan, np.int32)), pa.array([label] * n, pa.string()), pa.array(ids, pa.int64()), pa.array(p, pa.float64())], ["plan_id", "pred_label", "doc_id", "p"])
 
-    def draw(plan: int, ids: np.ndarray, salt: int) -> np.ndarray:
-        return (mix(ids.view(np.uint64), 1000 * seed + plan * 31 + salt) >> np.uint64(11)).astype(np.float64) / 2**53
+    def draw(plan: int, ids: np.ndarray, level: int):
+        return lambda at, turn: (mix(ids[at].view(np.uint64), 1000 * seed + plan * 31 + level + 100_000 * turn) >> np.uint64(11)).astype(np.float64) / 2**53
 
     def fly(batches: Iterator[pa.RecordBatch]):
         held: dict[str, list[np.ndarray]] = {}
@@ -139,5 +138,5 @@ def cube_sample(records: DataFrame, targets: DataFrame, seed: int = 1) -> tuple[
     table = spark.createDataFrame([(r.plan_id, r.pred_label, r.wanted, r.eligible) for r in plans], "plan_id int, pred_label string, wanted long, eligible long")
     drawn = sample.groupBy("plan_id", "pred_label").agg(F.count("*").alias("drawn"))
     report = table.join(drawn, ["plan_id", "pred_label"], "left").withColumn("drawn", F.coalesce("drawn", F.lit(0)))
-    report = report.withColumn("short", F.greatest(F.col("wanted") - F.col("eligible"), F.lit(0))).withColumn("residual", F.col("drawn") - F.least("wanted", "eligible"))
+    report = report.withColumn("short", F.greatest(F.col("wanted") - F.col("drawn"), F.lit(0))).withColumn("residual", F.col("drawn") - F.least("wanted", "eligible"))
     return sample, report

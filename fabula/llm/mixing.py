@@ -75,11 +75,11 @@ def fill(goal: float, lengths: np.ndarray, counts: np.ndarray, max_uses: int, se
 
 def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 1, path: str = DEFAULT_PATH) -> tuple[DataFrame, DataFrame]:
     """(draws, report): draws (mix_id, source, doc_id, uses); report (mix_id, source, goal_tokens, source_tokens,
-    drawn_tokens, target_share, actual_share, short).
+    drawn_tokens, target_share, actual_share, residual, short).
 
     docs: doc_id, text, source; targets: mix_id, source, target_weight, max_uses, budget_tokens. The goal of a source is
-    target_weight x budget_tokens; short says that the source, with every document used max_uses times, has fewer
-    tokens. Null parts of a target count as zero; sources without documents hold none; documents with null source
+    target_weight x budget_tokens; residual is what the draw lacks of it; short says that the draw lacks tokens though it
+    uses every document max_uses times. Null parts of a target count as zero; sources without documents hold none; documents with null source
     belong to none; a doc_id delivered again counts once, and one without id is left out; empty texts are never drawn. actual_share is a source's
     share of all tokens drawn for the mix (null if none). Empty tables give empty results or a report of nothing drawn.
     """
@@ -115,5 +115,5 @@ def mix_sources(docs: DataFrame, targets: DataFrame, seed: int = 1, path: str =
     drawn = plans.join(lengths, ["source", "tokens"]).groupBy("mix_id", "source").agg(F.sum(F.col("tokens") * (F.col("uses") * F.col("n") + F.col("extra"))).alias("drawn_tokens"))
     report = goals.join(held, "source", "left").join(drawn, ["mix_id", "source"], "left").fillna(0, ["source_tokens", "drawn_tokens"])
     total = F.sum("drawn_tokens").over(Window.partitionBy("mix_id"))
-    report = report.select("mix_id", "source", F.col("goal").alias("goal_tokens"), "source_tokens", "drawn_tokens", "target_share", F.try_divide(F.col("drawn_tokens"), total).alias("actual_share"), (F.col("source_tokens") * F.col("max_uses") < F.col("goal")).alias("short"))
+    report = report.select("mix_id", "source", F.col("goal").alias("goal_tokens"), "source_tokens", "drawn_tokens", "target_share", F.try_divide(F.col("drawn_tokens"), total).alias("actual_share"), (F.col("goal") - F.col("drawn_tokens")).alias("residual"), ((F.col("drawn_tokens") < F.col("goal")) & (F.col("drawn_tokens") == F.col("source_tokens") * F.greatest("max_uses", F.lit(0)))).alias("short"))
     return draws, report

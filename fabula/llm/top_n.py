@@ -15,6 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+BUCKET_ROWS = 250_000
+
+
 class LoserTree:
     """Merges sorted runs of tuples; `heads` are the runs' current keys, None at a run's end."""
 
@@ -48,23 +51,35 @@ class LoserTree:
         tree[0] = w
 
 
-def merge_top(runs: list[tuple[list, np.ndarray]], n: int) -> Iterator[tuple]:
-    """The first n rows of every group, in order. runs: (rows as (group, order..., payload...) sorted, first row of each
-    row's next group)."""
-    place = [0] * len(runs)
-    tree = LoserTree([r[0][0] if r[0] else None for r in runs])
+class Run:
+    """A sorted run as columns: group (a number in the groups' order), order (the score, negated), doc_id; keys are made one by one."""
+
+    def __init__(self, group: np.ndarray, order: np.ndarray, ids: np.ndarray) -> None:
+        self.group, self.order, self.ids, self.place = group, order, ids, 0
+
+    def head(self) -> tuple | None:
+        at = self.place
+        return (self.group[at], self.order[at], self.ids[at]) if at < len(self.ids) else None
+
+    def seek(self) -> None:
+        """To the next group."""
+        self.place = int(np.searchsorted(self.group, self.group[self.place], "right"))
+
+
+def merge_top(runs: list[Run], n: int) -> Iterator[tuple]:
+    """(group, order, doc_id, place) of the first n rows of every group, in order."""
+    tree = LoserTree([r.head() for r in runs])
     group, taken = None, 0
     while (head := tree.heads[w := tree.winner()]) is not None:
-        rows, after = runs[w]
         if head[0] != group:
             group, taken = head[0], 0
         if taken < n:
-            yield head
             taken += 1
-            place[w] += 1
+            yield *head, taken
+            runs[w].place += 1
         else:
-            place[w] = int(after[place[w]])  # seek to the run's next group
-        tree.replay(w, rows[place[w]] if place[w] < len(rows) else None)
+            runs[w].seek()
+        tree.replay(w, runs[w].head())
 
 
 def top_n(rows: DataFrame, n: int) -> DataFrame:
@@ -79,32 +94,43 @@ def top_n(rows: DataFrame, n: int) -> DataFrame:
     score = F.when(~F.isnan("z_confidence"), F.col("z_confidence"))
     last = rows.where("run_id is not null and doc_id is not null").groupBy("run_id", "doc_id").agg(F.max(F.struct(F.col("scored_at"), score.alias("s"), F.col("z_hat").alias("z"))).alias("m"))
     valid = last.select("run_id", "doc_id", F.col("m.z").alias("z_hat"), F.col("m.s").alias("z_confidence")).where("z_hat is not null and z_confidence is not null")
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    # more rows are cut into more buckets, so that the runs of one fit into a task
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism, rows.count() // BUCKET_ROWS)
     ordered = valid.withColumn("bucket", F.pmod(F.xxhash64("run_id", "z_hat"), F.lit(buckets)).cast("int")).sortWithinPartitions("bucket", "run_id", "z_hat", F.desc("z_confidence"), "doc_id")
     schema = "bucket int, run binary"
 
     def store(batches):
-        held = []
+        held, last, seen = [], None, 0
         for b in batches:
-            held.append(b)
-        if not held:
-            return
-        t = pa.Table.from_batches(held).combine_chunks()
-        if not t.num_rows:
-            return
-        run, z = t.column("run_id").combine_chunks().dictionary_encode(), np.asarray(t.column("z_hat"))
-        code, bucket = np.asarray(run.indices if not isinstance(run, pa.ChunkedArray) else run.combine_chunks().indices), np.asarray(t.column("bucket"))
-        new = np.r_[True, (bucket[1:] != bucket[:-1]) | (code[1:] != code[:-1]) | (z[1:] != z[:-1])]
-        first = np.flatnonzero(new)
-        rank = np.arange(len(z)) - np.repeat(first, np.diff(np.r_[first, len(z)]))
-        t, bucket = t.filter(pa.array(rank < n)), bucket[rank < n]
-        ends = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True])
-        for a, e in zip(ends[:-1], ends[1:]):
-            sink = pa.BufferOutputStream()
-            part = t.slice(a, e - a).drop_columns(["bucket"])
-            with pa.ipc.new_stream(sink, part.schema) as w:
-                w.write_table(part)
-            yield pa.RecordBatch.from_arrays([pa.array([int(bucket[a])], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bucket", "run"])
+            if not b.num_rows:
+                continue
+            run, z, bucket = b.column("run_id").dictionary_encode(), np.asarray(b.column("z_hat")), np.asarray(b.column("bucket"))
+            code = np.asarray(run.indices)
+            new = np.r_[True, (bucket[1:] != bucket[:-1]) | (code[1:] != code[:-1]) | (z[1:] != z[:-1])]
+            first = np.flatnonzero(new)
+            size = np.diff(np.r_[first, len(z)])
+            rank = np.arange(len(z)) - np.repeat(first, size)
+            group = lambda k: (int(bucket[k]), b.column("run_id")[k].as_py(), int(z[k]))  # noqa: B023, E731
+            if group(0) == last:  # goes on with the group that ended the batch before
+                rank[: size[0]] += seen
+            last, seen = group(len(z) - 1), int(rank[-1]) + 1
+            few = b.filter(pa.array(rank < n))
+            bucket = np.asarray(few.column("bucket"))
+            ends = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1], True]) if len(bucket) else []
+            for a, e in zip(ends[:-1], ends[1:]):
+                if held and held[0][0] != bucket[a]:
+                    yield packed(held)
+                    held = []
+                held.append((bucket[a], few.slice(a, e - a).drop_columns(["bucket"])))
+        if held:
+            yield packed(held)
+
+    def packed(held):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, held[0][1].schema) as w:
+            for _, part in held:
+                w.write_batch(part)
+        return pa.RecordBatch.from_arrays([pa.array([int(held[0][0])], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], ["bucket", "run"])
 
     def merge(batches):
         by: dict[int, list[bytes]] = {}
@@ -112,25 +138,21 @@ def top_n(rows: DataFrame, n: int) -> DataFrame:
             for k, r in zip(b.column("bucket").to_pylist(), b.column("run").to_pylist()):
                 by.setdefault(k, []).append(r)
         for blobs in by.values():
+            tables = [pa.ipc.open_stream(blob).read_all() for blob in blobs]
+            # groups as numbers in their order, over all runs of the bucket
+            names = sorted(set().union(*(t.column("run_id").unique().to_pylist() for t in tables)))
+            at = {x: k for k, x in enumerate(names)}
             runs = []
-            for blob in blobs:
-                t = pa.ipc.open_stream(blob).read_all()
-                groups = list(zip(t.column("run_id").to_pylist(), t.column("z_hat").to_pylist()))
-                score = t.column("z_confidence").to_pylist()
-                rows = list(zip(groups, (-s for s in score), t.column("doc_id").to_pylist()))
-                same = np.array([g == h for g, h in zip(groups, groups[1:])] + [False], bool)
-                after = np.empty(len(rows), np.int64)
-                ends = np.flatnonzero(~same) + 1
-                after[:] = np.repeat(ends, np.diff(np.r_[0, ends]))
-                runs.append((rows, after))
-            out = list(merge_top(runs, n))
-            if out:
-                groups, score, ids = zip(*out)
-                place, last = [], None
-                for g in groups:
-                    place.append(place[-1] + 1 if g == last else 1)
-                    last = g
-                yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in groups]), pa.array([g[1] for g in groups], pa.int32()), pa.array(ids, pa.int64()), pa.array([-s for s in score], pa.float64()), pa.array(place, pa.int32())], ["run_id", "z_hat", "doc_id", "z_confidence", "place"])
+            for t in tables:
+                run = t.column("run_id").combine_chunks().dictionary_encode()
+                run = run.combine_chunks() if isinstance(run, pa.ChunkedArray) else run
+                code = np.array([at[x] for x in run.dictionary.to_pylist()], np.int64)[np.asarray(run.indices)]
+                z, score, ids = (np.asarray(t.column(c).combine_chunks()) for c in ("z_hat", "z_confidence", "doc_id"))
+                runs.append(Run(code << 32 | (z.astype(np.int64) + (1 << 31)), -score, ids))
+            group, order, ids, place = zip(*merge_top(runs, n))
+            group = np.array(group)
+            cols = [pa.array([names[k] for k in group >> 32]), pa.array(((group & 0xFFFFFFFF) - (1 << 31)).astype(np.int32)), pa.array(np.array(ids)), pa.array(-np.array(order)), pa.array(np.array(place, np.int32))]
+            yield pa.RecordBatch.from_arrays(cols, ["run_id", "z_hat", "doc_id", "z_confidence", "place"])
 
     stored = ordered.select("bucket", "run_id", "z_hat", "z_confidence", "doc_id").mapInArrow(store, schema)
     return stored.repartitionById(buckets, F.col("bucket")).mapInArrow(merge, "run_id string, z_hat int, doc_id long, z_confidence double, place int")

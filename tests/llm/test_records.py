@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from fabula.llm.balanced_sample import cube_sample, flight
 from fabula.llm.linked_splits import accident_components, linked_splits, split_leaks
-from fabula.llm.top_n import LoserTree, merge_top, top_n
+from fabula.llm.top_n import LoserTree, Run, merge_top, top_n
 
 DAY = dt.datetime(2024, 1, 1)
 
@@ -23,7 +23,7 @@ def test_loser_tree_merges():
             at[w] += 1
             tree.replay(w, (runs[w][at[w]],) if at[w] < len(runs[w]) else None)
         assert out == sorted(x for r in runs for x in r)
-    assert list(merge_top([], 3)) == [] and list(merge_top([([], np.array([], int))], 3)) == []
+    assert list(merge_top([], 3)) == [] and list(merge_top([Run(*(np.array([], t) for t in (int, float, int)))], 3)) == []
 
 
 def test_top_n(spark):
@@ -79,7 +79,7 @@ def test_flight_keeps_the_sum_and_the_means():
     taken = np.zeros(7)
     for _ in range(4000):
         p = np.array([0.5, 0.5, 0.25, 0.75, 1.0, 0.0, 0.3])
-        q, left = flight(p, rng.random(7))
+        q, left = flight(p, lambda at, turn: rng.random(len(at)))
         assert q.sum() == pytest.approx(p.sum()) and ((q > 0) & (q < 1)).sum() == (left >= 0) <= 1
         taken += q
     assert np.allclose(taken / 4000, [0.5, 0.5, 0.25, 0.75, 1, 0, 0.3], atol=0.03)
