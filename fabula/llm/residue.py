@@ -14,6 +14,7 @@ import json
 import unicodedata
 from collections.abc import Iterator
 
+import ahocorasick
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -30,10 +31,10 @@ FIELDS = set(
 FILL_IN = r"(?:compl[eéè]t|renseign|pr[eé]cis|rempli|saisi|ins[eé]r|fill|enter\b|specif|especific|rellen|introduc|ausf[uü]ll|auszuf|eingeb|eintrag|einzutrag|angeb|anzugeb|insert|indiqu|indicar|to be (?:completed|defined|specified|confirmed)|à d[eé]finir)"
 NAME = r"[\p{L}_][\p{L}_ ]{0,30}"
 STRONG = regex.compile(rf"\{{\{{\s*({NAME})\s*\}}\}}|\$\{{\s*({NAME})\s*\}}|<%=?\s*({NAME})\s*%>|@@({NAME})@@|(?<![\p{{L}}\d_])__(\p{{L}}[\p{{L}}_ ]{{1,30}}?)__(?![\p{{L}}\d_])|\{{(\d{{1,2}})\}}")
-WEAK = regex.compile(rf"\[\[\s*({NAME})\s*\]\]|«(?=\S)({NAME})(?<=\S)»|<({NAME})>|\[({NAME})\]|%({NAME})%|#({NAME})#")
+WEAK = regex.compile(rf"\[\[\s*({NAME})\s*\]\]|«(?=\S)({NAME})(?<=\S)»|<({NAME})>|\[({NAME})\]|%({NAME})%|#({NAME})#|(?<![{{$])\{{({NAME})\}}(?!\}})|<<\s*({NAME})\s*>>|\$({NAME})\$")
 BRACKETED = regex.compile(r"[(\[<]([^()\[\]<>]{2,80})[)\]>]|\*{3}([^*\n]{2,60})\*{3}")
 INSTRUCTION = regex.compile(rf"^.{{0,24}}{FILL_IN}.{{0,40}}$", regex.I | regex.S)
-UNSET = regex.compile(r"(?<![\w/])(?:XX/XX/XX(?:XX)?|JJ/MM/AAAA|TT\.MM\.JJJJ|DD/MM/(?:YYYY|AAAA))(?![\w/])|(?<!\w)TBD(?:-FIELD)?(?!\w)|(?<=[:(,]\s?)(?:null|NaN|None)(?=\s*(?:[.,;)\n]|$))|_{4,}|(?<=:\s*)\.{5,}")
+UNSET = regex.compile(r"(?<![\w/])(?:XX/XX/XX(?:XX)?|JJ/MM/AAAA|TT\.MM\.JJJJ|DD/MM/(?:YYYY|AAAA))(?![\w/])|(?<!\w)TBD(?:-FIELD)?(?!\w)|(?<=[:(,]\s?)(?:null|NaN|None)(?=\s*(?:[.,;)\n]|$))|_{4,}|(?<=:\s*)\.{5,}|(?<!\w)XX+\s?[hH:]\s?XX+(?!\w)|(?<![\w-])X{4,}(?![\w-])|(?<!\w)#(?:N/A|REF!|VALUE!|NAME\?)|(?<=:\s*)\?{3,}")
 UNDEFINED = regex.compile(r"(?<![\w$])undefined(?!\w)", regex.I)
 ADJECTIVE = regex.compile(r"(?:left|leaves?|remain\w*|been|being|still|stay\w*|quite|largely|otherwise)\s+$", regex.I)
 TODO = regex.compile(r"(?<![\w«\"“'‘])(?<![«\"“]\s)TODO(?![\w»\"”'’])(?!\s[»\"”])(?!\W{0,2}(?:-|\s)?(?:list|liste|lista)\b)")
@@ -42,8 +43,8 @@ MENTION = regex.compile(r"(?:rep[eè]re|marqueur|balise|marker|placeholder|marca
 CODE = regex.compile(r"```.*?(?:```|\Z)|<(code|pre)\b.*?</\1>", regex.S | regex.I)
 TUTORIAL = regex.compile(r"\b(?:tutorial|tutoriel|handlebars|mustache|jinja|moteur de (?:gabarit|template)s?|template engine|syntax|syntaxe)\b", regex.I)
 #: What a text must hold for a grammar to be tried at all.
-SIGNS_STRONG, SIGNS_WEAK = ("{", "<%", "@@", "__"), ("[", "«", "<", "%", "#")
-SIGNS_UNSET = ("XX/", "JJ/", "TT.", "DD/", "TBD", "null", "NaN", "None", "____", ".....")
+SIGNS_STRONG, SIGNS_WEAK = ("{", "<%", "@@", "__"), ("[", "«", "<", "%", "#", "{", "$")
+SIGNS_UNSET = ("XX", "#N/A", "#REF!", "#VALUE!", "#NAME?", "???", "JJ/", "TT.", "DD/", "TBD", "null", "NaN", "None", "____", ".....")
 
 # Filler sentences and filler words.
 INVISIBLE = regex.compile(r"[\u200b-\u200f\u2060\ufeff\u00ad]")
@@ -58,7 +59,11 @@ FILLER_WORDS = set(
 )
 SURE_FILLER = FILLER_WORDS - set("sit sed do et ut in ex ea non qui id est eu test esse in bar".split())
 
-NO_WORD = str.maketrans(dict.fromkeys(".,;:!?()[]{}<>«»\"“”|/\\*#_-–—…'’+=&%@~`^$", " "))
+SURE_BYTES = {w.encode() for w in SURE_FILLER}
+
+#: What parts words: ASCII marks by bytes, the others by replacement.
+NO_WORD = bytes(32 if chr(c) in ".,;:!?()[]{}<>\"|/\\*#_-'+=&%@~`^$" else c for c in range(256))
+NO_WORD_WIDE = "«»“”–—…’"
 AGAIN = regex.compile(r"\b(\w+)(?:\W+\1\b){2,}", regex.I)
 
 # What error messages, notices and the frames of web pages say.
@@ -67,9 +72,24 @@ ERROR = regex.compile(
     r"|\berreur \d{3}|erreur interne|délai d'attente|impossible d|pas les droits|périmé|not found|could not be|no longer|has moved|can(?:not|'t) be (?:displayed|loaded|found|reached)|did not (?:respond|answer)|(?:for|pour|en|wegen) (?:maintenance|mantenimiento|wartung)|por mantenimiento|unexpected condition"
     r"|requires? you to (?:sign|log) in|do not have permission|(?:access|permission) denied|timed out|bad gateway|internal server error|too many requests|unavailable|\bhttp \d{3}|connection refused|uncaught|exception|traceback|keyerror|undefined variable|sqlstate|fatal error|stack trace|\berror \d{3}|segmentation fault"
     r"|nicht (?:gefunden|erreichbar|angezeigt|geladen|verfügbar|mehr)|berechtigung|serverfehler|abgelaufen|verweigert|fehler \d{3}|antwortet nicht|angemeldete|no se (?:encuentra|encontró|ha podido|pudo)|no está disponible|no responde|denegado|no tiene permiso|no puede mostrarse|error interno|ha caducado|ya no existe|membres connectés|log in again|sign in"
-    r"|\"(?:error|status)\"\s*:",
+    r"|\"(?:error|status)\"\s*:"
+    r"|something went wrong|an error (?:has )?occurred|isn't working|forbidden|unauthorized|connection (?:reset|timed)|could not connect|no route to host|out of memory|syntax error|rate limit|quota exceeded|invalid request|temporarily (?:down|overloaded)|verify (?:that )?you are|captcha"
+    r"|erreur (?:s'est produite|est survenue|inattendue)|s'est mal passé|trop de requêtes|connexion (?:refusée|interrompue|perdue)|(?:en|sous) maintenance|temporairement (?:fermé|suspendu)|veuillez vous (?:re)?connecter"
+    r"|fehler (?:ist )?aufgetreten|etwas ist schiefgelaufen|zu viele anfragen|zugriff (?:untersagt|gesperrt)|wird gewartet|verbindung (?:abgelehnt|unterbrochen|verloren)"
+    r"|(?:producido|ocurrido) un error|algo (?:ha salido|salió) mal|demasiadas (?:solicitudes|peticiones)|acceso (?:prohibido|restringido)|conexión (?:rechazada|interrumpida|perdida)",
     regex.I,
 )
+#: A text without any of these holds neither an error message nor a notice (one stem for each case of ERROR and NOTICE).
+STEMS = """introuvable;n'existe plus;déplacé;changé d'adresse;ne répond pas;hors ligne;indisponible;accessible;réservé;n'a pas pu être;ne peut ;accès refusé;accès interdit
+session a expiré;erreur ;délai d'attente;impossible d;pas les droits;périmé;not found;could not be;no longer;has moved;cannot be;can't be;did not ;maintenance
+mantenimiento;wartung;unexpected condition;you to ;permission;denied;timed out;bad gateway;server error;too many requests;unavailable;http ;connection refused
+uncaught;exception;traceback;keyerror;undefined variable;sqlstate;fatal error;stack trace;error ;segmentation fault;nicht gefunden;nicht erreichbar
+nicht angezeigt;nicht geladen;nicht verfügbar;nicht mehr;berechtigung;serverfehler;abgelaufen;verweigert;fehler ;antwortet nicht;angemeldete;no se encuentra
+no se encontró;no se ha podido;no se pudo;no está disponible;no responde;denegado;no tiene permiso;no puede mostrarse;ha caducado;ya no existe
+membres connectés;log in again;sign in;"error";"status";javascript;java script;cookie;script;contenu actif;active content;aktive inhalte;skript
+contenido activo;navigateur;browser;navegador;viewer;something went wrong;an error ;isn't working;forbidden;unauthorized;connection reset;connection timed
+could not connect;no route to host;out of memory;syntax error;rate limit;quota exceeded;invalid request;temporarily ;verify ;captcha;s'est mal passé;trop de requêtes
+connexion ;temporairement ;veuillez vous ;schiefgelaufen;zu viele anfragen;zugriff ;gewartet;verbindung ;un error;algo ;demasiadas ;acceso ;conexión""".replace("\n", ";").split(";")
 WHAT = r"(?:java ?script|cookies?|scripts?|scripting|contenu actif|active content|aktive inhalte|skripte?|contenido activo|navigateur|browser|navegador|viewer)"
 ALLOW = r"(?:activ|autoris|accept|débloqu|désactivé|pris en charge|requiert|bloque|enabl|turn(?:ed)? on|allow|requir|need|without|relies|switched off|out of date|checking|necesita|permit|habilit|erlaub|aktivier|zulass|zugelassen|benötigt|blockier)"
 NOTICE = regex.compile(rf"\b{WHAT}\b.{{0,90}}{ALLOW}|{ALLOW}.{{0,60}}\b{WHAT}\b", regex.I)
@@ -102,6 +122,37 @@ QUOTED = regex.compile(r"«[^»\n]*»|\"[^\"\n]*\"|“[^”\n]*”")
 MESSAGE_WORDS = 40
 
 
+def _automaton() -> ahocorasick.Automaton:
+    a = ahocorasick.Automaton()
+    for x in FILLER_PHRASES:
+        a.add_word(x, 2)
+    for x in STEMS:
+        a.add_word(x, a.get(x, 0) | 1)
+    a.make_automaton()
+    return a
+
+
+SIGNS = _automaton()
+
+
+def signs(low: str) -> tuple[bool, bool]:
+    """Does a text in lower case hold a stem of an error message or notice, and a phrase of filler?"""
+    seen = 0
+    for _, bits in SIGNS.iter(low):
+        seen |= bits
+        if seen == 3:
+            break
+    return bool(seen & 1), bool(seen & 2)
+
+
+def bare_words(low: str) -> list[bytes]:
+    """The words of a text in lower case, marks taken off."""
+    if not low.isascii():
+        for c in NO_WORD_WIDE:
+            low = low.replace(c, " ")
+    return low.encode("utf-8", "replace").translate(NO_WORD).split()
+
+
 def is_field(name: str) -> bool:
     parts = regex.split(r"[_\s]+", name.strip().lower())
     return "_" in name.strip("_ ") or all(p in FIELDS for p in parts if p) and any(parts)
@@ -136,13 +187,12 @@ def has_phrase(low: str) -> bool:
     return any(x in low for x in FILLER_PHRASES)
 
 
-def is_filler(text: str) -> bool:
-    """Are most words filler? Frame lines don't count."""
+def is_filler(text: str, low: str, phrase: bool) -> bool:
+    """Are most words filler? Frame lines don't count. low: the text in lower case; phrase: does it hold a phrase of filler?"""
     # without any sign of filler the words needn't be counted
-    low = text.lower()
-    plain = low.translate(NO_WORD).split()
+    plain = bare_words(low)
     known = set(plain)
-    if known.isdisjoint(SURE_FILLER) and len(known) > 0.2 * len(plain) and not has_phrase(low) and not any(a == b == c for a, b, c in zip(plain, plain[1:], plain[2:])):
+    if not phrase and known.isdisjoint(SURE_BYTES) and len(known) > 0.2 * len(plain) and (len(known) > len(plain) - 2 or not any(a == b == c for a, b, c in zip(plain, plain[1:], plain[2:]))):
         return False
     total = filler = sure = 0
     seen: dict[str, int] = {}
@@ -202,10 +252,12 @@ def pieces(text: str) -> Iterator[str]:
             yield s
 
 
-def is_page(text: str) -> bool:
-    """Is the text, of any length, an error message or a notice, with next to nothing else?"""
+def is_page(text: str, stem: bool) -> bool:
+    """Is the text, of any length, an error message or a notice, with next to nothing else? stem: does it hold one of STEMS?"""
     if text.startswith("{") and text.rstrip().endswith("}") and is_error_body(text):
         return True
+    if not stem:
+        return False
     # words are parted by what is no letter or digit, so there can't be more; what lies beyond ASCII counts as such here
     most = 1 + len(text.encode("utf-8", "replace").translate(None, NO_SEPARATOR))
     message = rest = left = 0
@@ -236,10 +288,11 @@ def kind_of(text: str | None) -> str | None:
     text = text.replace("\r\n", "\n").replace("\r", "\n").replace("\u2028", "\n")
     if has_place(text):
         return "place"
-    # long texts are looked at for filler by their words only where filler words occur at all
-    if is_filler(text):
+    low = text.lower()
+    stem, phrase = signs(low)
+    if is_filler(text, low, phrase):
         return "filler"
-    return "page" if is_page(text) else None
+    return "page" if is_page(text, stem) else None
 
 
 def residue(docs: DataFrame) -> DataFrame:

@@ -137,3 +137,29 @@ def test_filler_of_any_length(n, sep):
 
     words = sorted(FILLER_WORDS)[:69]
     assert kind_of(sep.join(words[k % 69] for k in range(n)) + ".") == "filler"
+
+
+MESSAGES = """page introuvable|la page n'existe plus|elle a été déplacée|l'adresse a changé d'adresse|le serveur ne répond pas|service hors ligne|indisponible|page accessible|réservée aux membres|n'a pas pu être chargée
+ne peut pas être affichée|accès refusé|accès interdit|la session a expiré|erreur 500|erreur interne|délai d'attente|impossible d'ouvrir|pas les droits|lien périmé|not found|could not be loaded|no longer here|has moved|cannot be displayed
+can't be reached|did not respond|closed for maintenance|cerrado por mantenimiento|en wartung|wegen wartung|unexpected condition|requires you to sign in|you do not have permission|access denied|timed out|bad gateway|internal server error|too many requests
+unavailable|http 503|connection refused|uncaught|exception|traceback|keyerror|undefined variable|sqlstate|fatal error|stack trace|error 404|segmentation fault|nicht gefunden|nicht erreichbar|nicht mehr|keine berechtigung|serverfehler
+abgelaufen|verweigert|fehler 404|antwortet nicht|angemeldete|no se encuentra|no se ha podido|no está disponible|no responde|denegado|no tiene permiso|no puede mostrarse|error interno|ha caducado|ya no existe|membres connectés|log in again
+"error": 1|"status" : 2|activez javascript|cookies must be allowed|enable scripts|le contenu actif est bloqué|aktive inhalte erlauben|contenido activo necesita|votre navigateur bloque les scripts|viewer requires active content|something went wrong
+an error has occurred|une erreur s'est produite|veuillez vous reconnecter|fehler ist aufgetreten|zugriff gesperrt|se ha producido un error|algo salió mal|acceso restringido|connexion perdue|verbindung verloren|conexión rechazada""".replace("\n", "|").split("|")
+
+
+def test_every_message_has_a_stem():
+    from fabula.llm.residue import ERROR, NOTICE, signs
+
+    found = [m for m in MESSAGES if ERROR.search(m) or NOTICE.search(m)]
+    assert len(found) > 80 and all(signs(m.lower())[0] for m in found)
+    assert signs("ceci est un texte de remplissage") == (False, True) and signs("") == (False, False)
+
+
+def test_more_placeholders_and_messages():
+    for t in ("Le {nom} a été blessé.", "Victime : <<prénom>>.", "Le $lieu$ de l'accident.", "Heure : XXhXX.", "Poste XXXX.", "Coût : #N/A", "Lieu : ???"):
+        assert kind_of(t) == "place", t
+    for t in ("Something went wrong. Please try again.", "Une erreur s'est produite.", "Es ist ein Fehler aufgetreten.", "Se ha producido un error."):
+        assert kind_of(t) == "page", t
+    for t in ("Le XXe siècle, le chantier {no 12} et 5 $ par jour.", "La machine coûte 3 $ et la pièce 4 $ de plus."):
+        assert kind_of(t) is None, t
