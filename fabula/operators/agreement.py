@@ -88,51 +88,48 @@ def histogram(rows: DataFrame, value: Column, bins: int = 40, low: float = 0.0,
     return rows.where(value.between(low, high) & ~F.isnan(value)).groupBy(at.alias("bin")).agg(F.count("*").alias("n"))
 
 
-def silhouette(vectors: DataFrame, label: str, block: int = 2000) -> DataFrame:
-    """A36. One row (n, silhouette): mean over vectors (doc_id, embedding, label) of (b - a) / max(a, b) with plain Euclidean distances.
+def silhouette(vectors: DataFrame, label: str, queries: int = 10_000, block: int = 1000) -> DataFrame:
+    """A36, O5. One row (n, silhouette): mean over vectors (doc_id, embedding, label) of (b - a) / max(a, b) with plain Euclidean distances.
 
-    Each vector needs its distance sums to all vectors by label. Vectors are cut into blocks in the shared folder; every
-    task takes blocks of queries past all blocks in turn, so memory holds two blocks. This is quadratic work by definition.
-    A label of one vector gives 0; null with under two labels.
+    The mean is taken over all vectors up to `queries`, else over as many of least hash of doc_id; each is compared with all
+    vectors. The queries, bounded by that number, go to the tasks; a pass over the vectors sums their distances to each
+    query by label, added up by blocks of queries. A label of one vector gives 0; null with under two labels.
     """
     import numpy as np
     import pyarrow as pa
 
-    from ..session import cut
-
-    names = [r[0] for r in vectors.where(F.col(label).isNotNull()).select(label).distinct().orderBy(label).collect()]
+    spark = vectors.sparkSession
+    held = vectors.where(F.col(label).isNotNull() & F.col("embedding").isNotNull())
+    sizes = {r[0]: r[1] for r in held.groupBy(label).count().collect()}  # a row a label
+    names = sorted(sizes)
     if len(names) < 2:
-        return vectors.sparkSession.createDataFrame([(0, None)], "n long, silhouette double")
+        return spark.createDataFrame([(0, None)], "n long, silhouette double")
+    n = np.array([sizes[x] for x in names], np.float64)
     code = F.array_position(F.array(*map(F.lit, names)), F.col(label)).cast("int") - 1
-    held = vectors.where(F.col(label).isNotNull()).select(code.alias("k"), "embedding")
-
-    def pack(batches):
-        for b in batches:
-            for i in range(0, b.num_rows, block):
-                p = b.slice(i, block)
-                yield pa.RecordBatch.from_arrays([pa.array([np.asarray(p.column("k")).astype(np.int32).tobytes()], pa.binary()), pa.array([np.asarray(p.column("embedding").flatten()).astype(np.float64).tobytes()], pa.binary())], ["k", "v"])
-
-    blocks = cut(held.mapInArrow(pack, "k binary, v binary")).withColumn("id", F.monotonically_increasing_id())
-    blocks = cut(blocks)
-    d = len(vectors.select("embedding").first()[0])
-    q = blocks.select(F.col("id").alias("q"), F.col("k").alias("qk"), F.col("v").alias("qv"))
-    # a stated query set against all rows, in blocks: rows here are blocks of `block` vectors
-    met = q.crossJoin(blocks)
+    rows = held.select(code.alias("k"), "embedding", F.xxhash64("doc_id").alias("h"), "doc_id")
+    asked = rows.orderBy("h", "doc_id").limit(queries).select("k", "embedding").collect()  # bounded by queries
+    q, qk = np.array([r.embedding for r in asked], np.float64), np.array([r.k for r in asked], np.int64)
+    square = (q * q).sum(1)
 
     def sums(batches):
+        total = np.zeros((len(q), len(names)))
         for b in batches:
-            for r in b.to_pylist():
-                qk, k = np.frombuffer(r["qk"], np.int32), np.frombuffer(r["k"], np.int32)
-                x, y = np.frombuffer(r["qv"]).reshape(-1, d), np.frombuffer(r["v"]).reshape(-1, d)
-                far = np.sqrt(np.clip((x * x).sum(1)[:, None] + (y * y).sum(1) - 2 * x @ y.T, 0, None))
+            k = np.asarray(b.column("k"))
+            x = np.asarray(b.column("embedding").flatten(), np.float64).reshape(b.num_rows, -1)
+            for i in range(0, len(x), block):
+                y = x[i : i + block]
                 one = np.zeros((len(y), len(names)))
-                one[np.arange(len(y)), k] = 1
-                yield pa.RecordBatch.from_arrays([pa.array([r["q"]]), pa.array([r["qk"]], pa.binary()), pa.array([(far @ one).tobytes()], pa.binary()), pa.array([one.sum(0).tobytes()], pa.binary())], ["q", "qk", "s", "n"])
+                one[np.arange(len(y)), k[i : i + block]] = 1
+                for j in range(0, len(q), block):
+                    far = np.sqrt(np.clip(square[j : j + block, None] + (y * y).sum(1) - 2 * q[j : j + block] @ y.T, 0, None))
+                    total[j : j + block] += far @ one
+        for j in range(0, len(q), block):
+            yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([total[j : j + block].tobytes()], pa.binary())], ["j", "s"])
 
     def finish(key, t):
-        s = sum(np.frombuffer(x).reshape(-1, len(names)) for x in t.column("s").to_pylist())
-        n = sum(np.frombuffer(x) for x in t.column("n").to_pylist())
-        k = np.frombuffer(t.column("qk")[0].as_py(), np.int32)
+        s = np.sum([np.frombuffer(x).reshape(-1, len(names)) for x in t.column("s").to_pylist()], axis=0)
+        at = key[0].as_py()
+        k = qk[at : at + len(s)]
         own = np.arange(len(k)), k
         with np.errstate(all="ignore"):
             a = s[own] / (n[k] - 1)
@@ -142,4 +139,4 @@ def silhouette(vectors: DataFrame, label: str, block: int = 2000) -> DataFrame:
             v = np.where(n[k] > 1, (low - a) / np.maximum(a, low), 0.0)
         return pa.table({"n": pa.array([len(v)], pa.int64()), "v": pa.array([float(np.nan_to_num(v).sum())])})
 
-    return met.mapInArrow(sums, "q long, qk binary, s binary, n binary").groupBy("q").applyInArrow(finish, "n long, v double").agg(F.sum("n").alias("n"), (F.sum("v") / F.sum("n")).alias("silhouette"))
+    return rows.select("k", "embedding").mapInArrow(sums, "j int, s binary").groupBy("j").applyInArrow(finish, "n long, v double").agg(F.sum("n").alias("n"), (F.sum("v") / F.sum("n")).alias("silhouette"))

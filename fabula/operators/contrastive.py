@@ -41,13 +41,40 @@ def triplet_hard(pairs: DataFrame, margin: float = 0.5) -> DataFrame:
 
 
 def soft_triple(rows: DataFrame, centres: DataFrame, gamma: float = 0.1, scale: float = 20.0, delta: float = 0.01, tau: float = 0.2, gap: float = 0.3) -> DataFrame:
-    """One row (loss): rows (doc_id, label, embedding) against centres (label, k, centre), a few a label."""
-    s = rows.crossJoin(F.broadcast(centres.select(F.col("label").alias("c"), "k", "centre"))).select("doc_id", "label", "c", (-squared_gap(F.col("embedding"), F.col("centre"))).alias("s"))  # labels x centres rows
-    top = s.groupBy("doc_id", "c").agg(F.max("s").alias("m"))
-    soft = s.join(top, ["doc_id", "c"]).withColumn("e", F.exp((F.col("s") - F.col("m")) / gamma)).groupBy("doc_id", "label", "c").agg((F.sum(F.col("e") * F.col("s")) / F.sum("e")).alias("S"))
-    logit = soft.withColumn("l", scale * (F.col("S") - F.when(F.col("c") == F.col("label"), delta).otherwise(0.0)))
-    most = logit.groupBy("doc_id").agg(F.max("l").alias("m"))
-    ce = logit.join(most, "doc_id").groupBy("doc_id").agg((F.first("m") + F.ln(F.sum(F.exp(F.col("l") - F.col("m")))) - F.sum(F.when(F.col("c") == F.col("label"), F.col("l")).otherwise(0.0))).alias("ce"))
-    c = centres.alias("a").join(F.broadcast(centres).alias("b"), (F.col("a.label") == F.col("b.label")) & (F.col("a.k") < F.col("b.k")))
-    pull = c.select(F.col("a.label").alias("label"), F.pow(F.greatest(gap - F.sqrt(squared_gap(F.col("a.centre"), F.col("b.centre"))), F.lit(0.0)), F.lit(2.0)).alias("r")).groupBy("label").agg(F.avg("r").alias("r")).agg(F.coalesce(F.avg("r"), F.lit(0.0)).alias("r"))
-    return ce.agg(F.avg("ce").alias("ce")).crossJoin(F.broadcast(pull)).select((F.col("ce") + tau * F.col("r")).alias("loss"))  # one row each
+    """One row (loss): rows (doc_id, label, embedding) against centres (label, k, centre), a few a label. Each batch of rows is
+    one matrix product with the centres; a task returns a count and a sum. Null without rows whose label has a centre."""
+    import numpy as np
+    import pyarrow as pa
+
+    table = centres.orderBy("label", "k").collect()  # labels x centres rows
+    names = sorted({r["label"] for r in table})
+    c = np.array([r["centre"] for r in table], np.float64).reshape(len(table), -1)
+    of = np.array([names.index(r["label"]) for r in table], np.int64)
+    first = np.searchsorted(of, np.arange(len(names)))
+
+    def sums(batches):
+        n, total = 0, 0.0
+        for b in batches:
+            label = np.array([names.index(x) if x in names else -1 for x in b.column("label").to_pylist()], np.int64)
+            x = np.asarray(b.column("embedding").flatten(), np.float64).reshape(b.num_rows, -1)[label >= 0]
+            label = label[label >= 0]
+            if not len(x):
+                continue
+            s = 2 * x @ c.T - (x * x).sum(1, keepdims=True) - (c * c).sum(1)
+            e = np.exp((s - np.maximum.reduceat(s, first, axis=1)[:, of]) / gamma)
+            logit = scale * np.add.reduceat(e * s, first, axis=1) / np.add.reduceat(e, first, axis=1)
+            at = np.arange(len(x))
+            logit[at, label] -= scale * delta
+            top = logit.max(1)
+            total += float((top + np.log(np.exp(logit - top[:, None]).sum(1)) - logit[at, label]).sum())
+            n += len(x)
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([total])], ["n", "total"])
+
+    ce = rows.where(F.col("embedding").isNotNull()).select("label", "embedding").mapInArrow(sums, "n long, total double").agg(F.try_divide(F.sum("total"), F.sum("n")).alias("ce"))
+    pulls = []
+    for k in range(len(names)):
+        mine = c[of == k]
+        i, j = np.triu_indices(len(mine), 1)
+        if len(i):
+            pulls.append(float((np.maximum(gap - np.linalg.norm(mine[i] - mine[j], axis=1), 0) ** 2).mean()))
+    return ce.select((F.col("ce") + tau * (float(np.mean(pulls)) if pulls else 0.0)).alias("loss"))

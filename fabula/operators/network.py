@@ -227,15 +227,127 @@ def acyclic(edges: list[tuple[str, str]]) -> bool:
     return True
 
 
+def closing_edge(edges: list[tuple[str, str]]) -> tuple[str, str] | None:
+    """The edge that closes the first cycle met when nodes and their children are followed in the order given."""
+    after: dict[str, list[str]] = {}
+    for p, c in edges:
+        after.setdefault(p, []).append(c)
+        after.setdefault(c, [])
+    done: set[str] = set()
+    for start in after:
+        path, todo = [start], [iter(after[start])]
+        while todo and start not in done:
+            child = next(todo[-1], None)
+            if child is None:
+                done.add(path.pop())
+                todo.pop()
+            elif child in path:
+                return path[-1], child
+            elif child not in done:
+                path.append(child)
+                todo.append(iter(after[child]))
+    return None
+
+
 def break_cycles(edges: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """G4. Edges in order, without those that would close a cycle."""
-    kept: list[tuple[str, str]] = []
-    for e in edges:
-        if acyclic([*kept, e]):
-            kept.append(e)
+    """G4. Edges in order without the last edge of each cycle that is found, until there is none."""
+    kept = list(dict.fromkeys(edges))
+    while (e := closing_edge(kept)) is not None:
+        kept.remove(e)
     return kept
 
 
+def pruned(edges: list[tuple[str, str]], banned: set[tuple[str, str]]) -> list[tuple[str, str]]:
+    """G4. Edges that aren't banned, in order."""
+    return [e for e in edges if e not in banned]
+
+
+def infer(tables: dict[str, tuple[list[str], np.ndarray]], variables: list[str], evidence: dict[str, int] | None = None) -> np.ndarray:
+    """G7. P(variables | evidence) of a discrete network by variable elimination.
+
+    tables: node -> (parents, probabilities with one axis a parent and the node's own last). The sum runs over one variable
+    at a time, the one whose factors span the fewest others first. A network has tens of nodes, so this is driver work.
+    """
+    given = evidence or {}
+    factors: list[tuple[tuple[str, ...], np.ndarray]] = []
+    for node, (parents, p) in tables.items():
+        names, values = [*parents, node], np.asarray(p, float)
+        for name in [n for n in names if n in given]:
+            values = np.take(values, given[name], axis=names.index(name))
+            names.remove(name)
+        factors.append((tuple(names), values))
+
+    def product(some):
+        names = sorted({n for ns, _ in some for n in ns})
+        letter = {n: chr(97 + i) if i < 26 else chr(39 + i) for i, n in enumerate(names)}
+        return tuple(names), np.einsum(",".join("".join(letter[n] for n in ns) for ns, _ in some) + "->" + "".join(letter.values()), *[v for _, v in some])
+
+    hidden = {n for ns, _ in factors for n in ns} - set(variables)
+    while hidden:
+        width = {h: len({n for ns, _ in factors if h in ns for n in ns}) for h in hidden}
+        h = min(hidden, key=lambda n: (width[n], n))
+        mine = [f for f in factors if h in f[0]]
+        names, values = product(mine)
+        factors = [f for f in factors if h not in f[0]] + [(tuple(n for n in names if n != h), values.sum(names.index(h)))]
+        hidden.remove(h)
+    names, values = product(factors)
+    values = np.transpose(values, [names.index(v) for v in variables])
+    return values / values.sum()
+
+
+def network_tables(df: DataFrame, parents: dict[str, list[str]], sample_size: float = 5.0) -> dict[str, tuple[list[str], np.ndarray]]:
+    """The tables that `infer` takes, of binary nodes with these parents."""
+    from ..session import cut
+
+    held, out = cut(pattern_counts(df, sorted(parents)).withColumnRenamed("n", "_n")), {}
+    for node, ps in parents.items():
+        q, n = 2 ** len(ps), np.zeros([2] * (len(ps) + 1))
+        for r in held.groupBy(*ps, node).agg(F.sum("_n").alias("_n")).collect():  # at most 2 ** (parents + 1) rows
+            n[tuple(int(r[c] == 1) for c in [*ps, node])] += r["_n"]
+        total = n.sum(-1, keepdims=True)
+        if sample_size > 0:
+            p = (n + sample_size / (2 * q)) / (total + sample_size / q)
+        else:
+            p = np.divide(n, total, out=np.full_like(n, 0.5), where=total > 0)
+        out[node] = (list(ps), p)
+    return out
+
+
+def marginals(tables: dict[str, tuple[list[str], np.ndarray]], most: int = 12) -> list[tuple[str, int, float]]:
+    """G7. (node, state, p) of the first nodes, the default queries."""
+    return [(n, s, float(p)) for n in list(tables)[:most] for s, p in enumerate(infer(tables, [n]))]
+
+
+def weak_components(nodes: list[str], edges: list[tuple[str, str]]) -> int:
+    up = {n: n for n in nodes}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for p, c in edges:
+        up[root(p)] = root(c)
+    return len({root(n) for n in nodes})
+
+
+def model_diagnostics(spark: SparkSession, name: str, nodes: list[str], edges: list[tuple[str, str]]) -> DataFrame:
+    """G10. One row for a network, isolated nodes included."""
+    e = list(dict.fromkeys(edges))
+    into, touched = [c for _, c in e], [x for p in e for x in p]
+    lone = [n for n in nodes if n not in touched]
+    row = (name, len(nodes), len(e), acyclic(e), max((into.count(n) for n in nodes), default=0), len(touched) / max(1, len(nodes)), weak_components(nodes, e), len(lone), " | ".join(lone[:20]))
+    return spark.createDataFrame([row], "model_name string, n_nodes int, n_edges int, acyclic boolean, max_indegree int, mean_degree double, n_weakly_connected int, n_isolated int, isolated_nodes string")
+
+
+def structure_row(spark: SparkSession, name: str, ranks: dict[str, str], edges: list[tuple[str, str]]) -> DataFrame:
+    """G10. One row for the comparison of structures; ranks: the macro of every node."""
+    banned = {(r.parent, r.child) for r in forbidden(spark, ranks).collect()}
+    e, n = list(dict.fromkeys(edges)), len(ranks)
+    row = (name, len(e), n, sum(x in banned for x in e), len(e) / max(1, n * (n - 1)), len(set(ranks) - {x for p in e for x in p}))
+    return spark.createDataFrame([row], "structure string, n_arcs int, n_nodes int, macro_order_violations int, density double, n_isolated int")
+
+
 def diagnostics(edges: DataFrame) -> DataFrame:
     """G10. One row: n_nodes (of edges), n_edges, density, max_in_degree, max_out_degree, n_roots, n_leaves."""
     e = edges.select("parent", "child").distinct()

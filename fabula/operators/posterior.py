@@ -46,33 +46,61 @@ def prototypes(vectors: DataFrame, label: str) -> DataFrame:
     return rows.mapInArrow(part, f"id {kind}, n long, s binary").groupBy("id").applyInArrow(whole, f"id {kind}, vec array<double>")
 
 
-def scored(vectors: DataFrame, protos: DataFrame, temperature: float, name: str = "p") -> DataFrame:
+def matrix(protos: DataFrame) -> tuple[list, np.ndarray]:
+    """(ids, unit vectors as columns) of prototypes, a row a label or topic, in the order of id."""
+    table = protos.select("id", "vec").orderBy("id").collect()
+    p = np.array([r["vec"] for r in table], np.float64).reshape(len(table), -1)
+    return [r["id"] for r in table], (p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), EPS)).T
+
+
+def batch_vectors(b) -> np.ndarray:
+    return np.asarray(b.column("embedding").flatten(), np.float64).reshape(b.num_rows, -1)
+
+
+def batch_softmax(x: np.ndarray, p: np.ndarray, temperature: float) -> np.ndarray:
+    """Softmax over the columns of p of the cosine of each row of x, divided by the temperature."""
+    if not p.shape[1] or not len(x):
+        return np.zeros((len(x), p.shape[1]))
+    s = x @ p / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), EPS) / temperature
+    s = np.exp(s - s.max(1, keepdims=True))
+    return s / s.sum(1, keepdims=True)
+
+
+def list_column(x: np.ndarray):
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
+
+
+def compatibilities(yz: DataFrame) -> tuple[list, np.ndarray]:
+    """(label ids, topics x labels) of p(label | topic), topics in the order of id."""
+    rows = yz.select("id", "q", "q_ids").orderBy("id").collect()
+    return (rows[0]["q_ids"] if rows else []), np.array([r["q"] for r in rows], np.float64).reshape(len(rows), -1)
+
+
+def scored(vectors: DataFrame, protos: DataFrame, temperature: float, name: str = "p", yz: DataFrame | None = None) -> DataFrame:
     """M2, M8. vectors with `name`: softmax over prototypes of cosine / temperature, in the order of id; name_ids: the ids.
+    With yz (p(label | topic) of the prototypes) also y and y_ids: p(label | x), the mixture.
 
     The prototypes, a row a label or topic, go to the tasks; a batch of vectors is one matrix product. Rows without vector are left out.
     """
     import pyarrow as pa
     from pyspark.sql.types import ArrayType, DoubleType, StructType
 
-    table = protos.select("id", "vec").orderBy("id").collect()
-    p = np.array([r["vec"] for r in table], np.float64).reshape(len(table), -1)
-    p = (p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), EPS)).T
-    k = len(table)
+    ids, p = matrix(protos)
+    labels, q = ([], None) if yz is None else compatibilities(yz)
 
     def run(batches):
         for b in batches:
-            x = np.asarray(b.column("embedding").flatten(), np.float64).reshape(b.num_rows, -1)
-            s = np.zeros((b.num_rows, 0))
-            if k and b.num_rows:
-                s = x @ p / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), EPS) / temperature
-                s = np.exp(s - s.max(1, keepdims=True))
-                s /= s.sum(1, keepdims=True)
-            ends = pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * k)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.ListArray.from_arrays(ends, pa.array(s.ravel()))], [*b.schema.names, name])
+            s = batch_softmax(batch_vectors(b), p, temperature)
+            more = [] if q is None else [list_column(s @ q)]
+            yield pa.RecordBatch.from_arrays([*b.columns, list_column(s), *more], [*b.schema.names, name, *(["y"] if more else [])])
 
     schema = StructType([*vectors.schema.fields]).add(name, ArrayType(DoubleType()))
-    out = vectors.where(F.col("embedding").isNotNull()).mapInArrow(run, schema)
-    return out.withColumn(f"{name}_ids", F.array(*[F.lit(r["id"]) for r in table]))
+    if yz is not None:
+        schema = schema.add("y", ArrayType(DoubleType()))
+    out = vectors.where(F.col("embedding").isNotNull()).mapInArrow(run, schema).withColumn(f"{name}_ids", F.array(*map(F.lit, ids)))
+    return out if yz is None else out.withColumn("y_ids", F.array(*map(F.lit, labels)))
 
 
 def topic_labels(topics: DataFrame, labels: DataFrame, temperature: float = 1.0) -> DataFrame:
@@ -136,51 +164,84 @@ def balance_step(scores: np.ndarray, sharpness: float = 25.0, tolerance: float =
     return p * r[:, None] * c[None, :]
 
 
-def sinkhorn(scores: DataFrame, sharpness: float = 25.0, tolerance: float = 0.1, most: int = 200) -> DataFrame:
-    """M5, M6. (doc_id, z_hat): balanced hard assignment of scores (doc_id, s array over topics), of any number of rows.
+def balanced_factors(rows: DataFrame, sharpness: float, tolerance: float, most: int) -> tuple[np.ndarray, float]:
+    """(logarithms of the column factors, residual) of the balanced plan of rows (s): the residual is the sum over columns of
+    how far k times the column's mass is from one.
 
-    Only the k column factors are held between steps; each step is one pass that sums k numbers a task, and a row's own factor is
-    derived from them, so that no (row, topic) table is shuffled or kept.
+    Balancing only has k unknowns: they minimise the mean of ln sum_j s_ij^sharpness e^g_j, less the mean of g. Newton steps on
+    them, damped where a step would not go down, take a few passes; a pass returns k + k x k numbers a task.
     """
     import pyarrow as pa
 
-    from ..session import cut
-
-    rows = cut(scores.where(F.size("s") > 0).select("doc_id", "s"))
-    n = rows.count()
-    if n == 0:
-        return scores.sparkSession.createDataFrame([], "doc_id long, z_hat int")
     k = rows.select(F.size("s")).first()[0]
-    factors = np.full(k, 1.0)
-
-    def kernel(b) -> np.ndarray:
-        s = np.asarray(b.column("s").flatten(), np.float64).reshape(b.num_rows, k)
-        return np.maximum(np.maximum(s / s.max(1, keepdims=True), 1e-300) ** sharpness, 1e-300)
-
-    for step in range(1, most + 1):
-        c = factors
+    n = rows.count()
 
-        def sums(batches, c=c):
-            mass = np.zeros(k)
+    def measured(g: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        def sums(batches):
+            value, first, second = 0.0, np.zeros(k), np.zeros((k, k))
             for b in batches:
-                p = kernel(b)
-                mass += (1.0 / n) / (p @ c) @ p
-            yield pa.RecordBatch.from_arrays([pa.array([mass.tobytes()], pa.binary())], ["m"])
-
-        mass = np.sum([np.frombuffer(r.m) for r in rows.select("s").mapInArrow(sums, "m binary").collect()], axis=0)  # k numbers a task
-        fresh = (1.0 / k) / mass
-        fresh /= fresh.sum()
-        moved = np.abs(fresh / (c / c.sum()) - 1).sum()
-        factors = fresh
-        if step % 10 == 0 and moved <= tolerance:
+                x = log_kernel(b, k, sharpness) + g
+                top = x.max(1, keepdims=True, initial=-np.inf)
+                p = np.exp(x - top)
+                total = p.sum(1, keepdims=True)
+                value += float((top + np.log(total)).sum())
+                p /= total
+                first += p.sum(0)
+                second += p.T @ p
+            yield pa.RecordBatch.from_arrays([pa.array([np.r_[value, first, second.ravel()].tobytes()], pa.binary())], ["m"])
+
+        m = np.sum([np.frombuffer(r.m) for r in rows.select("s").mapInArrow(sums, "m binary").collect()], axis=0) / n
+        return m[0] - g.mean(), m[1 : k + 1] - 1 / k, np.diag(m[1 : k + 1]) - m[k + 1 :].reshape(k, k)
+
+    g, damp = np.zeros(k), 1e-3
+    value, slope, curve = measured(g)
+    for _ in range(most):
+        residual = float(np.abs(slope * k).sum())
+        if residual <= tolerance:
             break
-    final = factors
+        step = np.linalg.solve(curve + damp * np.diag(np.diag(curve)) + 1e-9 * np.eye(k), -slope)
+        step *= min(1.0, 30.0 / max(np.abs(step).max(), 1e-12))
+        trial = measured(g + step)
+        if trial[0] <= value + 1e-12:
+            g, damp, (value, slope, curve) = g + step, damp / 10, trial
+            g -= g.mean()
+        else:
+            damp = max(damp, 1e-4) * 10
+    return g, float(np.abs(slope * k).sum())
+
+
+def log_kernel(b, k: int, sharpness: float) -> np.ndarray:
+    s = np.asarray(b.column("s").flatten(), np.float64).reshape(b.num_rows, k)
+    return sharpness * np.log(np.maximum(s / np.maximum(s.max(1, keepdims=True, initial=0), 1e-300), 1e-12))
+
+
+def sinkhorn(scores: DataFrame, sharpness: float = 25.0, tolerance: float = 0.01, most: int = 100) -> DataFrame:
+    """M5, M6. (doc_id, z_hat, mass): balanced hard assignment of scores (doc_id, s array over topics), of any number of rows;
+    mass: the topic's share of the row in the plan. Raises if the plan isn't balanced to the tolerance after `most` passes.
+
+    Only the k column factors are held between passes; a row's own factor is derived from them, so that no (row, topic)
+    table is shuffled or kept. Scores count as 1e-12 of the row's largest at least.
+    """
+    import pyarrow as pa
+
+    from ..session import cut
+
+    rows = cut(scores.where(F.size("s") > 0).select("doc_id", "s"))
+    if rows.isEmpty():
+        return scores.sparkSession.createDataFrame([], "doc_id long, z_hat int, mass double")
+    g, residual = balanced_factors(rows, sharpness, tolerance, most)
+    if residual > tolerance:
+        raise RuntimeError(f"balanced assignment left a residual of {residual:.3g} after {most} passes")
+    k = len(g)
 
     def pick(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array((kernel(b) * final).argmax(1).astype(np.int32))], ["doc_id", "z_hat"])
+            x = log_kernel(b, k, sharpness) + g
+            p = np.exp(x - x.max(1, keepdims=True, initial=-np.inf))
+            p /= p.sum(1, keepdims=True)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(p.argmax(1).astype(np.int32)), pa.array(p.max(1, initial=0))], ["doc_id", "z_hat", "mass"])
 
-    return rows.mapInArrow(pick, "doc_id long, z_hat int")
+    return rows.mapInArrow(pick, "doc_id long, z_hat int, mass double")
 
 
 def initial_topics(df: DataFrame, k: int, mode: str = "p0_block", classes: int = len(MACROS)) -> DataFrame:
@@ -200,19 +261,32 @@ def prototype_em(vectors: DataFrame, start: DataFrame, steps: int = 5, temperatu
     weighted means). Gradient training isn't offered; this variant keeps the model's two steps."""
     from ..session import cut
 
-    at = cut(start.select("id", "vec"))
-    held = cut(vectors.select("doc_id", l2_normalised(F.col("embedding")).alias("embedding")))
+    import pyarrow as pa
+
+    at = cut(start.select("id", "vec").orderBy("id"))
+    held = cut(vectors.where(F.col("embedding").isNotNull()).select("doc_id", l2_normalised(F.col("embedding")).alias("embedding")))
     for _ in range(steps):
-        zx = scored(held, at, temperature)
+        ids, p = matrix(at)
+        k, d = p.shape[1], p.shape[0]
+
+        def sums(batches, p=p, k=k, d=d):
+            total = np.zeros((k, d))
+            for b in batches:
+                x = batch_vectors(b)
+                if balanced:
+                    np.add.at(total, np.asarray(b.column("z_hat")), x)
+                else:
+                    total += batch_softmax(x, p, temperature).T @ x
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
+
+        rows = held
         if balanced:
-            z = sinkhorn(zx.select("doc_id", F.col("p").alias("s"))).join(zx, "doc_id")
-            one = z.select(F.get("p_ids", F.col("z_hat")).alias("id"), F.lit(1.0).alias("w"), "embedding")
-        else:
-            one = zx.select(F.explode(F.arrays_zip(F.col("p_ids").alias("id"), F.col("p").alias("w"))).alias("t"), "embedding").select("t.id", "t.w", "embedding").where("w > 1e-6")
-        d = len(at.first()["vec"])
-        sums = one.groupBy("id").agg(*[F.sum(F.col("w") * F.get("embedding", F.lit(i))).alias(f"x{i}") for i in range(d)])
-        moved = sums.select("id", l2_normalised(F.array(*[F.col(f"x{i}") for i in range(d)])).alias("new"))
-        at = cut(at.join(moved, "id", "left").select("id", F.coalesce("new", "vec").alias("vec")))
+            rows = held.join(sinkhorn(scored(held, at, temperature).select("doc_id", F.col("p").alias("s"))), "doc_id").select("embedding", "z_hat")
+        parts = rows.mapInArrow(sums, "m binary").collect()  # topics x dimensions numbers a task
+        total = np.sum([np.frombuffer(r.m).reshape(k, d) for r in parts], axis=0) if parts else np.zeros((k, d))
+        length = np.linalg.norm(total, axis=1, keepdims=True)
+        fresh = np.where(length > EPS, total / np.maximum(length, EPS), p.T)
+        at = at.sparkSession.createDataFrame([(i, v.tolist()) for i, v in zip(ids, fresh)], at.schema)
     return at
 
 
@@ -277,6 +351,45 @@ def transfer_losses(scored_rows: DataFrame, weights: str = "max") -> DataFrame:
     return rows.agg(F.avg("a").alias("em_z"), F.avg("b").alias("em_yz"), (F.avg("a") + F.avg("b")).alias("em"), F.try_divide(F.sum("m"), F.sum("w")).alias("macro")).crossJoin(F.broadcast(balance))  # one row each
 
 
+def transfer_sums(vectors: DataFrame, topics: DataFrame, labels: DataFrame, yz: DataFrame, temperature: float = 0.1, weights: str = "max") -> DataFrame:
+    """M21. The row of `transfer_losses` with one-hot assignments to each vector's best topic, from the vectors themselves: all
+    posteriors are matrix products of an Arrow batch, and a task returns sums only. ln p(label | topic) is a constant matrix."""
+    import pyarrow as pa
+
+    (_, z), (_, y), (_, q) = matrix(topics), matrix(labels), compatibilities(yz)
+    k = z.shape[1]
+    ln_q = np.log(np.maximum(q, LOG_FLOOR))
+
+    def sums(batches):
+        total = np.zeros(5 + k)
+        for b in batches:
+            x = batch_vectors(b)
+            if not len(x):
+                continue
+            p, p0 = batch_softmax(x, z, temperature), batch_softmax(x, y, temperature)
+            best = np.round(p, 9).argmax(1)
+            at = np.arange(len(x))
+            top = p0.max(1)
+            w = {"max": top, "threshold": np.where(top < 0.5, 0.25, 1.0) * top, "none": np.ones(len(x))}[weights]
+            macro = -(p0 * np.log(np.maximum(p @ q, LOG_FLOOR))).sum(1)
+            total += np.r_[len(x), -np.log(np.maximum(p[at, best], LOG_FLOOR)).sum(), -(p0 @ ln_q.T)[at, best].sum(), (w * macro).sum(), w.sum(), p.sum(0)]
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["m"])
+
+    got = vectors.where(F.col("embedding").isNotNull()).select("embedding").mapInArrow(sums, "m binary").collect()  # 5 + topics numbers a task
+    t = np.sum([np.frombuffer(r.m) for r in got], axis=0) if got else np.zeros(5 + k)
+    n = t[0]
+    schema = "em_z double, em_yz double, em double, macro double, balance double"
+    if n == 0 or k == 0:
+        return vectors.sparkSession.createDataFrame([(None,) * 5], schema)
+    balance = float(-np.log(np.maximum(t[5:] / n, EPS)).mean() - np.log(k))
+    return vectors.sparkSession.createDataFrame([(float(t[1] / n), float(t[2] / n), float((t[1] + t[2]) / n), float(t[3] / t[4]), balance)], schema)
+
+
+def macro_loss(zx: DataFrame, macro: str = "macro_id") -> DataFrame:
+    """M20. One row, ls3: label cross-entropy of the mixture y of rows with a known label."""
+    return zx.where(F.col(macro).isNotNull()).agg(F.avg(cross_entropy(F.col("y"), F.col(macro))).alias("ls3"))
+
+
 def anchor_loss(source: DataFrame, target: DataFrame) -> DataFrame:
     """L_anchor: mean squared distance of normalised anchors by id."""
     j = source.select("id", l2_normalised(F.col("vec")).alias("a")).join(target.select("id", l2_normalised(F.col("vec")).alias("b")), "id")

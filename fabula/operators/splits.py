@@ -48,6 +48,11 @@ def stratified_sample(df: DataFrame, label: str, most: int, seed: int = 42) -> D
     return kept.drop("_r").orderBy(h, "doc_id").limit(most)
 
 
+def capped(rows: DataFrame, most: int, *order) -> DataFrame:
+    """O4. The first rows of a total order."""
+    return rows.orderBy(*order).limit(most)
+
+
 def fold_summary(folds: DataFrame, metrics: list[str]) -> DataFrame:
     """A22. (metric, mean, std, n): sample deviation over folds, 0 for a single one; values that are no numbers don't count."""
     number = lambda c: F.nanvl(F.col(c).try_cast("double"), F.lit(None).cast("double"))

@@ -278,7 +278,7 @@ def grid_expand(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.regexp_replace("text", r"[^\x20-\x7e]", " ").alias("t"))
+    return table(spark, sf, "documents").where("text is not null").select("doc_id", F.col("text").alias("t"))
 
 
 def _spans(spark: SparkSession, sf: str) -> DataFrame:
@@ -299,7 +299,7 @@ def _tokens(spark: SparkSession, sf: str) -> DataFrame:
     return t.withColumn("x", x).withColumn("y", F.col("x") + F.length("s")).where("y > x").select("doc_id", "token", "x", "y")
 
 
-SPANS = """tx as (select doc_id, regexp_replace(text, '[^\\x20-\\x7e]', ' ', 'g') t from documents where text is not null),
+SPANS = """tx as (select doc_id, text t from documents where text is not null),
  sp as (select * from (select doc_id, i - 1 span, s, (coalesce(sum(len(s) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0))::int a from (select doc_id, unnest(string_split(t, '.')) s, generate_subscripts(string_split(t, '.'), 1) i from tx)) where len(s) > 0),
  tk as (select * from (select doc_id, i - 1 token, s, (coalesce(sum(len(s) + 1) over (partition by doc_id order by i rows between unbounded preceding and 1 preceding), 0))::int x from (select doc_id, unnest(string_split(t, ' ')) s, generate_subscripts(string_split(t, ' '), 1) i from tx)) where len(s) > 0)"""
 

@@ -41,7 +41,8 @@ def labelled(spark: SparkSession, sf: str) -> DataFrame:
 
 def predictions(spark: SparkSession, sf: str) -> DataFrame:
     """Predictions of the target corpus, one row a doc_id (copies are equal)."""
-    df = table(spark, sf, "metadata_with_malt_predictions").where("doc_id is not null").dropDuplicates(["doc_id"])
+    df = table(spark, sf, "metadata_with_malt_predictions").where("doc_id is not null")
+    df = df.groupBy("doc_id").agg(F.min(F.struct(*[c for c in df.columns if c != "doc_id"])).alias("_v")).select("doc_id", "_v.*")
     return df.withColumn("accident_id", accident("accident_id"))
 
 

@@ -81,6 +81,19 @@ def davies_bouldin(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(geometry.davies_bouldin_and_calinski(labelled(spark, sf)))
 
 
+@query(
+    f"""with {UNITS}, {VECTORS}, lv as (select doc_id, pred_label c, v from units join vectors using (doc_id)), n as (select c, count(*) n from lv group by 1),
+    s as (select a.doc_id, a.c own, b.c, sum(list_distance(a.v, b.v)) s from lv a, lv b group by 1, 2, 3),
+    m as (select doc_id, max(case when own = s.c then s / (n - 1) end) a, min(case when own <> s.c then s / n end) b from s join n on n.c = s.c group by 1)
+    select count(*) n, round(avg((b - a) / greatest(a, b)), 6) silhouette from m"""
+)
+def silhouette(spark: SparkSession, sf: str) -> DataFrame:
+    """A36; SQL takes all vectors as queries, which holds up to 10,000 of them."""
+    from ..operators.agreement import silhouette as of
+
+    return rounded(of(embedded(labelled(spark, sf).drop("macro_id")), "label"))
+
+
 # posteriors: labels from the source corpus, topics from the target corpus -------------------------------------------------
 
 
@@ -132,10 +145,10 @@ def posterior_yz(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(f"with {MU} select doc_id, y macro, round(sum(p * q), 6) p from zx join yz using (z) group by doc_id, y")
 def posterior_yx(spark: SparkSession, sf: str) -> DataFrame:
-    y = posterior.with_mixture(_zx(spark, sf), _yz(spark, sf))
-    ids = _labels(spark, sf).groupBy().agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    rows = y.crossJoin(F.broadcast(ids)).select("doc_id", F.explode(F.arrays_zip("ids", "y")).alias("t"))  # a single row
-    return rounded(rows.select("doc_id", F.col("t.ids").alias("macro"), F.col("t.y").alias("p")))
+    topics = _topics(spark, sf)
+    y = posterior.scored(_topic_rows(spark, sf), topics, 0.1, yz=posterior.topic_labels(topics, _labels(spark, sf)))
+    rows = y.select("doc_id", F.explode(F.arrays_zip("y_ids", "y")).alias("t"))
+    return rounded(rows.select("doc_id", F.col("t.y_ids").alias("macro"), F.col("t.y").alias("p")))
 
 
 @query(f"with {MU}, e as (select doc_id, -sum(p * ln(greatest(p, 1e-12))) h, max(p) m from zx group by doc_id) select count(*) n, round(avg(h), 5) mean_entropy, round(min(h), 5) min_entropy, round(max(h), 5) max_entropy, round(avg(m), 5) mean_confidence from e")
@@ -191,19 +204,21 @@ def scgm_losses(spark: SparkSession, sf: str) -> DataFrame:
     select round(em_z, 5) em_z, round(em_yz, 5) em_yz, round(em_z + em_yz, 5) em, round((select sum(w * x) / sum(w) from m), 5) macro, round((select avg(-ln(greatest(x, 1e-12))) - ln(count(*)) from g), 5) balance from a"""
 )
 def malt_losses(spark: SparkSession, sf: str) -> DataFrame:
-    yz = _yz(spark, sf)
-    t = yz.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("id", "q"))), lambda s: s["q"]).alias("qs"))
-    rows = posterior.with_mixture(posterior.scored(_zx(spark, sf), _labels(spark, sf), 0.1, "p0"), yz).crossJoin(F.broadcast(t))  # a single row
-    best = argmax(F.transform("p", lambda x: F.round(x, 9)))
-    ln = lambda x: F.ln(F.greatest(x, F.lit(posterior.LOG_FLOOR)))
-    made = rows.withColumn("_b", best).select(
-        F.transform("p", lambda x, i: (i == F.col("_b")).cast("double")).alias("q"),
-        F.col("p").alias("zx"),
-        F.transform("qs", lambda q: F.aggregate(F.zip_with("p0", q, lambda a, b: a * ln(b)), F.lit(0.0), lambda s, x: s + x)).alias("yz_log"),
-        "p0",
-        F.col("y").alias("pt"),
-    )
-    return rounded(posterior.transfer_losses(made), 5)
+    topics, labels = _topics(spark, sf), _labels(spark, sf)
+    return rounded(posterior.transfer_sums(_topic_rows(spark, sf), topics, labels, posterior.topic_labels(topics, labels)), 5)
+
+
+@query(
+    f"""with {MU}, y as (select doc_id, y, sum(p * q) p from zx join yz using (z) group by 1, 2)
+    select round(avg(-ln(greatest(p, 1e-12))), 5) ls3 from y join tr using (doc_id) where y.y = tr.pred_label"""
+)
+def scgm_macro_loss(spark: SparkSession, sf: str) -> DataFrame:
+    """M20, the label term."""
+    from ..functions.scalars import macro_code
+
+    topics = _topics(spark, sf)
+    y = posterior.scored(_topic_rows(spark, sf), topics, 0.1, yz=posterior.topic_labels(topics, _labels(spark, sf)))
+    return rounded(posterior.macro_loss(y.withColumn("macro_id", macro_code(F.col("pred_label")))), 5)
 
 
 @query(
@@ -233,10 +248,31 @@ def sinkhorn_assign(spark: SparkSession, sf: str) -> DataFrame:
     return z.groupBy("z_hat").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(
+    f"""with {MU}, s1 as (select z id, i, sum(p * u[i]) x from zx join tr using (doc_id), (select unnest(range(1, 65)) i) group by 1, 2),
+    n1 as (select id, i, x / sqrt(sum(x * x) over (partition by id)) x from s1) select id, i::int pos, round(x, 4) x from n1"""
+)
 def prototype_em(spark: SparkSession, sf: str) -> DataFrame:
-    at = posterior.prototype_em(_topic_rows(spark, sf), _topics(spark, sf), 3)
-    return at.select("id", F.round(F.get("vec", F.lit(0)), 4).alias("first"))
+    """One round of E and M, all dimensions."""
+    at = posterior.prototype_em(_topic_rows(spark, sf), _topics(spark, sf), 1)
+    return at.select("id", F.posexplode("vec").alias("pos", "x")).select("id", (F.col("pos") + 1).alias("pos"), F.round("x", 4).alias("x"))
+
+
+@query()
+def prototype_em_steps(spark: SparkSession, sf: str) -> DataFrame:
+    """Three rounds with balanced assignment."""
+    at = posterior.prototype_em(_topic_rows(spark, sf), _topics(spark, sf), 3, balanced=True)
+    return at.select("id", F.posexplode("vec").alias("pos", "x"))
+
+
+@query(f"with {MU}, k as (select count(distinct z)::double k from zx) select true balanced, k::int topics from k")
+def sinkhorn_residual(spark: SparkSession, sf: str) -> DataFrame:
+    """How far the plan is from balance: under a hundredth of the mass."""
+    from ..session import cut
+
+    rows = cut(_zx(spark, sf).select("doc_id", F.col("p").alias("s")))
+    g, residual = posterior.balanced_factors(rows, 25.0, 0.01, 100)
+    return spark.createDataFrame([(residual <= 0.01, len(g))], "balanced boolean, topics int")
 
 
 @query()

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 import json
 import re
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_macro, macro_code, tolerant_bool
+from . import files
 
 UNIT_SCHEMA = "doc_id long, accident_id string, fact_id int, sentence string, accident_summary string, pred_label string, pred_subtype string, pred_confidence double, pred_ok string, division string, equipment_involved string, company_code string"
 #: Text columns in order of preference.
@@ -98,11 +98,14 @@ def squared_length(df: DataFrame) -> Column:
 
 
 def usable_vectors(df: DataFrame) -> DataFrame:
-    """S4, S7. Wide vectors that are complete, finite and not zero, one row a doc_id (the least by its first dimensions)."""
+    """S4, S7. Wide vectors that are complete, finite and not zero, one row a doc_id (the least by its dimensions in order)."""
     dims = dim_columns(df)
     length = squared_length(df)
     good = df.where(F.col("doc_id").isNotNull() & (length > 0) & (length < float("inf")) & ~F.isnan(length))
-    return good.select("doc_id", *(["corpus"] if "corpus" in df.columns else []), *dims).dropDuplicates(["doc_id"])
+    rows = good.select("doc_id", *(["corpus"] if "corpus" in df.columns else []), *dims)
+    # one aggregation by doc_id; the order of a struct's fields is the order of the dimensions
+    values = F.struct(*[F.col(c) for c in [*dims, *(["corpus"] if "corpus" in df.columns else [])]])
+    return rows.groupBy("doc_id").agg(F.min(values).alias("_v")).select("doc_id", *([F.col("_v.corpus").alias("corpus")] if "corpus" in df.columns else []), *[F.col(f"_v.{c}").alias(c) for c in dims])
 
 
 def as_array(df: DataFrame, name: str = "embedding") -> DataFrame:
@@ -125,26 +128,24 @@ def join_vectors(units: DataFrame, vectors: DataFrame, strict: bool = True) -> D
 
 def check_files(folder: str, names: list[str]) -> None:
     """S10, U4, J13. Error naming the files of a folder that are missing."""
-    if missing := [n for n in names if not (Path(folder) / n).exists()]:
+    if missing := [n for n in names if not files.exists(f"{folder}/{n}")]:
         raise FileNotFoundError(f"{folder} lacks {', '.join(missing)}")
 
 
 def first_existing(paths: list[str]) -> str | None:
     """S2, S11. The first path that exists; patterns give their least match."""
     for p in paths:
-        at = Path(p)
-        found = [at] if at.exists() else sorted(at.parent.glob(at.name)) if "*" in at.name and at.parent.exists() else []
-        if found:
-            return str(found[0])
+        if found := files.matching(p):
+            return found[0]
     return None
 
 
 def find_vectors(root: str) -> str | None:
     """S12. The first CSV under a folder, by path, whose header has dim_* columns."""
-    for p in sorted(Path(root).rglob("*.csv")):
-        with p.open(encoding="utf-8") as f:
-            if any(re.fullmatch(r"dim_\d+", c.strip()) for c in f.readline().split(",")):
-                return str(p)
+    for p in files.below(root, ".csv"):
+        head = SparkSession.getActiveSession().read.text(p).limit(1).collect()
+        if head and any(re.fullmatch(r"dim_\d+", c.strip()) for c in head[0].value.split(",")):
+            return p
     return None
 
 
@@ -153,12 +154,16 @@ def metric_rows(spark: SparkSession, folders: dict[str, str]) -> DataFrame:
     the older name delta_macro_pct counts as eta2_macro_balanced_perc."""
     out = None
     for method, folder in sorted(folders.items()):
-        at = first_existing([f"{folder}/metrics.csv", f"{folder}/metrics.json"])
+        at = first_existing([f"{folder}/metrics.csv", f"{folder}/metrics_csv", f"{folder}/metrics.json", f"{folder}/metrics_json"])
         if at is None:
             continue
-        df = spark.read.option("header", True).csv(at) if at.endswith(".csv") else spark.read.option("multiLine", True).json(at)
-        if "eta2_macro_balanced_perc" not in df.columns and "delta_macro_pct" in df.columns:
-            df = df.withColumnRenamed("delta_macro_pct", "eta2_macro_balanced_perc")
+        if at.endswith("csv"):  # the header names the columns; their types are METRIC_COLUMNS'
+            df = spark.read.option("header", True).csv(at)
+            if "eta2_macro_balanced_perc" not in df.columns and "delta_macro_pct" in df.columns:
+                df = df.withColumnRenamed("delta_macro_pct", "eta2_macro_balanced_perc")
+        else:
+            df = spark.read.schema(METRIC_COLUMNS + ", delta_macro_pct double").option("multiLine", at.endswith(".json")).json(at)
+            df = df.withColumn("eta2_macro_balanced_perc", F.coalesce("eta2_macro_balanced_perc", "delta_macro_pct"))
         df = fixed_schema(df.withColumn("method", F.lit(method)), METRIC_COLUMNS)
         out = df if out is None else out.unionByName(df)
     return out if out is not None else spark.createDataFrame([], METRIC_COLUMNS)
@@ -172,13 +177,13 @@ def fixed_schema(df: DataFrame, schema: str) -> DataFrame:
 
 def stop_words(path: str) -> list[str]:
     """S14. One word a line, lower case; blank lines and lines with # are left out."""
-    lines = (x.strip().lower() for x in Path(path).read_text(encoding="utf-8").splitlines())
+    lines = (x.strip().lower() for x in files.read_text(path).splitlines())
     return sorted({x for x in lines if x and not x.startswith("#")})
 
 
 def read_config(path: str) -> dict:
     """S15. A nested configuration as one level of dotted names; JSON, or YAML where a parser is installed."""
-    text = Path(path).read_text(encoding="utf-8")
+    text = files.read_text(path)
     if path.endswith((".yaml", ".yml")):
         try:
             import yaml
@@ -199,7 +204,7 @@ def flatten(data: dict, before: str = "") -> dict:
 
 def read_model(spark: SparkSession, folder: str) -> tuple[dict[str, DataFrame], dict]:
     """S16. Prototype tables (id, vec) by name, and the parameters, of a model folder."""
-    params = json.loads(Path(folder, "params.json").read_text(encoding="utf-8"))
+    params = json.loads(files.read_text(f"{folder}/params.json"))
     return {n: spark.read.parquet(f"{folder}/{n}") for n in params["tables"]}, params["params"]
 
 

@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import json
-from pathlib import Path
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import files
+
 
 def write_metrics(df: DataFrame, folder: str) -> None:
     """K1. One metric table as JSON lines and as CSV with header."""
@@ -21,20 +22,22 @@ def wide_vectors(df: DataFrame, n: int, name: str = "embedding", first: int = 1,
 
 
 def append_log(df: DataFrame, path: str) -> None:
-    """K4, K5. Append log rows; readers see whole files only, so there is one header at most by design."""
-    df.write.mode("append").json(path)
+    """K4, K5. Append log rows as JSON lines, or as CSV where the path says so; each CSV file has its own header, and readers of
+    the folder skip it."""
+    w = df.write.mode("append")
+    w.option("header", True).csv(path) if path.endswith("csv") else w.json(path)
 
 
 def write_model(tables: dict[str, DataFrame], params: dict, folder: str) -> None:
     """K2, K7. Prototype tables as Parquet, parameters as JSON."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
-    Path(folder, "params.json").write_text(json.dumps({"tables": sorted(tables), "params": params}, ensure_ascii=False, indent=1), encoding="utf-8")
+    files.write_text(f"{folder}/params.json", json.dumps({"tables": sorted(tables), "params": params}, ensure_ascii=False, indent=1))
 
 
 def write_config(config: dict, path: str) -> None:
     """K6. The resolved configuration."""
-    Path(path).write_text(json.dumps(config, ensure_ascii=False, indent=1, sort_keys=True), encoding="utf-8")
+    files.write_text(path, json.dumps(config, ensure_ascii=False, indent=1, sort_keys=True))
 
 
 def bif_text(nodes: dict[str, list[str]], cpds: list[tuple[str, list[str], dict[tuple, list[float]]]], name: str = "network") -> str:
@@ -61,13 +64,27 @@ def markdown(df: DataFrame, most: int = 200) -> str:
 
 
 def latex(df: DataFrame, most: int = 200) -> str:
-    """K11. A small table as a LaTeX tabular."""
-    rows = df.limit(most).collect()
+    """K11. A small table as a LaTeX tabular; beyond `most` rows an error."""
+    rows = df.limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"a report of more than {most} rows")
     plain = lambda x: "--" if x is None else f"{x:.3f}" if isinstance(x, float) else "".join("\\" + c if c in "&%$#_{}" else c for c in str(x))
     body = [" & ".join(map(plain, r)) + r" \\" for r in [df.columns, *rows]]
     return "\n".join([r"\begin{tabular}{" + "l" * len(df.columns) + "}", body[0], r"\hline", *body[1:], r"\end{tabular}"]) + "\n"
 
 
+def write_report(mapping: DataFrame, report: DataFrame, folder: str) -> None:
+    """K9. A two-part report: tables `mapping` and `late_report` of one folder."""
+    write_table(mapping, f"{folder}/mapping")
+    write_table(report, f"{folder}/late_report")
+
+
+def cpd_rows(tables: DataFrame, folder: str) -> None:
+    """K8. Conditional probability tables (node, given, state, p) as Parquet and as CSV with header."""
+    write_table(tables, f"{folder}/cpd")
+    tables.orderBy("node", "given", "state").coalesce(1).write.mode("overwrite").option("header", True).csv(f"{folder}/cpd_csv")  # a network's tables
+
+
 def write_table(df: DataFrame, path: str, *partition: str) -> None:
     """K9, K14, K15. A result table as Parquet."""
     w = df.write.mode("overwrite")
@@ -80,7 +97,7 @@ class Layout:
     OLD = {"out": "exports", "embeddings": "vectors", "figs": "figures"}
 
     def __init__(self, root: str) -> None:
-        self.root = Path(root)
+        self.root = root.rstrip("/")
 
-    def of(self, method: str, kind: str) -> Path:
-        return self.root / method / self.OLD.get(kind, kind)
+    def of(self, method: str, kind: str) -> str:
+        return f"{self.root}/{method}/{self.OLD.get(kind, kind)}"

@@ -89,5 +89,6 @@ def test_silhouette(spark):
         a = d[i, k == k[i]].sum() / 9
         b = min(d[i, k == c].mean() for c in range(3) if c != k[i])
         want.append((b - a) / max(a, b))
-    assert agreement.silhouette(df, "label", 7).first().silhouette == pytest.approx(np.mean(want), abs=1e-9)
+    assert agreement.silhouette(df, "label", block=7).first().silhouette == pytest.approx(np.mean(want), abs=1e-9)
+    assert agreement.silhouette(df, "label", 8).first().n == 8
     assert agreement.silhouette(df.where("label = '0'"), "label").first().silhouette is None

@@ -11,7 +11,6 @@ from fabula.plans import all_queries, all_sql
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
-SAMPLE = ["eta2_geometry", "posterior_zx", "themes_by_z", "scenarios_frequent", "nmi_ari", "tfidf_top_words", "span_token_overlap", "supcon_loss", "cpd_macro_chain", "leaderboard"]
 
 
 def norm(v):
@@ -28,7 +27,7 @@ def con():
     return c
 
 
-@pytest.mark.parametrize("name", SAMPLE)
+@pytest.mark.parametrize("name", sorted(all_sql()))
 def test_query(spark, con, name):
     df = all_queries()[name](spark, SF)
     cols = sorted(df.columns)
