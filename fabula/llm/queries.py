@@ -177,3 +177,32 @@ SQL["p6_report"] = (
     + """, w as (select plan_id, pred_label, greatest(min_rows, cast(round(target_share * sample_rows) as bigint)) wanted, coalesce(n, 0) eligible from label_targets left join c on l = upper(pred_label))
         select plan_id, pred_label, wanted, eligible, least(wanted, eligible) drawn, greatest(wanted - eligible, 0) short, 0 residual from w"""
 )
+# word sets of sentences, and pairs by the words they share
+WORDS = """unnest(regexp_extract_all(strip_accents(lower(sentence)), '[\\p{L}\\p{N}]+')) w"""
+SQL["p1_found"] = f"""
+    with r as (select doc_id, sentence, case when split_name = 'train' then 1 else 2 end side from data_btp where split_name in ('train', 'validation', 'test')
+               union all select doc_id, sentence, 2 from data_metallurgie),
+    s as (select distinct doc_id, side, w from (select doc_id, side, {WORDS} from r where doc_id is not null and sentence is not null)),
+    n as (select doc_id, side, count(*) n from s group by 1, 2 having count(*) >= 5),
+    c as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.w = b.w and a.side = 1 and b.side = 2 group by 1, 2)
+    select distinct least(x, y) doc_id_a, greatest(x, y) doc_id_b from c join n p on p.doc_id = x and p.side = 1 join n q on q.doc_id = y and q.side = 2
+    where x <> y and c >= 0.7 * (p.n + q.n - c) - 1e-9"""
+SQL["p1_report"] = f"""
+    with found as ({SQL["p1_found"]}), hit as (select doc_id_a doc_id from found union select doc_id_b from found),
+    e as (select doc_id, 'btp' corpus, split_name, source from data_btp where split_name in ('validation', 'test') union all select doc_id, 'metallurgie', 'test', source from data_metallurgie),
+    one as (select doc_id, corpus, split_name, min(source) source from e where doc_id is not null group by 1, 2, 3)
+    select corpus, split_name, source, count(*) records, count(hit.doc_id) overlapping from one left join hit using (doc_id) group by 1, 2, 3"""
+SQL["p7_found"] = f"""
+    with recursive s as (select distinct doc_id, w from (select doc_id, {WORDS} from data_btp where doc_id is not null and sentence is not null)),
+    n as (select doc_id, count(*) n from s group by 1 having count(*) >= 5),
+    c as (select a.doc_id x, b.doc_id y, count(*) c from s a join s b on a.w = b.w and a.doc_id < b.doc_id group by 1, 2),
+    l as (select x, y from c join n p on p.doc_id = x join n q on q.doc_id = y where c >= 0.7 * (p.n + q.n - c) - 1e-9),
+    e as materialized (select x, y from l union select y, x from l), r as (select x, x y from e union select r.x, e.y from r join e on r.y = e.x)
+    select min(y) group_doc_id, x doc_id from r group by x having min(y) < x"""
+DIMS = [f"dim_{i}::double" for i in range(1, 65)]
+SQL["p2_found"] = f"""
+    with v as (select doc_id, [{", ".join(DIMS)}] v, {" + ".join(f"{c} * {c}" for c in DIMS)} l from qwen3_embedding where doc_id is not null),
+    u as materialized (select doc_id, min(list_transform(v, lambda x: x / sqrt(l)))::double[64] u from v where l > 0 and l < 'inf'::double group by 1),
+    c as (select a.doc_id x, b.doc_id y, array_inner_product(a.u, b.u) c from u a join u b on a.doc_id <> b.doc_id where array_inner_product(a.u, b.u) >= 0.94),
+    k as (select x, y from c qualify row_number() over (partition by x order by round(c, 7) desc, y) <= 5)
+    select distinct least(x, y) doc_id_a, greatest(x, y) doc_id_b from k"""
