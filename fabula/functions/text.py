@@ -52,9 +52,10 @@ def packed_words(cell: Column, stop: list[str] | None = None) -> Column:
     return clean_words(F.split(F.coalesce(cell, F.lit("")), r"[\s,;]+"), stop)
 
 
-def packed_sentences(cell: Column, n: int) -> Column:
-    """H9. The first n sentences of a cell joined by ||."""
-    return F.slice(F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), r"\s*\|\|\s*"), lambda s: F.trim(s)), lambda s: s != ""), 1, n)
+def packed_sentences(cell: Column, n: int | None = None) -> Column:
+    """H9. The first n sentences, or all, of a cell joined by ||."""
+    found = F.filter(F.transform(F.split(F.coalesce(cell, F.lit("")), r"\s*\|\|\s*"), lambda s: F.trim(s)), lambda s: s != "")
+    return found if n is None else F.slice(found, 1, n)
 
 
 def clamped_label(words: Column, padding: list[str], low: int, high: int) -> Column:

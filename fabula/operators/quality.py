@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from ..functions import text as T
 from ..functions.scalars import outlier_topic
@@ -42,51 +44,103 @@ def quality_row(topics: DataFrame, n_docs: int | None, k: int = 10, least: int =
     return out.select("n_topics", "n_valid_topics", F.try_divide(F.col("in_topics"), F.lit(n_docs)).alias("coverage"), "topic_diversity", "redundancy", "mean_pairwise_jaccard", "mean_topic_size", "median_topic_size")
 
 
-def windows(docs: DataFrame, words: DataFrame, size: int) -> DataFrame:
-    """(window, words): the distinct listed words of each run of `size` tokens of a sentence (one run if it is shorter)."""
-    toks = docs.where("sentence is not null").select("doc_id", T.tokens(T.clean(F.col("sentence"))).alias("t")).where("size(t) > 0")
-    starts = toks.select("doc_id", F.explode(F.sequence(F.lit(1), F.greatest(F.size("t") - size + 1, F.lit(1)))).alias("at"), "t")
-    rows = starts.select("doc_id", "at", F.explode(F.array_distinct(F.slice("t", F.col("at"), F.lit(size)))).alias("w"))
-    listed = words.select("w").distinct()
-    return rows.join(F.broadcast(listed), "w")  # words of topics: a few each
+def cooccurrence(docs: DataFrame, words: list[str], size: int, chunk: int = 20_000) -> tuple[int, np.ndarray]:
+    """(windows, counts): in how many runs of `size` tokens of a sentence (one run if it is shorter) each two listed words
+    stand, on the diagonal each word alone. docs: doc_id, sentence.
+
+    Sentences are split once; of a batch only the places of listed words are kept, and its windows x words table of zeros and
+    ones, chunk by chunk, times itself gives the counts. Listed words are the topics' first words, a few hundred.
+    """
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    v = len(words)
+    listed = pa.array(words, pa.string())
+    toks = docs.where("sentence is not null").select(T.tokens(T.clean(F.col("sentence"))).alias("t")).where("size(t) > 0")
+
+    def count(batches):
+        total, n = np.zeros((v, v)), 0
+        for b in batches:
+            lists = b.column("t")
+            length = np.diff(np.asarray(lists.offsets))
+            runs = np.maximum(length - size + 1, 1)
+            start = np.cumsum(runs) - runs
+            n += int(runs.sum())
+            word = np.asarray(pc.index_in(lists.flatten(), value_set=listed).fill_null(-1))
+            at = np.flatnonzero(word >= 0)
+            first = np.cumsum(length) - length
+            doc = np.searchsorted(first, at, "right") - 1
+            place = at - first[doc]
+            low = np.maximum(place - size + 1, 0)
+            many = np.minimum(place, runs[doc] - 1) - low + 1
+            window = np.repeat(start[doc] + low, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+            column = np.repeat(word[at], many)
+            order = np.argsort(window, kind="stable")
+            window, column = window[order], column[order]
+            for lo in range(0, int(runs.sum()), chunk):
+                p, q = np.searchsorted(window, [lo, lo + chunk])
+                if q > p:
+                    table = np.zeros((chunk, v), np.float32)
+                    table[window[p:q] - lo, column[p:q]] = 1
+                    total += table.T @ table
+        for lo in range(0, v, 64):
+            yield pa.RecordBatch.from_arrays([pa.array([lo], pa.int32()), pa.array([n], pa.int64()), pa.array([total[lo : lo + 64].tobytes()], pa.binary())], ["part", "n", "counts"])
+
+    def whole(key, t):
+        s = np.sum([np.frombuffer(x) for x in t.column("counts").to_pylist()], axis=0)
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "n": pa.array([sum(t.column("n").to_pylist())], pa.int64()), "counts": pa.array([s.tobytes()], pa.binary())})
+
+    schema = "part int, n long, counts binary"
+    got = sorted(toks.mapInArrow(count, schema).groupBy("part").applyInArrow(whole, schema).collect(), key=lambda r: r.part)  # words x words numbers
+    return (got[0].n if got else 0), np.concatenate([np.frombuffer(r.counts).reshape(-1, v) for r in got]) if got else np.zeros((v, v))
+
+
+def _listed(topics: DataFrame, k: int) -> tuple[list, list[str]]:
+    """The topics with their first k words, and all these words."""
+    rows = topics.select("id", F.slice("words", 1, k).alias("w")).orderBy("id").collect()  # a row a topic
+    return rows, sorted({w for r in rows for w in r.w or []})
 
 
 def npmi(docs: DataFrame, topics: DataFrame, k: int = 10, size: int = 10) -> DataFrame:
     """M11. (id, npmi): mean normalised pointwise mutual information of the pairs of a topic's first k words over sliding
-    windows; pairs that never meet count -1. docs: doc_id, sentence; topics: id, words array."""
-    words = topics.select("id", F.posexplode(F.slice("words", 1, k)).alias("place", "w"))
-    seen = windows(docs, words, size)
-    toks = docs.where("sentence is not null").select(T.tokens(T.clean(F.col("sentence"))).alias("t")).where("size(t) > 0")
-    n = toks.agg(F.sum(F.greatest(F.size("t") - size + 1, F.lit(1))).alias("n"))
-    single = seen.groupBy("w").agg(F.count("*").alias("c"))
-    pairs = words.alias("a").join(words.alias("b"), (F.col("a.id") == F.col("b.id")) & (F.col("a.place") < F.col("b.place"))).select("a.id", F.col("a.w").alias("wa"), F.col("b.w").alias("wb"))
-    wanted = pairs.select("wa", "wb").distinct()
-    grouped = seen.groupBy("doc_id", "at").agg(F.collect_set("w").alias("ws"))  # at most `size` words a window
-    met = grouped.select(F.explode("ws").alias("wa"), "ws").select("wa", F.explode("ws").alias("wb")).where("wa <> wb").join(F.broadcast(wanted), ["wa", "wb"]).groupBy("wa", "wb").agg(F.count("*").alias("c"))
-    j = pairs.join(met, ["wa", "wb"], "left").join(single.select(F.col("w").alias("wa"), F.col("c").alias("ca")), "wa", "left").join(single.select(F.col("w").alias("wb"), F.col("c").alias("cb")), "wb", "left").crossJoin(F.broadcast(n))  # a single row
-    p = F.col("c") / F.col("n")
-    v = F.when(F.col("c").isNull(), F.lit(-1.0)).when(F.col("c") == F.col("n"), F.lit(1.0)).otherwise(F.ln(p / (F.col("ca") / F.col("n") * F.col("cb") / F.col("n"))) / -F.ln(p))
-    return j.groupBy("id").agg(F.avg(v).alias("npmi"))
+    windows; pairs that never meet count -1. docs: doc_id, sentence; topics: id, words array. No row for under two words."""
+    rows, words = _listed(topics, k)
+    n, counts = cooccurrence(docs, words, size)
+    place = {w: i for i, w in enumerate(words)}
+    out = []
+    for r in rows:
+        at = np.array([place[w] for w in r.w or []], np.int64)
+        i, j = np.triu_indices(len(at), 1)
+        if not len(i):
+            continue
+        c = np.where(at[i] == at[j], 0, counts[at[i], at[j]])
+        with np.errstate(divide="ignore", invalid="ignore"):
+            v = np.log(c * n / (counts[at[i], at[i]] * counts[at[j], at[j]])) / -np.log(c / n)
+        out.append((r.id, float(np.where(c == 0, -1.0, np.where(c == n, 1.0, v)).mean())))
+    return topics.sparkSession.createDataFrame(out, StructType([topics.schema["id"], StructField("npmi", DoubleType())]))
 
 
 def context_coherence(docs: DataFrame, topics: DataFrame, k: int = 10, size: int = 110) -> DataFrame:
     """M11. (id, cv): mean cosine of each word's vector of NPMI values against the topic's words with the topic's total
-    vector, over windows of 110 tokens (the published C_v measure)."""
-    words = topics.select("id", F.posexplode(F.slice("words", 1, k)).alias("place", "w"))
-    seen = windows(docs, words, size)
-    toks = docs.where("sentence is not null").select(T.tokens(T.clean(F.col("sentence"))).alias("t")).where("size(t) > 0")
-    n = toks.agg(F.sum(F.greatest(F.size("t") - size + 1, F.lit(1))).alias("n"))
-    single = seen.groupBy("w").agg(F.count("*").alias("c"))
-    pairs = words.alias("a").join(words.alias("b"), F.col("a.id") == F.col("b.id")).select("a.id", F.col("a.w").alias("wa"), F.col("b.w").alias("wb"))
-    grouped = seen.groupBy("doc_id", "at").agg(F.collect_set("w").alias("ws"))
-    met = grouped.select(F.explode("ws").alias("wa"), "ws").select("wa", F.explode("ws").alias("wb")).join(F.broadcast(pairs.select("wa", "wb").distinct()), ["wa", "wb"]).groupBy("wa", "wb").agg(F.count("*").alias("c"))
-    j = pairs.join(met, ["wa", "wb"], "left").join(single.select(F.col("w").alias("wa"), F.col("c").alias("ca")), "wa", "left").join(single.select(F.col("w").alias("wb"), F.col("c").alias("cb")), "wb", "left").crossJoin(F.broadcast(n))  # a single row
-    p = F.coalesce(F.col("c") / F.col("n"), F.lit(0.0)) + 1e-12
-    v = F.when(F.col("ca").isNull() | F.col("cb").isNull(), F.lit(0.0)).otherwise(F.coalesce(F.try_divide(F.ln(p / (F.col("ca") / F.col("n") * F.col("cb") / F.col("n"))), -F.ln(p)), F.lit(0.0)))
-    vec = j.select("id", "wa", "wb", v.alias("v"))
-    total = vec.groupBy("id", "wb").agg(F.sum("v").alias("t"))
-    cos = vec.join(total, ["id", "wb"]).groupBy("id", "wa").agg(F.try_divide(F.sum(F.col("v") * F.col("t")), F.sqrt(F.sum(F.col("v") * F.col("v")) * F.sum(F.col("t") * F.col("t")))).alias("cos"))
-    return cos.groupBy("id").agg(F.avg("cos").alias("cv"))
+    vector, over windows of 110 tokens (the published C_v measure). Words without a window have zeros; null if all have."""
+    rows, words = _listed(topics, k)
+    n, counts = cooccurrence(docs, words, size)
+    place = {w: i for i, w in enumerate(words)}
+    out = []
+    for r in rows:
+        at = np.array([place[w] for w in dict.fromkeys(r.w or [])], np.int64)
+        if not len(at):
+            continue
+        alone = np.diag(counts)[at]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p = counts[np.ix_(at, at)] / n + 1e-12
+            v = np.log(p / np.outer(alone / n, alone / n)) / -np.log(p)
+        v = np.where((alone[:, None] == 0) | (alone[None] == 0) | ~np.isfinite(v), 0.0, v)
+        total = v.sum(0)
+        length = np.linalg.norm(v, axis=1) * np.linalg.norm(total)
+        cos = (v @ total)[length > 0] / length[length > 0]
+        out.append((r.id, float(cos.mean()) if len(cos) else None))
+    return topics.sparkSession.createDataFrame(out, StructType([topics.schema["id"], StructField("cv", DoubleType())]))
 
 
 def macro_quality(topics: DataFrame, docs_by_macro: DataFrame, k: int = 10) -> DataFrame:

@@ -45,9 +45,9 @@ def metric_files(spark: SparkSession, sf: str) -> DataFrame:
     return m.select("method", F.col("n_total").alias("n"), F.round("eta2_macro_balanced", 6).alias("eta2_macro_balanced"), F.round("eta2_macro_balanced_perc", 4).alias("eta2_macro_balanced_perc"))
 
 
-@query(f"with {UNITS} select doc_id, accident_id, sentence, pred_label, macro_id::int macro_id from units")
+@query(f"with {UNITS} select doc_id, accident_id, nullif(sentence, '') sentence, pred_label, macro_id::int macro_id from units")
 def unit_csv(spark: SparkSession, sf: str) -> DataFrame:
-    """Units as CSV with header, found by candidate paths and read with a schema."""
+    """Units as CSV with header, found by candidate paths and read with a schema; CSV doesn't tell empty texts from nulls."""
     at = _folder(spark, "units")
     out = units(spark, sf).select("doc_id", "accident_id", F.lit(None).cast("int").alias("fact_id"), "sentence", F.lit(None).cast("string").alias("accident_summary"), "pred_label", "pred_subtype", "pred_confidence", F.lit("true").alias("pred_ok"), "division", F.lit(None).cast("string").alias("equipment_involved"), "company_code")
     out.write.option("header", True).option("escape", '"').option("quoteAll", True).option("emptyValue", "").option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(f"{at}/units.csv")

@@ -106,7 +106,7 @@ def scenarios_severe(spark: SparkSession, sf: str) -> DataFrame:
 def scenario_examples(spark: SparkSession, sf: str) -> DataFrame:
     m = _matrix(spark, sf)
     v = [c for c in m.columns if c.startswith("Z_")]
-    s = table(spark, sf, "data_metallurgie").where("doc_id is not null and sentence is not null").select("doc_id", "sentence").dropDuplicates(["doc_id"])
+    s = table(spark, sf, "data_metallurgie").where("doc_id is not null and sentence is not null").groupBy("doc_id").agg(F.min("sentence").alias("sentence"))
     return network.examples(m, v, network.scenarios(m, v), _rows(spark, sf).select("doc_id", "accident_id").join(s, "doc_id"))
 
 
@@ -198,6 +198,18 @@ def hill_climb(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(network.hill_climb(m, names, banned, 2, 12), "parent string, child string")
 
 
+@query("select true acyclic, 0 banned, true within_two_parents")
+def hill_climb_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """What every found structure must keep."""
+    m = _matrix(spark, sf)
+    names = network.varying(m, [c for c in m.columns if c.startswith("Z_")] + ["severity_high"])[:8]
+    ranks = {n: n.rsplit("_", 1)[-1] for n in names if n.startswith("Z_")} | {"severity_high": "Severity"}
+    banned = {(r.parent, r.child) for r in network.forbidden(spark, {n: ranks[n] for n in names}).collect()}
+    e = network.hill_climb(m, names, banned, 2, 8)
+    row = (network.acyclic(e), sum(x in banned for x in e), all(sum(c == n for _, c in e) <= 2 for n in names))
+    return spark.createDataFrame([row], "acyclic boolean, banned int, within_two_parents boolean")
+
+
 EDGES = [("M_A0", "M_A1"), ("M_A1", "M_B"), ("M_B", "M_C"), ("M_C", "severity_high"), ("M_A0", "severity_high")]
 EDGE_SQL = "e as (select unnest([" + ", ".join(f"{{'parent': '{a}', 'child': '{b}'}}" for a, b in EDGES) + "], recursive := true))"
 
@@ -234,7 +246,21 @@ def hold_out(spark: SparkSession, sf: str) -> DataFrame:
     return splits.hold_out(units(spark, sf), "accident_id", 0.2).groupBy("is_validation").agg(F.count("*").alias("n"), F.count_distinct("accident_id").alias("accidents"))
 
 
-@query()
+@query(f"with {UNITS} select count(*) n, count(distinct accident_id) accidents, 0::bigint accidents_in_two_folds, 5::bigint folds from units")
+def group_kfold_rules(spark: SparkSession, sf: str) -> DataFrame:
+    """Every row in a fold, every group whole."""
+    f = splits.group_folds(units(spark, sf), "accident_id", 5)
+    torn = f.where("accident_id is not null").groupBy("accident_id").agg(F.count_distinct("fold").alias("k")).where("k > 1").agg(F.count("*").alias("accidents_in_two_folds"))
+    return f.agg(F.count("*").alias("n"), F.count_distinct("accident_id").alias("accidents"), F.count_distinct("fold").alias("folds")).crossJoin(F.broadcast(torn))  # one row each
+
+
+@query(f"with {UNITS}, g as (select count(distinct accident_id) n from units) select true is_validation, ceil(0.2 * n)::bigint accidents from g union all select false, (n - ceil(0.2 * n))::bigint from g")
+def hold_out_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """The number of groups held out."""
+    return splits.hold_out(units(spark, sf), "accident_id", 0.2).groupBy("is_validation").agg(F.count_distinct("accident_id").alias("accidents"))
+
+
+@query(f"with {UNITS} select pred_label, least(count(*), 100) n from units group by 1")
 def stratified_sample(spark: SparkSession, sf: str) -> DataFrame:
     return splits.stratified_sample(units(spark, sf), "pred_label", 400).groupBy("pred_label").agg(F.count("*").alias("n"))
 

@@ -156,7 +156,7 @@ TARGET = """target as (select doc_id, any_value(sentence) sentence from data_met
 
 
 def _target(spark: SparkSession, sf: str) -> DataFrame:
-    s = table(spark, sf, "data_metallurgie").where("doc_id is not null and sentence is not null").select("doc_id", "sentence").dropDuplicates(["doc_id"])
+    s = table(spark, sf, "data_metallurgie").where("doc_id is not null and sentence is not null").groupBy("doc_id").agg(F.min("sentence").alias("sentence"))
     return predictions(spark, sf).where("z_hat is not null").select("doc_id", "z_hat", "pred_label", "pred_severity", "z_confidence").join(s, "doc_id", "left")
 
 
@@ -250,7 +250,7 @@ def npmi(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "data_metallurgie").where("doc_id is not null and sentence is not null").select("doc_id", "sentence").dropDuplicates(["doc_id"])
+    return table(spark, sf, "data_metallurgie").where("doc_id is not null and sentence is not null").groupBy("doc_id").agg(F.min("sentence").alias("sentence"))
 
 
 @query()
@@ -258,8 +258,14 @@ def cv_coherence(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(quality.context_coherence(_docs(spark, sf), _topic_table(spark, sf).where("size(words) > 0")), 5)
 
 
-@query("""select run_id, z_id, list_filter(list_distinct(list_transform(regexp_split_to_array(coalesce(top_words, ''), '[\\s,;]+'), lambda w: lower(trim(w)))), lambda w: len(w) >= 3 and not regexp_full_match(w, '[0-9]+') and not list_contains(STOP, w)) words_unordered, len(list_filter(regexp_split_to_array(coalesce(top_sentences, ''), '\\s*\\|\\|\\s*'), lambda s: trim(s) <> ''))::int n_sentences from themes_by_z""".replace("STOP", "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]").replace("list_filter(list_distinct", "list_sort(list_filter(list_distinct", 1).replace(") words_unordered", ")) words", 1))
+STOP_LIST = "[" + ", ".join(f"'{w}'" for w in T.STOP_WORDS) + "]"
+
+
+@query(
+    f"""with w as (select run_id, z_id, list_transform(regexp_split_to_array(coalesce(top_words, ''), '[\\s,;]+'), lambda w: lower(trim(w))) w, regexp_split_to_array(coalesce(top_sentences, ''), '\\s*\\|\\|\\s*') s from themes_by_z)
+    select run_id, z_id, list_sort(list_distinct(list_filter(w, lambda w: len(w) >= 3 and not regexp_full_match(w, '[0-9]+') and not list_contains({STOP_LIST}, w)))) words, len(list_filter(s, lambda s: trim(s) <> ''))::int n_sentences from w"""
+)
 def theme_export(spark: SparkSession, sf: str) -> DataFrame:
     """H8, H9 on the older theme export: distinct valid words in alphabetical order, number of sentences."""
     t = table(spark, sf, "themes_by_z")
-    return t.select("run_id", "z_id", F.array_sort(T.packed_words(F.col("top_words"))).alias("words"), F.size(T.packed_sentences(F.col("top_sentences"), 1000)).alias("n_sentences"))
+    return t.select("run_id", "z_id", F.array_sort(T.packed_words(F.col("top_words"))).alias("words"), F.size(T.packed_sentences(F.col("top_sentences"))).alias("n_sentences"))
