@@ -44,7 +44,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     predictions = _read(spark, sf, "metadata_with_malt_predictions")
     records, topics = clusters(_read(spark, sf, "qwen3_embedding"), predictions.select("doc_id", "z_hat"))
     wanted = predictions.select("doc_id").where("doc_id is not null").distinct()
-    return records.join(wanted, "doc_id").join(topics.where("z_cluster is not null"), "cluster").select("doc_id", "z_cluster")
+    return records.join(wanted.hint("merge"), "doc_id").join(topics.where("z_cluster is not null"), "cluster").select("doc_id", "z_cluster")
 
 
 def p3_found(spark: SparkSession, sf: str) -> DataFrame:
