@@ -6,8 +6,9 @@ rule out most pairs of the rest.
 
 Lists of classes that are nearly all alike aren't worked off pair by pair. The answers of a set are derived from those of a
 similar one: each class of such a list is compared with a leader only (a class that no earlier leader may be
-similar to is the next one). Computed answers join the classes to groups; what they leave open, pairs of different
-groups, is compared in a second round, so no link between groups is lost.
+similar to is the next one), and where candidates are many, one of each class is computed before the others. Computed answers
+join the classes to groups; what they leave open, pairs of different groups, is compared afterwards, so no link between
+groups is lost.
 """
 
 from __future__ import annotations
@@ -38,9 +39,29 @@ def lists_of(shard: Shard) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def self_pairs(shard: Shard, unit: float, dense: int = DENSE) -> Iterator[tuple[np.ndarray, np.ndarray] | bytes]:
-    """Pairs of classes that may qualify, and dense lists as bytes; of lists with the same classes only one."""
+    """Pairs of classes that may qualify, and dense lists as bytes. What lies within a dense list that is kept already is
+    left to that one, pairs of short lists and whole lists alike."""
     doc, first, end = lists_of(shard)
     length = end - first
+    kept = Kept(len(shard.cls))
+    long = np.flatnonzero(length > SMALL)
+    for at in long[np.argsort(-length[long], kind="stable")]:
+        members = np.sort(doc[first[at] : end[at]])
+        if kept.covers(members):
+            continue
+        found, n = [], 0
+        for i, j in by_size(shard, unit, members):
+            found.append((np.minimum(i, j), np.maximum(i, j)))
+            n += len(i)
+            if n > dense * len(members):
+                break
+        else:
+            yield from found
+            continue
+        yield from by_leaders(shard, unit, members, kept.joined)
+        kept.add(members)
+    for members in kept.lists():
+        yield Shard.pack(shard.cls[members], shard.sig[members], shard.size[members], shard.side[members])
     # short lists: all their pairs at once, in chunks
     short = (length > 1) & (length <= SMALL)
     n = length[short]
@@ -54,26 +75,35 @@ def self_pairs(shard: Shard, unit: float, dense: int = DENSE) -> Iterator[tuple[
         left = np.repeat(place[lo:hi], n)
         right = left + 1 + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         i, j = doc[left], doc[right]
+        ok = (kept.of[i] != kept.of[j]) | ~kept.dense[i]
+        i, j = i[ok], j[ok]
         ok = close(shard, unit, i, j)
-        yield np.minimum(i[ok], j[ok]), np.maximum(i[ok], j[ok])
+        i, j = i[ok], j[ok]
+        yield np.minimum(i, j), np.maximum(i, j)
         lo = hi
-    done = set()
-    for f, e in zip(first[length > SMALL], end[length > SMALL]):
-        members = np.sort(doc[f:e])
-        if (name := members.tobytes() if len(members) < 64 else int(ws.mix(members.astype(ws.U) + ws.mix(np.arange(len(members)))).sum())) in done:
-            continue
-        done.add(name)
-        found, n = [], 0
-        for i, j in by_size(shard, unit, members):
-            found.append((np.minimum(i, j), np.maximum(i, j)))
-            n += len(i)
-            if n > dense * len(members):
-                break
-        else:
-            yield from found
-            continue
-        yield from by_leaders(shard, unit, members)
-        yield Shard.pack(shard.cls[members], shard.sig[members], shard.size[members], shard.side[members])
+
+
+class Kept:
+    """The dense lists that a shard keeps; lists that share a class become one, so a class is kept once."""
+
+    def __init__(self, n: int) -> None:
+        self.dense = np.zeros(n, bool)
+        self.of = np.arange(n)
+        self.joined = np.arange(n)  # which classes leaders have joined
+
+    def covers(self, members: np.ndarray) -> bool:
+        """Are all of a list's classes in one kept list?"""
+        return bool(self.dense[members[0]] and (self.of[members] == self.of[members[0]]).all())
+
+    def add(self, members: np.ndarray) -> None:
+        self.dense[members] = True
+        self.of[np.isin(self.of, np.unique(self.of[members]))] = self.of[members[0]]
+
+    def lists(self) -> Iterator[np.ndarray]:
+        at = np.flatnonzero(self.dense)
+        at = at[np.argsort(self.of[at], kind="stable")]
+        cuts = np.flatnonzero(np.diff(self.of[at])) + 1
+        yield from (x for x in np.split(at, cuts) if len(x))
 
 
 def by_size(shard, unit: float, members: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -92,13 +122,20 @@ def by_size(shard, unit: float, members: np.ndarray) -> Iterator[tuple[np.ndarra
             yield i, j
 
 
-def by_leaders(shard, unit: float, members: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def by_leaders(shard, unit: float, members: np.ndarray, joined: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a dense list with leaders, but for those whose ends earlier pairs join; joined: a label for each class."""
     left = members
     while len(left) > 1:
-        lead, left = left[:1], left[1:]
-        ok = close(shard, unit, np.repeat(lead, len(left)), left)
-        yield np.repeat(lead, ok.sum()), left[ok]
+        lead, left = left[0], left[1:]
+        ok = close(shard, unit, np.full(len(left), lead), left)
+        mine = left[ok]
         left = left[~ok]
+        # of the classes that are joined among themselves one is enough
+        label, at = np.unique(joined[mine], return_index=True)
+        new = label != joined[lead]
+        if new.any():
+            yield np.full(int(new.sum()), lead), mine[at[new]]
+            joined[np.isin(joined, label[new])] = joined[lead]
 
 
 class Listed:
@@ -146,6 +183,13 @@ def open_pairs(dense: DataFrame, comp: DataFrame, unit: float) -> DataFrame:
     return full.select("list", "class", "sig", "size", "component").groupBy("list").applyInArrow(compare, "a long, b long").distinct()
 
 
+def unjoined(pairs: DataFrame, comp: DataFrame) -> DataFrame:
+    """The pairs whose ends are in different components."""
+    a, b = (comp.select(F.col("node").alias(c), F.col("component").alias(f"_{c}")) for c in ("a", "b"))
+    full = pairs.join(a, "a", "left").join(b, "b", "left")
+    return full.where("_a is null or _b is null or _a <> _b").select(pairs.columns)
+
+
 def near_duplicates(docs: DataFrame, threshold: float = 0.8, dense: int = DENSE) -> DataFrame:
     """(doc_id, group_doc_id): every record of a group of two or more, with the group's smallest doc_id.
 
@@ -155,7 +199,15 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.8, dense: int = DENSE)
     """
     docs = docs.select("doc_id", F.col("text"), F.lit(1).alias("side")).where("doc_id is not null and text is not null")
     found, members = candidates(docs, threshold, lambda shard, unit: self_pairs(shard, unit, dense))
-    links = cut(verified(docs, members, merged(found), threshold).select("a", "b"))
+    pairs = cut(merged(found))
+    if pairs.count() > members.count():
+        # many candidates: one of each class is computed first, and of the rest those whose ends computed links don't join
+        first = pairs.groupBy("b").agg(F.min("a").alias("a")).join(pairs, ["a", "b"])
+        links = cut(verified(docs, members, cut(first.select(pairs.columns)), threshold).select("a", "b"))
+        pairs = cut(unjoined(pairs, components(links)))
+        links = cut(links.union(verified(docs, members, pairs, threshold).select("a", "b")))
+    else:
+        links = cut(verified(docs, members, pairs, threshold).select("a", "b"))
     comp = components(links)
     lists = found.where("work is not null")
     if not lists.isEmpty():
