@@ -293,7 +293,8 @@ def candidates(docs: DataFrame, threshold: float, search: Callable) -> tuple[Dat
     state = spark.sparkContext.broadcast(frequency_states(docs, rows))
     members = cut(members_of(docs, state, unit))
     ends = members.agg(F.max("slack"), F.min("slack")).first()
-    most, least = float(ends[0] or 0) + 1e-4, float(ends[1] or 0) - 1e-4
+    # slacks come as 32-bit floats
+    most, least = (float(x or 0) + sign * (1e-3 + 1e-6 * abs(x or 0)) for x, sign in zip(ends, (1, -1)))
     parts = max(spark.sparkContext.defaultParallelism, rows // 60_000)
 
     def join(batches):

@@ -28,7 +28,7 @@ FIELDS = set(
     firma ort maschine unfalldatum aktenzeichen vorgesetzter vorgesetzte anschrift datum abteilung mitarbeiter""".split()
 )
 # Stems of instructions to fill something in.
-FILL_IN = r"(?:compl[eéè]t|renseign|pr[eé]cis|rempli|saisi|ins[eé]r|fill|enter\b|specif|especific|rellen|introduc|ausf[uü]ll|auszuf|eingeb|eintrag|einzutrag|angeb|anzugeb|insert|indiqu|indicar|to be (?:completed|defined|specified|confirmed)|à d[eé]finir)"
+FILL_IN = r"(?:compl[eéè]t|renseign|pr[eé]cis|rempli|saisi|ins[eé]r|fill|enter\b|specif|especific|rellen|introduc|ausf[uü]ll|auszuf|eingeb|eintrag|einzutrag|angeb|anzugeb|insert|indiqu|indicar|indicate\b|erg[aä]nz|nachzutrag|nachtrag|hinzuzuf|einzuf[uü]g|beschreiben\b|añad|agregar|ajouter|d[ée]crire\b|please\b|veuillez|bitte\b|por favor|to be (?:added|completed|defined|specified|confirmed)|à d[eé]finir)"
 NAME = r"[\p{L}_][\p{L}_ ]{0,30}"
 STRONG = regex.compile(rf"\{{\{{\s*({NAME})\s*\}}\}}|\$\{{\s*({NAME})\s*\}}|<%=?\s*({NAME})\s*%>|@@({NAME})@@|(?<![\p{{L}}\d_])__(\p{{L}}[\p{{L}}_ ]{{1,30}}?)__(?![\p{{L}}\d_])|\{{(\d{{1,2}})\}}")
 WEAK = regex.compile(rf"\[\[\s*({NAME})\s*\]\]|«(?=\S)({NAME})(?<=\S)»|<({NAME})>|\[({NAME})\]|%({NAME})%|#({NAME})#|(?<![{{$])\{{({NAME})\}}(?!\}})|<<\s*({NAME})\s*>>|\$({NAME})\$")
@@ -36,10 +36,10 @@ BRACKETED = regex.compile(r"[(\[<]([^()\[\]<>]{2,80})[)\]>]|\*{3}([^*\n]{2,60})\
 INSTRUCTION = regex.compile(rf"^.{{0,24}}{FILL_IN}.{{0,40}}$", regex.I | regex.S)
 UNSET = regex.compile(r"(?<![\w/])(?:XX/XX/XX(?:XX)?|JJ/MM/AAAA|TT\.MM\.JJJJ|DD/MM/(?:YYYY|AAAA))(?![\w/])|(?<!\w)TBD(?:-FIELD)?(?!\w)|(?<=[:(,]\s?)(?:null|NaN|None)(?=\s*(?:[.,;)\n]|$))|_{4,}|(?<=:\s*)\.{5,}|(?<!\w)XX+\s?[hH:]\s?XX+(?!\w)|(?<![\w-])X{4,}(?![\w-])|(?<!\w)#(?:N/A|REF!|VALUE!|NAME\?)|(?<=:\s*)\?{3,}")
 UNDEFINED = regex.compile(r"(?<![\w$])undefined(?!\w)", regex.I)
-ADJECTIVE = regex.compile(r"(?:left|leaves?|remain\w*|been|being|still|stay\w*|quite|largely|otherwise)\s+$", regex.I)
+ADJECTIVE = regex.compile(r"\b(?:left|leaves?|remain\w*|been|being|still|stay\w*|quite|largely|otherwise)\s+$", regex.I)
 TODO = regex.compile(r"(?<![\w«\"“'‘])(?<![«\"“]\s)TODO(?![\w»\"”'’])(?!\s[»\"”])(?!\W{0,2}(?:-|\s)?(?:list|liste|lista)\b)")
-LIST = regex.compile(r"(?:list|liste|lista)\s+\S{0,3}$", regex.I)
-MENTION = regex.compile(r"(?:rep[eè]re|marqueur|balise|marker|placeholder|marcador|marca|platzhalter|marke|variable|template|mod[eè]le|plantilla|vorlage|champ|campo|feld|syntax\w*|sintaxis)\P{L}{0,4}(?:\p{L}{1,10}\P{L}{1,3}){0,2}$", regex.I)
+LIST = regex.compile(r"\b(?:list|liste|lista)\s+\S{0,3}$", regex.I)
+MENTION = regex.compile(r"(?<!\p{L})(?:rep[eè]re|marqueur|balise|marker|placeholder|marcador|marca|platzhalter|marke|variable|template|mod[eè]le|plantilla|vorlage|champ|campo|feld|syntax\w*|sintaxis)\P{L}{0,4}(?:\p{L}{1,10}\P{L}{1,3}){0,2}$", regex.I)
 CODE = regex.compile(r"```.*?(?:```|\Z)|<(code|pre)\b.*?</\1>", regex.S | regex.I)
 TUTORIAL = regex.compile(r"\b(?:tutorial|tutoriel|handlebars|mustache|jinja|moteur de (?:gabarit|template)s?|template engine|syntax|syntaxe)\b", regex.I)
 #: What a text must hold for a grammar to be tried at all.

@@ -159,6 +159,10 @@ def test_every_message_has_a_stem():
 def test_more_placeholders_and_messages():
     for t in ("Le {nom} a été blessé.", "Victime : <<prénom>>.", "Le $lieu$ de l'accident.", "Heure : XXhXX.", "Poste XXXX.", "Coût : #N/A", "Lieu : ???"):
         assert kind_of(t) == "place", t
+    # a name that ends like a word of mention is none
+    for t in ("À Tamgrissechamp, __lieu__ travaillait seul.", "La résidence de Flaronochamp.\n\nLa {{ équipement }} a cédé.", "Datum des Ereignisses: *** ERGÄNZEN ***", "Le poste (veuillez indiquer) était vide."):
+        assert kind_of(t) == "place", t
+    assert kind_of("Le champ {{site}} du modèle a été corrigé avant envoi, rappelle la note.") is None
     for t in ("Something went wrong. Please try again.", "Une erreur s'est produite.", "Es ist ein Fehler aufgetreten.", "Se ha producido un error."):
         assert kind_of(t) == "page", t
     for t in ("Le XXe siècle, le chantier {no 12} et 5 $ par jour.", "La machine coûte 3 $ et la pièce 4 $ de plus."):
