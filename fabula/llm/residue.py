@@ -207,7 +207,9 @@ def is_filler(text: str, low: str, phrase: bool) -> bool:
         else:
             filler += sum(w in FILLER_WORDS or w.isdigit() for w in words)
             sure += sum(w in SURE_FILLER for w in words)
-            sure += 3 * len(AGAIN.findall(s))
+            again = sum(len(WORD.findall(m[0])) for m in AGAIN.finditer(s))
+            filler += again
+            sure += again
         for w in words:
             seen[w] = seen.get(w, 0) + 1
     if total == 0:

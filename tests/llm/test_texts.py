@@ -159,6 +159,7 @@ def test_every_message_has_a_stem():
 def test_more_placeholders_and_messages():
     for t in ("Le {nom} a été blessé.", "Victime : <<prénom>>.", "Le $lieu$ de l'accident.", "Heure : XXhXX.", "Poste XXXX.", "Coût : #N/A", "Lieu : ???"):
         assert kind_of(t) == "place", t
+    assert kind_of("description, description, description, description") == "filler" and kind_of("Il a plu très, très, très fort sur le chantier de la gare.") is None
     # a name that ends like a word of mention is none
     for t in ("À Tamgrissechamp, __lieu__ travaillait seul.", "La résidence de Flaronochamp.\n\nLa {{ équipement }} a cédé.", "Datum des Ereignisses: *** ERGÄNZEN ***", "Le poste (veuillez indiquer) était vide."):
         assert kind_of(t) == "place", t
