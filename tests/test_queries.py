@@ -31,9 +31,9 @@ def con():
 def test_query(spark, con, name):
     df = all_queries()[name](spark, SF)
     cols = sorted(df.columns)
-    got = sorted(tuple(map(norm, r)) for r in df.select(*cols).collect())
+    got = sorted((tuple(map(norm, r)) for r in df.select(*cols).collect()), key=repr)
     rel = con.execute(f"select {', '.join(chr(34) + c + chr(34) for c in cols)} from ({all_sql()[name]})")
-    assert got == sorted(tuple(map(norm, r)) for r in rel.fetchall())
+    assert got == sorted((tuple(map(norm, r)) for r in rel.fetchall()), key=repr)
 
 
 def test_entry_imports_without_llm():
