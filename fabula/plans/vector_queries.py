@@ -97,8 +97,13 @@ def silhouette(spark: SparkSession, sf: str) -> DataFrame:
 # posteriors: labels from the source corpus, topics from the target corpus -------------------------------------------------
 
 
+def _held(prototypes: DataFrame) -> DataFrame:
+    """Prototypes, a row a label or topic, computed once for all their uses in a query."""
+    return prototypes.sparkSession.createDataFrame(prototypes.collect(), prototypes.schema)
+
+
 def _labels(spark: SparkSession, sf: str) -> DataFrame:
-    return posterior.prototypes(embedded(labelled(spark, sf).drop("macro_id")), "label")
+    return _held(posterior.prototypes(embedded(labelled(spark, sf).drop("macro_id")), "label"))
 
 
 def _topic_rows(spark: SparkSession, sf: str) -> DataFrame:
@@ -107,7 +112,7 @@ def _topic_rows(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _topics(spark: SparkSession, sf: str) -> DataFrame:
-    return posterior.prototypes(_topic_rows(spark, sf), "z_hat")
+    return _held(posterior.prototypes(_topic_rows(spark, sf), "z_hat"))
 
 
 MU = f"""{UNITS}, {VECTORS}, {UNIT_VECTORS}, {PREDICTIONS},
@@ -129,7 +134,7 @@ def _zx(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _yz(spark: SparkSession, sf: str) -> DataFrame:
-    return posterior.topic_labels(_topics(spark, sf), _labels(spark, sf))
+    return _held(posterior.topic_labels(_topics(spark, sf), _labels(spark, sf)))
 
 
 @query(f"with {MU} select doc_id, arg_max(z, (round(p, 9), -z))::int z_hat, round(max(p), 5) z_confidence from zx group by doc_id")
@@ -205,7 +210,7 @@ def scgm_losses(spark: SparkSession, sf: str) -> DataFrame:
 )
 def malt_losses(spark: SparkSession, sf: str) -> DataFrame:
     topics, labels = _topics(spark, sf), _labels(spark, sf)
-    return rounded(posterior.transfer_sums(_topic_rows(spark, sf), topics, labels, posterior.topic_labels(topics, labels)), 5)
+    return rounded(posterior.transfer_sums(_topic_rows(spark, sf), topics, labels, _held(posterior.topic_labels(topics, labels))), 5)
 
 
 @query(
