@@ -19,7 +19,10 @@ from pyspark.sql import functions as F
 from .overlap import Shard, candidates, close, merged, verified
 
 TRAIN, EVALUATION = 1, 2
-CHUNK = 1_000_000
+#: Occurrences worked off at once, so few that their arrays stay in the cache; those that signatures let pass are held up to HELD.
+CHUNK, HELD = 100_000, 500_000
+#: Places ranked at once.
+RANKED = 1 << 15
 U = np.uint64
 
 
@@ -44,11 +47,14 @@ class WaveletMatrix:
 
     def rank(self, code: np.ndarray, i: np.ndarray) -> np.ndarray:
         """Place of i in the order of the last level: a code's start there plus its number before i."""
-        i = i.astype(np.int64)
-        for k in range(self.levels):
-            one = self.ones(k, i)
-            i = np.where(code >> (self.levels - 1 - k) & 1, self.zeros[k] + one, i - one)
-        return i
+        out = i.astype(np.int64)
+        for p in range(0, len(out), RANKED):
+            i, part = out[p : p + RANKED], code[p : p + RANKED]
+            for k in range(self.levels):
+                one = self.ones(k, i)
+                i = np.where(part >> (self.levels - 1 - k) & 1, self.zeros[k] + one, i - one)
+            out[p : p + RANKED] = i
+        return out
 
     def take(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The codes at i, and `rank` of each."""
@@ -80,10 +86,11 @@ class FullTextIndex:
         order, step = np.argsort(rank, kind="stable"), 1
         while n and step <= left.max():
             after = np.where(left >= step, rank[np.minimum(np.arange(n) + step, n - 1)], -n - 1)
-            order = np.lexsort((after, rank))
-            r, a = rank[order], after[order]
+            both = (rank + n) * (2 * max(n, codes) + 2) + after + n + 1
+            order = np.argsort(both)
+            both = both[order]
             new = np.zeros(n, np.int64)
-            new[order] = np.cumsum(np.r_[0, (r[1:] != r[:-1]) | (a[1:] != a[:-1])])
+            new[order] = np.cumsum(np.r_[0, both[1:] != both[:-1]])
             if new[order[-1]] == n - 1:
                 break
             rank, step = new, step * 2
@@ -125,28 +132,37 @@ class FullTextIndex:
         return length
 
 
-def distinct(x: np.ndarray) -> np.ndarray:
-    x = np.sort(x)
-    return x[np.r_[True, x[1:] != x[:-1]]] if len(x) else x
-
-
 def cross_pairs(shard: Shard, unit: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(training, evaluation, matched symbols) of the maximal matches of classes of a shard that may qualify."""
     ev, tr = ((shard.side[shard.doc] & side) > 0 for side in (EVALUATION, TRAIN))
-    known = distinct(shard.sym[ev])
-    known = known[np.isin(known, distinct(shard.sym[tr]), assume_unique=True, kind="sort")]
-    if not len(known):
+    # symbols of both sides get codes 1..codes in order of the symbols
+    at = np.sort(shard.sym.astype(U) << U(32) | np.arange(len(shard.sym), dtype=U))
+    sym, at = at >> U(32), (at & U(0xFFFFFFFF)).astype(np.int64)
+    starts = np.flatnonzero(np.r_[True, sym[1:] != sym[:-1]][: len(sym)])
+    if not len(starts):
         return
-    code = np.searchsorted(known, shard.sym)
-    both = known[np.minimum(code, len(known) - 1)] == shard.sym
-    code += 1
+    shared = np.logical_or.reduceat(ev[at], starts) & np.logical_or.reduceat(tr[at], starts)
+    codes = int(shared.sum())
+    if not codes:
+        return
+    code = np.zeros(len(sym), np.int64)
+    code[at] = np.repeat(np.where(shared, np.cumsum(shared), 0), np.diff(starts, append=len(sym)))
+    both = code > 0
     names, string = np.unique(shard.doc[ev & both], return_inverse=True)
-    index = FullTextIndex(string, code[ev & both], len(known))
+    index = FullTextIndex(string, code[ev & both], codes)
     doc, text = shard.doc[tr & both], code[tr & both]
     new = np.r_[True, doc[1:] != doc[:-1]]
     first = np.maximum.accumulate(np.where(new, np.arange(len(doc)), 0))
     room = (shard.size * unit + 1e-4).astype(np.float32)
-    sign, spare = shard.sig[names, 0][index.owner], room[names][index.owner]
+    sign, spare = [shard.sig[names, k][index.owner] for k in (0, 1)], room[names][index.owner]
+    mine, left = [shard.sig[doc, k] for k in (0, 1)], room[doc]
+    held: list[tuple[np.ndarray, ...]] = []
+
+    def matches():
+        i, j, where, row = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        return i, j, index.matched(text, first[where], where, row)
+
     lo, hi = index.interval(text)
     # where the match goes on with the next symbol, its occurrences belong to a longer match
     inner_lo, inner_hi = lo.copy(), lo.copy()
@@ -169,15 +185,20 @@ def cross_pairs(shard: Shard, unit: float) -> Iterator[tuple[np.ndarray, np.ndar
             n[-1] -= int(total[q]) - stop
             sums = np.cumsum(n)
             row = np.arange(sums[-1]) + np.repeat(start - sums + n, n)
-            # one word of the signatures first, for the evaluation side in the order of the rows
-            apart = np.bitwise_count(np.repeat(shard.sig[doc[u], 0], n) ^ sign[row])
-            at = np.flatnonzero(apart <= np.repeat(room[doc[u]], n) + spare[row])
+            # two words of the signatures first, for the evaluation side in the order of the rows
+            apart = np.bitwise_count(np.repeat(mine[0][u], n) ^ sign[0][row])
+            apart += np.bitwise_count(np.repeat(mine[1][u], n) ^ sign[1][row])
+            at = np.flatnonzero(apart <= np.repeat(left[u], n) + spare[row])
             row, where = row[at], u[np.searchsorted(sums, at, "right")]
             i, j = doc[where], names[index.owner[row]]
             ok = np.flatnonzero(i != j)
             ok = ok[close(shard, unit, i[ok], j[ok])]
-            yield i[ok], j[ok], index.matched(text, first[where[ok]], where[ok], row[ok])
+            held.append((i[ok], j[ok], where[ok], row[ok]))
+            if sum(len(x[0]) for x in held) > HELD:
+                yield matches()
             done, p = stop, q if int(total[q]) > stop else q + 1
+    if held:
+        yield matches()
 
 
 def cross_split(docs: DataFrame, threshold: float = 0.8) -> DataFrame:

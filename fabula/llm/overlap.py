@@ -22,7 +22,7 @@ from ..session import cut
 from . import wordsets as ws
 
 #: Texts are worked off in pieces of about so many characters (one longer text is one piece).
-PIECE_CHARS = 1_500_000
+PIECE_CHARS = 250_000
 RANGES = 64
 #: A word in more than this share of the rows, within these bounds of rows, is frequent. Any value gives the same result.
 RARE_SHARE, RARE_LEAST, RARE_MOST = 0.0025, 64, 16_384
@@ -35,7 +35,7 @@ PAIRS = "a long, b long, spans int, matched int, work binary"
 
 def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list]]:
     for batch in batches:
-        texts = batch.column("text").to_pylist()
+        texts = batch.column("text").to_numpy(zero_copy_only=False).tolist()
         ends = np.cumsum([len(t or "") + 1 for t in texts]) // PIECE_CHARS
         cuts = np.flatnonzero(np.diff(ends, prepend=0)) if len(ends) else []
         at = sorted({0, *map(int, cuts), *range(0, len(texts), ws.PIECE_RECORDS), len(texts)})
@@ -118,25 +118,24 @@ class Shard:
         return b"".join([head, *parts, count.astype(np.uint32).tobytes(), np.asarray(sym, np.uint32).tobytes()])
 
     def __init__(self, blobs: list[bytes]) -> None:
-        got, doc, sym, base = {k: [] for k, _, _ in self.FIELDS}, [], [], 0
+        got, count, sym = {k: [] for k, _, _ in self.FIELDS}, [], []
         for b in blobs:
             (nd, ne), at = np.frombuffer(b, np.int64, 2), 16
             for k, t, w in self.FIELDS:
                 x = np.frombuffer(b, t, nd * w, at)
                 got[k].append(x.reshape(nd, w) if w > 1 else x)
                 at += x.nbytes
-            doc.append(np.repeat(np.arange(nd) + base, np.frombuffer(b, np.uint32, nd, at)))
+            count.append(np.frombuffer(b, np.uint32, nd, at))
             sym.append(np.frombuffer(b, np.uint32, ne, at + 4 * nd))
-            base += int(nd)
         self.cls, first, inverse = np.unique(np.concatenate(got["cls"]), return_index=True, return_inverse=True)
         self.sig, self.size = (np.concatenate(got[k])[first] for k in ("sig", "size"))
         self.side = np.zeros(len(self.cls), np.uint8)
         np.bitwise_or.at(self.side, inverse, np.concatenate(got["side"]))
-        doc, sym = inverse[np.concatenate(doc)], np.concatenate(sym)
-        # of a class that several tasks sent, the first entry of a symbol
-        keep = np.sort(np.unique((doc.astype(U) << U(32)) | sym, return_index=True)[1])
-        keep = keep[np.argsort(doc[keep], kind="stable")]
-        self.doc, self.sym = doc[keep], sym[keep]
+        # a class that several tasks sent has the same symbols from all of them; the first entry counts
+        count = np.concatenate(count).astype(np.int64)
+        start, n = (np.cumsum(count) - count)[first], count[first]
+        self.doc = np.repeat(np.arange(len(first)), n)
+        self.sym = np.concatenate(sym)[np.arange(len(self.doc)) + np.repeat(start - np.cumsum(n) + n, n)]
 
 
 def shards_of(docs: DataFrame, state, unit: float, most: float, least: float, parts: int) -> DataFrame:
@@ -148,12 +147,15 @@ def shards_of(docs: DataFrame, state, unit: float, most: float, least: float, pa
         doc = np.concatenate([h[4] + b for h, b in zip(held, base)])
         sym = np.concatenate([h[5] for h in held])
         part = ((sym >> U(32)) % U(parts)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
+        # 16-bit numbers are sorted by radix
+        order = np.argsort(part.astype(np.uint16) if parts <= 1 << 16 else part, kind="stable")
         ends = np.searchsorted(part[order], np.arange(parts + 1))
         for p in range(parts):
             at = order[ends[p] : ends[p + 1]]
             if len(at):
-                who, local = np.unique(doc[at], return_inverse=True)
+                mine = doc[at]  # ascending
+                new = np.r_[True, mine[1:] != mine[:-1]]
+                who, local = mine[new], np.cumsum(new) - 1
                 blob = Shard.pack(cls[who], sig[who], size[who], side[who], local, sym[at] & U(0xFFFFFFFF))
                 yield pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([blob], pa.binary())], ["part", "payload"])
 

@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import unicodedata
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 
@@ -34,20 +35,44 @@ SIGNATURE_WORDS = 3
 U = np.uint64
 
 
+#: What a character gives instead of its folded form: SEP ends a record, MARK is dropped, MULTI needs the text around it.
+SEP, MARK, MULTI = 1, 0xFFFFFFFE, 0xFFFFFFFF
+
+
 @lru_cache(1)
-def _tables() -> tuple[np.ndarray, np.ndarray]:
-    kinds = np.zeros(0x110000, np.uint8)
-    for c in range(0x110000):
-        k = unicodedata.category(chr(c))[0]
-        if k in "LN":
-            kinds[c] = 1
-        elif k == "M":
-            kinds[c] = 2
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(kind, folded form, powers): kind 1 letters and digits, 2 marks, 0 others; the folded form is what a character gives
+    without case and marks, 0 if that is no letter or digit."""
+    kinds, folds = np.zeros(0x110000, np.uint8), np.zeros(0x110000, np.uint32)
+    # the planes between hold no assigned characters, those behind private ones
+    for some in (range(0x40000), range(0xE0000, 0xE1000)):
+        code = np.arange(some.start, some.stop)
+        chars = list(map(chr, some))
+        kinds[code] = [1 if k[0] in "LN" else 2 if k[0] == "M" else 0 for k in map(unicodedata.category, chars)]
+        plain = list(map(unicodedata.normalize, repeat("NFD"), map(str.lower, chars)))
+        folds[code] = np.where(kinds[code] == 1, code, np.where(kinds[code] == 2, MARK, 0))
+        for c in code[np.array(plain, object) != np.array(chars, object)]:
+            left = [x for x in plain[c - some.start] if unicodedata.category(x)[0] != "M"]
+            folds[c] = MULTI if len(left) > 1 else MARK if not left else ord(left[0]) if unicodedata.category(left[0])[0] in "LN" else 0
+    folds[0x03A3] = MULTI  # a capital sigma has two small forms
+    folds[0] = SEP
     powers = np.empty(1 << 12, U)
     powers[0] = 1
     for i in range(1, len(powers)):
         powers[i] = U(int(powers[i - 1]) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
-    return kinds, powers
+    return kinds, folds, powers
+
+
+def folded(joined: str) -> np.ndarray:
+    """Of each character but marks: 0 for what separates words, SEP for what separates records, else its folded form."""
+    kinds, folds, _ = _tables()
+    chars = folds[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
+    most = chars.max(initial=0)
+    if most == MULTI:
+        chars = np.frombuffer(unicodedata.normalize("NFD", joined.lower()).encode("utf-32-le", "surrogatepass"), np.uint32)
+        kind = kinds[chars]
+        return np.where(kind == 1, chars, chars == 0)[kind != 2].astype(np.uint32)
+    return chars[chars != MARK] if most == MARK else chars
 
 
 def mix(h: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -79,19 +104,14 @@ PIECE_RECORDS = 1 << (64 - HASH_BITS)
 def words_of(texts: list[str | None], spoken: list | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(record number, word hash), distinct and sorted, of at most PIECE_RECORDS texts; null texts have no words.
     spoken: gets the same in the order of the texts, with repetitions."""
-    kinds, powers = _tables()
+    powers = _tables()[2]
     joined = "\0".join(["" if t is None else t for t in texts])
     if joined.count("\0") >= len(texts) > 0:
         joined = "\0".join(["" if t is None else t.replace("\0", " ") for t in texts])
-    joined = unicodedata.normalize("NFD", joined.lower())
-    chars = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-    kind = kinds[chars]
-    plain = kind != 2
-    if not plain.all():
-        chars, kind = chars[plain], kind[plain]
-    inside = np.empty(len(kind) + 2, bool)
+    chars = folded(joined)
+    inside = np.empty(len(chars) + 2, bool)
     inside[0] = inside[-1] = False
-    inside[1:-1] = kind == 1
+    np.greater(chars, SEP, out=inside[1:-1])
     edge = np.flatnonzero(inside[1:] != inside[:-1])
     first, length = edge[::2], edge[1::2] - edge[::2]
     if not len(first):
@@ -99,14 +119,15 @@ def words_of(texts: list[str | None], spoken: list | None = None) -> tuple[np.nd
             spoken += [np.empty(0, np.int64), np.empty(0, U)]
         return np.empty(0, np.int64), np.empty(0, U)
     total = np.cumsum(length)
-    at = np.flatnonzero(inside[1:-1])
-    place = np.arange(len(at)) - np.repeat(total - length, length)
+    place = np.arange(total[-1]) - np.repeat(total - length, length)
     with np.errstate(over="ignore"):
-        value = (chars[at] * U(0xC2B2AE3D27D4EB4F) + U(0x165667B19E3779F9)) * powers[place & 4095]
+        value = chars[inside[1:-1]] * U(0xC2B2AE3D27D4EB4F)
+        value += U(0x165667B19E3779F9)
+        value *= powers[place & 4095 if length.max() > 4096 else place]
         if length.max() > 4096:
             value += mix((place >> 12).astype(U)) * (place >= 4096)
         h = mix(np.add.reduceat(value, total - length))
-    record = np.searchsorted(np.flatnonzero(chars == 0), first).astype(U)
+    record = np.searchsorted(np.flatnonzero(chars == SEP), first).astype(U)
     key = (record << U(HASH_BITS)) | (h >> U(64 - HASH_BITS))
     if spoken is not None:
         spoken += [record.astype(np.int64), key << U(64 - HASH_BITS)]
@@ -171,12 +192,11 @@ def symbols(record, h, n: int, state, facts, most: float, least: float, unit: fl
     if spoken is not None and len(r):
         first = np.sort(np.unique(mix(w, 13) ^ mix(r.astype(U), 14), return_index=True)[1])
         r, w = r[first], w[first]
-    who, what, order = [r], [mix(w, 3)], [np.arange(len(r))]
+    who, what = [r], [mix(w, 3)]
     often = kind >= 2
     r, w, place = record[often], h[often], kind[often].astype(np.int64) - 2
     # no partner has more words of its own than that (sizes of similar sets are similar)
     bound = np.minimum(size * (2 * unit / (1 - unit)) - x, slack + most) + 1e-4
-    count = len(order[0])
     for low, high, d in levels(most):
         takes = (bound >= low) & (bound >= 0) & (slack + least < high + 1e-4)
         if not takes.any():
@@ -189,8 +209,9 @@ def symbols(record, h, n: int, state, facts, most: float, least: float, unit: fl
         lap, block = np.divmod(place[use], m)
         block = np.where(lap & 1, m - 1 - block, block)
         cell = number[r[use]] * m + block
-        by = np.argsort(cell, kind="stable")
-        total = group_sum(mix(w[use], 5)[by], cell[by], rows * m).reshape(rows, m)
+        total = np.zeros(rows * m, U)
+        np.add.at(total, cell, mix(w[use], 5))
+        total = total.reshape(rows, m)
         filled = total != 0
         spare = np.minimum(np.floor(bound[takes]), d)
         safe = sum(np.minimum(len(g) - k + 1, filled[:, g].sum(1)) for g in split) > spare
@@ -206,8 +227,6 @@ def symbols(record, h, n: int, state, facts, most: float, least: float, unit: fl
         at, col = np.nonzero(keep)
         who.append(np.flatnonzero(takes)[at])
         what.append(symbol[at, col])
-        order.append(count + col)
-        count += len(left)
-    who, what, order = np.concatenate(who), np.concatenate(what), np.concatenate(order)
-    by = np.lexsort((order, who))
+    who, what = np.concatenate(who), np.concatenate(what)
+    by = np.argsort(who, kind="stable")
     return who[by], what[by]

@@ -8,10 +8,12 @@ import regex
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from fabula.llm import cross_split as cross_split_module
 from fabula.llm import wordsets as ws
 from fabula.llm.components import Joined, components
 from fabula.llm.cross_split import FullTextIndex, cross_split
 from fabula.llm.near_duplicates import near_duplicates
+from fabula.llm.overlap import Shard, close
 
 SCHEMA = "doc_id long, text string, side int, class string, words int, a double"
 
@@ -163,3 +165,34 @@ def test_components(spark):
     for x, y in itertools.combinations(sorted(nodes), 2):
         assert (got[x] == got[y]) == j.same(x, y)
     assert components(spark.createDataFrame([], "a string, b string")).count() == 0
+
+
+def shard_of(n, words, seed, list_of=1):
+    """A shard of n classes of so many words, on sides by turns, all of which sent the symbols of list_of."""
+    rng = np.random.default_rng(seed)
+    h = np.sort(ws.mix(rng.integers(0, 1 << 40, (n, words)).astype(np.uint64)), axis=1)
+    h[1::10, : words - 3] = h[::10, : words - 3]  # every tenth has a partner
+    record = np.repeat(np.arange(n), words)
+    cls, size = ws.class_of(record, h.ravel(), n)
+    return Shard([Shard.pack(cls, ws.signature(record, h.ravel(), n), size, 1 + np.arange(n) % 2, np.repeat(np.arange(n), list_of), np.tile(np.arange(list_of), n))])
+
+
+def test_signatures_rule_out_most_meetings_before_classes_are_looked_up(monkeypatch):
+    looked_up = []
+    monkeypatch.setattr(cross_split_module, "close", lambda shard, unit, i, j: (looked_up.append(len(i)), close(shard, unit, i, j))[1])
+    shard = shard_of(2000, 48, 9)
+    found = {(i, j) for x in cross_split_module.cross_pairs(shard, 0.3 / 1.7) for i, j in zip(x[0].tolist(), x[1].tolist())}
+    a, b = np.meshgrid(np.flatnonzero(shard.side == 1), np.flatnonzero(shard.side == 2), indexing="ij")
+    ok = close(shard, 0.3 / 1.7, a.ravel(), b.ravel())
+    assert found == set(zip(a.ravel()[ok].tolist(), b.ravel()[ok].tolist())) and len(found) >= 200
+    assert sum(looked_up) < 0.02 * 1000 * 1000
+
+
+def test_every_character_folds_as_the_normal_form_does():
+    for t in ["Éáß", "ΟΔΟΣ ΣΑΣ", "한국어 가", "İıǅͅx", "a̸=b\0c̣", "Å\0\0é", "́", ""]:
+        want = []
+        for c in unicodedata.normalize("NFD", t.lower()):
+            k = unicodedata.category(c)[0]
+            if k != "M":
+                want.append(1 if c == "\0" else ord(c) if k in "LN" else 0)
+        assert ws.folded(t).tolist() == want
