@@ -16,11 +16,13 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .overlap import Shard, candidates, close, merged, verified
+from .overlap import Shard, candidates, close, merged, tile, verified
 
 TRAIN, EVALUATION = 1, 2
 #: Occurrences worked off at once, so few that their arrays stay in the cache; those that signatures let pass are held up to HELD.
 CHUNK, HELD = 100_000, 500_000
+#: Symbols of so many meetings, with so many classes a side, are worked off by tiles; classes of either side in a tile.
+TILED, TILE_LEAST, TILE = 1 << 14, 32, (256, 512)
 #: Places ranked at once.
 RANKED = 1 << 15
 U = np.uint64
@@ -132,6 +134,39 @@ class FullTextIndex:
         return length
 
 
+def by_code(text: np.ndarray, which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(code, its places in text) of the codes marked in which."""
+    at = np.flatnonzero(which[text])
+    at = at[np.argsort(text[at], kind="stable")]
+    for places in np.split(at, np.flatnonzero(np.diff(text[at])) + 1) if len(at) else ():
+        yield int(text[places[0]]), places
+
+
+class Sized:
+    """Classes of a list in order of their size, in place of a shard."""
+
+    def __init__(self, shard: Shard, *lists: np.ndarray) -> None:
+        self.order = [np.argsort(shard.size[x], kind="stable") for x in lists]
+        cls = np.concatenate([x[o] for x, o in zip(lists, self.order)])
+        self.sig, self.size = shard.sig[cls], shard.size[cls]
+
+
+def tiles(shard: Shard, unit: float, a: np.ndarray, b: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The places (in a, in b) of classes that may qualify, of all pairs of two long lists; blocks whose sizes are too far
+    apart are skipped."""
+    both, n = Sized(shard, a, b), len(a)
+    size = both.size[n:]
+    for p in range(0, n, TILE[0]):
+        left = np.arange(p, min(p + TILE[0], n))
+        # |r| - |s| is unshared at least
+        first = int(np.searchsorted(size * (1 + unit), both.size[p] * (1 - unit) - 1e-6))
+        end = int(np.searchsorted(size * (1 - unit), both.size[left[-1]] * (1 + unit) + 1e-6, "right"))
+        for q in range(first, end, TILE[1]):
+            i, j = tile(both, unit, left, np.arange(n + q, n + min(q + TILE[1], end)))
+            if len(i):
+                yield both.order[0][i], both.order[1][j - n]
+
+
 def cross_pairs(shard: Shard, unit: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(training, evaluation, matched symbols) of the maximal matches of classes of a shard that may qualify."""
     ev, tr = ((shard.side[shard.doc] & side) > 0 for side in (EVALUATION, TRAIN))
@@ -164,12 +199,21 @@ def cross_pairs(shard: Shard, unit: float) -> Iterator[tuple[np.ndarray, np.ndar
         return i, j, index.matched(text, first[where], where, row)
 
     lo, hi = index.interval(text)
+    occurs, rows = np.bincount(text, minlength=codes + 1), np.diff(index.starts)
+    long = (np.minimum(occurs, rows) >= TILE_LEAST) & (occurs * rows.astype(np.int64) >= TILED)
     # where the match goes on with the next symbol, its occurrences belong to a longer match
     inner_lo, inner_hi = lo.copy(), lo.copy()
     at = np.flatnonzero(~np.r_[new[1:], True])
     inner_lo[at], inner_hi[at] = index.back(text[at], lo[at + 1], hi[at + 1])
+    for c, where in by_code(text, long):
+        for p, row in tiles(shard, unit, doc[where], names[index.owner[index.starts[c] : index.starts[c + 1]]]):
+            p, row = where[p], row + index.starts[c]
+            ok = (doc[p] != names[index.owner[row]]) & ((row < inner_lo[p]) | (row >= inner_hi[p]))
+            held.append((doc[p[ok]], names[index.owner[row[ok]]], p[ok], row[ok]))
+            if sum(len(x[0]) for x in held) > HELD:
+                yield matches()
     for a, b in ((lo, np.where(inner_hi > inner_lo, inner_lo, hi)), (inner_hi, np.where(inner_hi > inner_lo, hi, inner_hi))):
-        use = np.flatnonzero(b > a)
+        use = np.flatnonzero((b > a) & ~long[text])
         total = np.cumsum(b[use] - a[use])
         p = done = 0
         while done < (total[-1] if len(use) else 0):

@@ -24,8 +24,9 @@ from . import wordsets as ws
 #: Texts are worked off in pieces of about so many characters (one longer text is one piece).
 PIECE_CHARS = 250_000
 RANGES = 64
-#: A word in more than this share of the rows, within these bounds of rows, is frequent. Any value gives the same result.
-RARE_SHARE, RARE_LEAST, RARE_MOST = 0.0025, 64, 16_384
+#: A word in more than this share of the rows, and in more than so many, is frequent. Any value gives the same result; an
+#: upper bound of rows would make all words of a fixed vocabulary frequent in a large corpus, and block symbols weak.
+RARE_SHARE, RARE_LEAST = 0.0025, 64
 MIN_WORDS = 5
 SEEN_BITS = 24
 PLACES = 65_000
@@ -46,7 +47,7 @@ def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch,
 def frequency_states(docs: DataFrame, rows: int) -> np.ndarray:
     """For each of 2**SKETCH_BITS counters of words: 0 seen at most once, 1 rare, else frequent: 2 and the place by entropy
     (modulo PLACES). Counts cover all rows; only counters of frequent words reach the driver, RARE_SHARE bounds their number."""
-    limit = min(max(RARE_LEAST, int(RARE_SHARE * rows)), RARE_MOST)
+    limit = max(RARE_LEAST, int(RARE_SHARE * rows))
     width = (1 << ws.SKETCH_BITS) // RANGES
 
     def count(batches):

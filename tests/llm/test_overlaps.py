@@ -13,7 +13,7 @@ from fabula.llm import wordsets as ws
 from fabula.llm.components import Joined, components
 from fabula.llm.cross_split import FullTextIndex, cross_split
 from fabula.llm.near_duplicates import near_duplicates
-from fabula.llm.overlap import Shard, close
+from fabula.llm.overlap import Shard, close, frequency_states
 
 SCHEMA = "doc_id long, text string, side int, class string, words int, a double"
 
@@ -178,14 +178,26 @@ def shard_of(n, words, seed, list_of=1):
 
 
 def test_signatures_rule_out_most_meetings_before_classes_are_looked_up(monkeypatch):
-    looked_up = []
+    looked_up, seen = [], []
     monkeypatch.setattr(cross_split_module, "close", lambda shard, unit, i, j: (looked_up.append(len(i)), close(shard, unit, i, j))[1])
-    shard = shard_of(2000, 48, 9)
-    found = {(i, j) for x in cross_split_module.cross_pairs(shard, 0.3 / 1.7) for i, j in zip(x[0].tolist(), x[1].tolist())}
+    shard = shard_of(2000, 48, 9, list_of=3)
     a, b = np.meshgrid(np.flatnonzero(shard.side == 1), np.flatnonzero(shard.side == 2), indexing="ij")
     ok = close(shard, 0.3 / 1.7, a.ravel(), b.ravel())
-    assert found == set(zip(a.ravel()[ok].tolist(), b.ravel()[ok].tolist())) and len(found) >= 200
-    assert sum(looked_up) < 0.02 * 1000 * 1000
+    for tiled in (1 << 60, cross_split_module.TILED):  # one by one, and long lists by tiles
+        monkeypatch.setattr(cross_split_module, "TILED", tiled)
+        found = sorted((i, j, m) for x in cross_split_module.cross_pairs(shard, 0.3 / 1.7) for i, j, m in zip(*(y.tolist() for y in x)))
+        assert {x[:2] for x in found} == set(zip(a.ravel()[ok].tolist(), b.ravel()[ok].tolist())) and len(found) >= 200
+        assert {x[2] for x in found} == {3}  # whole matches, each once
+        seen.append(found)
+    assert seen[0] == seen[1] and sum(looked_up) < 0.02 * 1000 * 1000
+
+
+def test_rare_words_of_a_large_corpus_stay_rare(spark):
+    """0.05 % of 40 million rows is rare, however many rows that are."""
+    docs = spark.range(20_000).selectExpr("'commun ' || id text")
+    h = ws.words_of(["commun"])[1]
+    assert frequency_states(docs, 40_000_000)[ws.buckets(h)][0] == 1
+    assert frequency_states(docs, 1_000_000)[ws.buckets(h)][0] >= 2
 
 
 def test_every_character_folds_as_the_normal_form_does():
