@@ -11,9 +11,11 @@ that belong to none are then bisected in the same way, until they hold no compac
 beside a large one in a compact leaf comes out too.
 
 Counts, sums, dispersions and memberships are taken over all vectors. A bounded sample (SAMPLE vectors of smallest hash, of
-those looked at) only proposes the two directions that 2-means starts from. Nodes of fewer vectors than 1 in SHARE of those
-looked at aren't split, so that the tree stays bounded: a cluster below that share of the vectors that belong to none,
-or of fewer than min_members vectors, isn't found; copies of one record are few, and are no cluster for that reason.
+those looked at) only proposes the two directions that 2-means starts from; it is drawn anew from the leaves in turn where it
+holds too few of one. Leaves of SAMPLE vectors or less are bisected to the end in one task each, where all their vectors
+propose. So leaves are split down to min_members whatever the number of vectors is, and the tree on the driver has only
+nodes of more than SAMPLE vectors and their children. Groups of fewer than min_members vectors are no cluster; copies of one
+record are few, and are no cluster for that reason.
 """
 
 from __future__ import annotations
@@ -29,7 +31,8 @@ from ..session import cut
 from .vectors import block, dims_of, read_blocks, sample_of, unit_blocks
 
 SAMPLE = 16_384
-SHARE = 2000
+#: A leaf of fewer sampled vectors has the sample drawn anew.
+PROPOSERS = 128
 #: Nodes that are split in a round; passes over all vectors for each round of splits.
 WIDTH, STEPS = 64, 2
 MIN_MEMBERS = 32
@@ -125,26 +128,80 @@ def nearest_leaf(centres: np.ndarray, min_cosine: float):
     return assign
 
 
+def of_leaves(blocks: DataFrame, d: int, tree: Splits, leaves: list[int]) -> DataFrame:
+    """The vectors of these leaves, as blocks with the leaf's number as part."""
+
+    def rows(batches):
+        for ids, v in read_blocks(batches, d):
+            at = tree.leaf_of(v)
+            for k in np.intersect1d(at, leaves):
+                yield block(int(k), ids[at == k], v[at == k])
+
+    return blocks.select("ids", "vecs").mapInArrow(rows, "part int, n int, ids binary, vecs binary")
+
+
+def compact_leaves(x: np.ndarray, compact: float, min_members: int, salt: int, steps: int) -> list[tuple[int, np.ndarray]]:
+    """(count, sum of vectors) of the compact leaves of a node whose vectors are all at hand."""
+    found, todo, turn = [], [x], 0
+    while todo:
+        x = todo.pop()
+        if len(x) < min_members:
+            continue
+        total = x.sum(0, dtype=np.float64)
+        if np.linalg.norm(total) >= compact * len(x):
+            found.append((len(x), total))
+            continue
+        turn += 1
+        if (directions := two_means(x, 1000 * salt + turn)) is None:
+            continue
+        one, other = directions
+        for _ in range(steps):
+            right = x @ other > x @ one
+            if right.any() and not right.all():
+                one, other = unit(x[~right].sum(0)), unit(x[right].sum(0))
+        right = x @ other > x @ one
+        if right.any() and not right.all():
+            todo += [x[right], x[~right]]
+    return found
+
+
+def bisected(blocks: DataFrame, d: int, tree: Splits, leaves: list[int], compact: float, min_members: int, salt: int, steps: int) -> np.ndarray:
+    """Sums of vectors of the compact leaves below these leaves, each bisected in one task; largest first."""
+
+    def run(key, table):
+        ids = np.concatenate([np.frombuffer(i, np.int64) for i in table.column("ids").to_pylist()])
+        x = np.concatenate([np.frombuffer(v, np.float32).reshape(-1, d) for v in table.column("vecs").to_pylist()])
+        got = compact_leaves(x[np.argsort(ids, kind="stable")], compact, min_members, salt, steps)
+        return pa.table({"n": pa.array([n for n, _ in got], pa.int64()), "s": pa.array([s.tobytes() for _, s in got], pa.binary())})
+
+    found = of_leaves(blocks, d, tree, leaves).groupBy("part").applyInArrow(run, "n long, s binary").collect()
+    return np.array([np.frombuffer(r.s) for r in sorted(found, key=lambda r: (-r.n, r.s))]).reshape(-1, d)
+
+
 def bisect(blocks: DataFrame, d: int, compact: float, min_members: int, salt: int = 0, steps: int = STEPS) -> np.ndarray:
     """Mean directions of the compact leaves."""
     count, total = sums_by(blocks, d, lambda v: np.zeros(len(v), np.int64), 1)
-    least = max(min_members, int(count[0]) // SHARE)
-    if count[0] < least:
+    if count[0] < min_members:
         return np.empty((0, d), np.float32)
-    _, x = sample_of(blocks, d, SAMPLE, salt)
-    tree, closed = Splits(d), set()
+    x, tree, closed = None, Splits(d), set()
     while True:
         tight = np.linalg.norm(total, axis=1) / np.maximum(count, 1)
-        leaves = [k for k in range(len(count)) if k not in tree.children and count[k] >= least]
-        todo = sorted((k for k in leaves if k not in closed and tight[k] < compact), key=lambda k: (-count[k] * (1 - tight[k]), k))[:WIDTH]
+        leaves = [k for k in range(len(count)) if k not in tree.children and count[k] >= min_members]
+        split = [k for k in leaves if k not in closed and tight[k] < compact]
+        todo = sorted((k for k in split if count[k] > SAMPLE), key=lambda k: (-count[k] * (1 - tight[k]), k))[:WIDTH]
         if not todo:
-            return unit(total[[k for k in leaves if tight[k] >= compact]]).astype(np.float32).reshape(-1, d)
+            sums = total[[k for k in leaves if tight[k] >= compact]]
+            if split:
+                sums = np.vstack([sums, bisected(blocks, d, tree, split, compact, min_members, salt, steps)])
+            return unit(sums).astype(np.float32).reshape(-1, d)
+        if x is None or np.bincount(tree.leaf_of(x), minlength=len(count))[todo].min() < PROPOSERS:
+            _, x = sample_of(of_leaves(blocks, d, tree, todo), d, SAMPLE, salt)
         at = tree.leaf_of(x)
         for k in todo:
             rows = x[at == k]
             if len(rows) > 1 and (found := two_means(rows, 1000 * salt + k)) is not None:
                 tree.divide(k, *found)
-            else:
+            elif len(rows) > 1 or len(todo) == 1:
                 closed.add(k)
         fresh = range(len(count), len(tree.direction))
         for _ in range(steps if fresh else 0):  # 2-means over all vectors
@@ -152,6 +209,8 @@ def bisect(blocks: DataFrame, d: int, compact: float, min_members: int, salt: in
             for k in fresh:
                 if count[k]:
                     tree.direction[k] = unit(total[k])
+        if fresh:  # of the leaves as the last directions make them
+            count, total = sums_by(blocks, d, tree.leaf_of, len(tree.direction))
 
 
 def merged(centres: np.ndarray, min_cosine: float) -> np.ndarray:

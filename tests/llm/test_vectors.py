@@ -1,9 +1,10 @@
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 
 from fabula.llm import nearest
-from fabula.llm.clusters import clusters, typical
+from fabula.llm.clusters import clusters, fit, typical
 from fabula.llm.nearest import most_similar
 from fabula.llm.vectors import unit_blocks
 
@@ -150,3 +151,15 @@ def test_tight_clusters_are_told_from_copies_by_number(spark):
     records, table = clusters(wide(spark, x[order]), topics)
     assert sorted((r.z_cluster, r.size) for r in table.collect()) == [(0, 600), (1, 1500), (2, 900)]
     assert {r.doc_id for r in records.collect()} == set(np.flatnonzero(truth[order] < 3).tolist())
+
+
+def test_small_cluster_among_any_number_of_strays(spark):
+    """14 alike vectors are a cluster of 12 or more, beside 6,000 strays as beside 30,000."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(30_014, 64)).astype(np.float32)
+    x[:14] = x[0] + 0.1 * rng.normal(size=(14, 64))
+    for n in (6_014, len(x)):
+        rows = pa.table({"doc_id": np.arange(n)} | {f"dim_{k + 1}": x[:n, k] for k in range(64)})
+        centres, sizes = fit(unit_blocks(spark.createDataFrame(rows)), 64, 0.42, 12)
+        best = (centres @ x[0] / np.linalg.norm(x[0])).max(initial=-1)
+        assert best > 0.9 and sizes.min() >= 12, (n, best, sizes)
